@@ -38,6 +38,11 @@ def hot_keys(df: DataFrame, keys: list[str], rows_per_block: int, name: str) ->
     )
 
 
+def _fresh(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Select under new column identities, so that a table can be scored against itself."""
+    return df.select(*[F.col(c).alias(c) for c in dict.fromkeys(columns)])
+
+
 def _with_counts(df: DataFrame, hot: DataFrame, keys: list[str], name: str) -> DataFrame:
     return df.join(hot, keys, "left").withColumn(name, F.coalesce(name, F.lit(1)))
 
@@ -91,12 +96,12 @@ def block_topk(
         lcols += ["scope_note_ids", "scope_topics", "scope_tags"]
         rcols += ["note_id", "topic", "tags"]
     rcols.append(scoring.tie)
-    left = left.select(*dict.fromkeys(lcols))
-    right = right.select(*dict.fromkeys(rcols))
+    left = _fresh(left, lcols)
+    right = _fresh(right, rcols)
 
     # Keys without a left row have nothing to score: keep their rows out of the shuffle. AQE picks
     # broadcast or a (skew-splitting) shuffled join from the measured size of the key list.
-    right = right.join(left.select(*keys).distinct(), keys, "left_semi")
+    right = right.join(_fresh(left, keys).distinct(), keys, "left_semi")
 
     hot_left = F.broadcast(hot_keys(left, keys, left_block, "_lb"))
     hot_right = F.broadcast(hot_keys(right, keys, right_block, "_rb"))

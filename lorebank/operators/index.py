@@ -192,31 +192,22 @@ def _lease_edge(now: Column) -> Column:
 
 def record_failures(ledger: DataFrame, failed: DataFrame, now: Column) -> DataFrame:
     """Failed executions (``user_id, note_id, content_hash``): back off by attempt, terminal on the last."""
-    hit = F.col("failed_hash").isNotNull() & (F.col("status") == "processing")
+    hit = F.col("missed").isNotNull() & (F.col("status") == "processing")
     delays = F.array(*[F.lit(d) for d in K.RETRY_DELAYS_S])
     delay = F.get(delays, F.col("attempts") - 1)
-    return (
-        ledger.join(
-            failed.select(*NOTE_KEY, F.col("content_hash").alias("failed_hash")),
-            (ledger.user_id == failed.user_id)
-            & (ledger.note_id == failed.note_id)
-            & (ledger.content_hash == failed.content_hash),
-            "left",
-        )
-        .select(
-            ledger.user_id,
-            ledger.note_id,
-            ledger.content_hash,
-            F.when(hit & delay.isNotNull(), "pending").when(hit, "failed").otherwise(F.col("status")).alias("status"),
-            "attempts",
-            F.when(hit & delay.isNotNull(), F.timestamp_seconds(F.unix_micros(now) / 1_000_000 + delay))
-            .otherwise(F.col("available_at"))
-            .alias("available_at"),
-            F.when(~hit, F.col("locked_at")).alias("locked_at"),
-            F.when(hit, K.INDEX_ERROR).otherwise(F.col("last_error")).alias("last_error"),
-            "created_at",
-            F.when(hit, now).otherwise(F.col("updated_at")).alias("updated_at"),
-        )
+    missed = failed.select(*NOTE_KEY, "content_hash").distinct().withColumn("missed", F.lit(True))
+    return ledger.join(missed, [*NOTE_KEY, "content_hash"], "left").select(
+        *NOTE_KEY,
+        "content_hash",
+        F.when(hit & delay.isNotNull(), "pending").when(hit, "failed").otherwise(F.col("status")).alias("status"),
+        "attempts",
+        F.when(hit & delay.isNotNull(), F.timestamp_micros(F.unix_micros(now) + delay * 1_000_000))
+        .otherwise(F.col("available_at"))
+        .alias("available_at"),
+        F.when(~hit, F.col("locked_at")).alias("locked_at"),
+        F.when(hit, K.INDEX_ERROR).otherwise(F.col("last_error")).alias("last_error"),
+        "created_at",
+        F.when(hit, now).otherwise(F.col("updated_at")).alias("updated_at"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import lorebank
 from lorebank.plans import retrieval_queries
+from lorebank.session import make_safe
 
 CATALOGUE = {**retrieval_queries.QUERIES}
 
@@ -23,8 +24,7 @@ def prepare(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
         if app not in _SHIPPED:
             spark.sparkContext.addPyFile(_zipped())
             _SHIPPED.add(app)
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return run(spark, sf_dir)
+        return run(make_safe(spark), sf_dir)
 
     call.__doc__ = run.__doc__
     return call

@@ -90,11 +90,11 @@ CHUNK_SECTIONS_SQL = f"""WITH p AS (
   SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS user_id, CAST(page_id AS VARCHAR) AS note_id,
     regexp_replace({Q.trim(f"regexp_extract(html, '{_PAGE_TITLE}', 1)")}, '[^\\p{{L}}\\p{{N}} ]', '', 'g') AS head,
     list_filter(list_transform(regexp_extract_all(html, '{_PAGE_PARA}', 1),
-      x -> {Q.trim("regexp_replace(x, '[^\\p{L}\\p{N} .,]', '', 'g')")}), x -> regexp_matches(x, '^\\p{{L}}')) AS paras
+      lambda x: {Q.trim("regexp_replace(x, '[^\\p{L}\\p{N} .,]', '', 'g')")}), lambda x: regexp_matches(x, '^\\p{{L}}')) AS paras
   FROM pages),
 s AS (SELECT *, unnest(range(1, len(paras) + 1)) AS i FROM p WHERE head <> '')
 SELECT user_id, note_id, CAST(i - 1 AS BIGINT) AS section, {Q.squash('head')} || ' > Part ' || CAST(i - 1 AS VARCHAR) AS path,
-  CAST(length(head) + 4 + coalesce(list_sum(list_transform(range(1, i), j -> length('## Part ' || CAST(j - 1 AS VARCHAR)) + 4 + length(paras[j]))), 0)
+  CAST(length(head) + 4 + coalesce(list_sum(list_transform(range(1, i), lambda j: length('## Part ' || CAST(j - 1 AS VARCHAR)) + 4 + length(paras[j]))), 0)
     + length('## Part ' || CAST(i - 1 AS VARCHAR)) + 2 AS BIGINT) AS start, paras[i] AS text FROM s"""
 CHUNK_SECTIONS_SQL = CHUNK_SECTIONS_SQL.replace(Q.squash("head"), Q.trim("head"))
 
@@ -368,7 +368,7 @@ agg AS (SELECT user_id, question_id, string_agg(title || ': ' || left({Q.trim('c
    string_agg(CASE WHEN regexp_matches(source, '^https?://') THEN source ELSE '' END, ',' ORDER BY position) AS urls
   FROM lines GROUP BY ALL)
 SELECT q.user_id, q.question_id, coalesce(a.answer, {Q.lit(K.NO_EVIDENCE)}) AS answer,
-  coalesce(array_to_string(list_filter(a.ids, (x, i) -> list_position(a.ids, x) = i), ','), '') AS source_ids,
+  coalesce(array_to_string(list_filter(a.ids, lambda x, i: list_position(a.ids, x) = i), ','), '') AS source_ids,
   coalesce(a.n, 0) AS n_citations, coalesce(a.urls, '') AS urls, a.n IS NULL AS insufficient, 'fallback' AS mode
 FROM questions q LEFT JOIN agg a USING (user_id, question_id)"""
 
@@ -478,7 +478,7 @@ outs AS (SELECT t.user_id, CAST(t.conv_id AS VARCHAR) || ':' || CAST(t.turn AS V
 SELECT o.user_id, o.question_id, coalesce(nullif(o.a, ''), {Q.lit(K.NO_MODEL_ANSWER)}) AS knowledge_answer,
   CASE WHEN o.turn > 6 OR c.n IS NULL OR o.a = '' THEN 'more' ELSE '' END AS general_supplement,
   o.turn > 6 OR c.n IS NULL OR o.a = '' AS insufficient, coalesce(c.n, 0) AS n_citations,
-  coalesce(array_to_string(list_filter(c.ids, (x, i) -> list_position(c.ids, x) = i), ','), '') AS source_ids
+  coalesce(array_to_string(list_filter(c.ids, lambda x, i: list_position(c.ids, x) = i), ','), '') AS source_ids
 FROM outs o LEFT JOIN cites c USING (user_id, question_id)"""
 
 

@@ -54,7 +54,7 @@ def terms(x: str) -> str:
 
 
 def overlap(x: str) -> str:
-    return f"list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), t -> length(t) > 1)"
+    return f"list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: length(t) > 1)"
 
 
 def ts_text(x: str) -> str:

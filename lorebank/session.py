@@ -8,9 +8,20 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# Spark 4.1 may treat a union of equally partitioned inputs as partitioned itself; together with reused
+# exchanges in a self-join that returned rows twice here. The jobs do not rely on it.
+SAFE_CONF = {"spark.sql.unionOutputPartitioning": "false", "spark.sql.session.timeZone": "UTC"}
+
+
+def make_safe(spark: SparkSession) -> SparkSession:
+    for key, value in SAFE_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "lorebank") -> SparkSession:
     """A session for one machine; a cluster brings its own configuration."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -22,6 +33,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    return make_safe(spark)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
