@@ -197,3 +197,57 @@ PENDING_HEADING = "## 待补全素材"
 
 # ---- fixed values: facets -----------------------------------------------------------------------
 ALL_TAGS = "全部标签"
+
+# ---- fixed values: podcast and video pages ------------------------------------------------------
+PODCAST_PAGE_TITLE = "播客节目"
+PODCAST_INTRO = "## 节目简介"
+PODCAST_NO_INTRO = "未提取到节目简介。"
+PODCAST_AUDIO_LINE = "音频链接："
+PODCAST_AUDIO_NEXT = "> 配置转写模型后可自动提取播客全文。"
+PODCAST_NO_AUDIO_NEXT = "> 未找到可直接访问的音频链接，可上传音频文件进行转写。"
+PODCAST_AUDIO_METHOD = "播客页面提取音频链接"
+PODCAST_PAGE_METHOD = "播客页面信息提取"
+PODCAST_WARN_AUDIO = "已找到音频链接，但未配置转写 API Key。"
+PODCAST_WARN_NO_AUDIO = "未找到可直接访问的播客音频。"
+PODCAST_DESCRIPTION_LIMIT = 2_000
+VIDEO_TITLE_SUFFIX = " 视频"
+VIDEO_REASON = "已识别视频链接，但没有找到可用字幕。"
+VIDEO_DESCRIPTION = "你可以上传本地音频/视频，或手动粘贴字幕后补全这条素材。"
+VIDEO_WARNING = "未找到字幕。"
+VIDEO_CAPTION_METHOD = "公开视频字幕提取"
+VIDEO_CAPTION_WARNING = "已优先使用视频字幕/自动字幕生成素材。"
+VIDEO_UNKNOWN_AUTHOR = "未知"
+
+# ---- fixed values: html to Markdown steps (pattern, replacement), applied in order ---------------
+# Patterns are written for both java.util.regex and RE2; \1 and \2 name groups.
+HTML_NOISE = (
+    (r"(?s)<!--.*?-->", ""),
+    (r"(?is)<(?:script|style|iframe|svg|nav|noscript|template)\b.*?</(?:script|style|iframe|svg|nav|noscript|template)\s*>", ""),
+    (r"(?is)<(?:wx-open-launch-app|mp-common-profile)\b.*?</(?:wx-open-launch-app|mp-common-profile)\s*>", ""),
+    (r"(?is)<[a-z][a-z0-9]*\s[^>]*(?:\shidden|display:\s*none)[^>]*>[^<]*</[a-z][a-z0-9]*\s*>", ""),
+)
+HTML_TO_MARKDOWN = (
+    (r"[\t\n\f\r ]+", " "),
+    (r"(?i)<h1(?:\s[^>]*)?>", "\n\n# "),
+    (r"(?i)<h2(?:\s[^>]*)?>", "\n\n## "),
+    (r"(?i)<h3(?:\s[^>]*)?>", "\n\n### "),
+    (r"(?i)<h4(?:\s[^>]*)?>", "\n\n#### "),
+    (r"(?i)<h5(?:\s[^>]*)?>", "\n\n##### "),
+    (r"(?i)<h6(?:\s[^>]*)?>", "\n\n###### "),
+    (r"(?i)<br\s*/?>", "\n"),
+    (r"(?i)<li(?:\s[^>]*)?>", "\n- "),
+    (r"(?i)</?(?:p|h[1-6]|ul|ol|div|section|article|blockquote|table|tr|pre|figure)(?:\s[^>]*)?>", "\n\n"),
+    (r"(?i)<(?:b|strong)>([^<]+)</(?:b|strong)>", r"**\1**"),
+    (r"(?i)<(?:i|em)>([^<]+)</(?:i|em)>", r"_\1_"),
+    (r'(?i)<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', r"[\2](\1)"),
+    (r'(?i)<img\s[^>]*?(?:data-)?src="([^"]*)"[^>]*>', r"![](\1)"),
+    (r"<[^>]*>", ""),
+    (r"&nbsp;|&#160;", " "),
+    (r"&lt;", "<"),
+    (r"&gt;", ">"),
+    (r"&quot;|&#34;", '"'),
+    (r"&#39;|&apos;", "'"),
+    (r"&amp;", "&"),
+    (r" *\n *", "\n"),
+    (r"\n{3,}", "\n\n"),
+)

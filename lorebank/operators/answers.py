@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebank import constants as K
+from lorebank.functions.columns import let
 from lorebank.functions.provenance import note_source
 from lorebank.functions.text import default_quote, is_blank, or_default, summary_of, trim_ws
 from lorebank.functions.tokens import overlap_tokens
@@ -224,6 +225,13 @@ def recent_notes(questions: DataFrame, notes: DataFrame, k: int = K.BASIC_SCAN)
     return free.unionByName(scoped)
 
 
+def shared_tokens(asked: Column, token_set: Column) -> Column:
+    """How many of the asked tokens, repetitions counted, occur in a token set."""
+    return let(
+        F.array_intersect(asked, token_set), lambda common: F.size(F.filter(asked, lambda t: F.array_contains(common, t)))
+    )
+
+
 def rank_notes(questions: DataFrame, notes: DataFrame, scan: int = K.BASIC_SCAN, keep: int = K.BASIC_KEEP) -> DataFrame:
     """Overlap of question and note among the newest ``scan`` notes; best ``keep``, zero scores included.
 
@@ -240,12 +248,11 @@ def rank_notes(questions: DataFrame, notes: DataFrame, scan: int = K.BASIC_SCAN,
     scored = (
         candidates.join(asked, QUESTION)
         .join(tokens, ["user_id", "note_id"])
-        .withColumn("shared", F.array_intersect(F.array_distinct("q_tokens"), F.col("note_tokens")))
         .select(
             *QUESTION,
             "note_id",
             F.col("rank").alias("listing_rank"),
-            F.size(F.filter("q_tokens", lambda t: F.array_contains("shared", t))).alias("score"),
+            shared_tokens(F.col("q_tokens"), F.col("note_tokens")).alias("score"),
         )
     )
     order = Window.partitionBy(*QUESTION).orderBy(F.desc("score"), F.asc("listing_rank"))

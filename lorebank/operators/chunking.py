@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorebank import constants as K
+from lorebank.functions.columns import let
 from lorebank.functions.text import col_of, trim_ws
 from lorebank.functions.tokens import segments
 
@@ -24,11 +25,6 @@ _BLOCK = "struct<level:int,text:string,start:int,stop:int>"
 _SECTION = "struct<heading_path:array<string>,start:int,stop:int>"
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _heading_text(raw: Column) -> Column:
     """Heading text without link targets and the commonest inline marks."""
     labels = F.regexp_replace(raw, r"\[([^\]]*)\]\([^)]*\)", "$1")
@@ -101,7 +97,7 @@ def _step(a: Column, x: Column) -> Column:
             .alias("blocks"),
         )
 
-    return _let(event, update)
+    return let(event, update)
 
 
 def _blocks(content: Column) -> Column:
@@ -182,12 +178,12 @@ def _windows(section: Column, size: int, overlap: int) -> Column:
         def of_lengths(lens: Column) -> Column:
             return F.transform(
                 F.sequence(F.lit(0), count - 1),
-                lambda w: _let(
+                lambda w: let(
                     F.struct(
                         F.slice(segs, w * step + 1, size).alias("toks"),
                         (section["start"] + F.aggregate(F.slice(lens, 1, w), F.lit(0), lambda a, v: a + v)).alias("start"),
                     ),
-                    lambda p: _let(
+                    lambda p: let(
                         F.regexp_replace(F.array_join(p["toks"], ""), f"[{K.WS}]+$", ""),
                         lambda text: F.struct(
                             section["heading_path"].alias("heading_path"),
@@ -205,9 +201,9 @@ def _windows(section: Column, size: int, overlap: int) -> Column:
             F.sequence(F.lit(0), count - 1),
             lambda j: F.length(F.array_join(F.slice(segs, j * step + 1, step), "")),
         )
-        return _let(lens, of_lengths)
+        return let(lens, of_lengths)
 
-    return _let(segments(section["text"]), of_segments)
+    return let(segments(section["text"]), of_segments)
 
 
 def window_shape(target: int, maximum: int, overlap: int) -> tuple[int, int]:
