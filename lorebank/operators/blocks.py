@@ -66,7 +66,8 @@ class Scoring:
     ``kind``: ``terms`` (sum of left multiplicities of shared tokens), ``vector`` (cosine) or
     ``listing`` (no score, tie order only). ``tie`` orders equal scores ascending. ``scoped`` reads
     ``scope_note_ids/scope_topics/scope_tags`` on the left and ``note_id/topic/tags`` on the right.
-    ``not_self`` drops pairs whose ids are equal.
+    ``not_self`` drops pairs whose ids are equal. ``dim`` is the exact vector width: left rows with
+    another width or a non-finite number have no result.
     """
 
     kind: str
@@ -78,6 +79,7 @@ class Scoring:
     above: float | None = None
     scoped: bool = False
     not_self: bool = False
+    dim: int = 0
 
 
 def block_topk(
@@ -121,6 +123,9 @@ def block_topk(
     )
     lname, rname = out.fields[len(keys)].name, out.fields[len(keys) + 1].name
     group = [*keys, "_lb", "_rb"]
+    # Scoring is heavy per byte: a fixed partition count keeps AQE from merging block pairs by size.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(tasks, *group), right.repartition(tasks, *group)
     scored = (
         left.groupBy(*group)
         .cogroup(right.groupBy(*group))
@@ -168,7 +173,7 @@ def _tile_scores(tile: pa.Table, right: pa.Table, s: Scoring) -> tuple[np.ndarra
     n, m = tile.num_rows, right.num_rows
     valid = np.ones((n, m), dtype=bool)
     if s.kind == "vector":
-        scores, ok = _cosine(tile.column(s.feature), right.column(s.feature))
+        scores, ok = _cosine(tile.column(s.feature), right.column(s.feature), s.dim)
         valid &= ok
     elif s.kind == "terms":
         scores = _shared_tokens(tile.column(s.feature), right.column(s.feature))
@@ -193,26 +198,28 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     return pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists)
 
 
-def _cosine(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    width = max(pc.max(pc.list_value_length(c)).as_py() or 1 for c in (left, right))
-    a, b = _matrix(left, width), _matrix(right, width)
+def _cosine(left: pa.ChunkedArray, right: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    a, left_ok = _matrix(left, dim)
+    b, right_ok = _matrix(right, dim)
     na, nb = np.sqrt(np.einsum("ij,ij->i", a, a)), np.sqrt(np.einsum("ij,ij->i", b, b))
     norm = na[:, None] * nb[None, :]
     with np.errstate(invalid="ignore", divide="ignore"):
         scores = (a @ b.T) / norm
-    has_left = np.asarray(pc.is_valid(left).to_pandas(), dtype=bool)
     # A zero vector has no cosine: such right rows sort behind every real score.
-    scores = np.where(norm > 0, scores, -2.0)
-    return scores, np.repeat(has_left[:, None], len(b), axis=1)
-
-
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    rows, values = _flat(column)
-    out = np.zeros((len(column), width))
-    if len(rows):
-        first = np.searchsorted(rows, rows, side="left")
-        out[rows, np.arange(len(rows)) - first] = values.to_numpy(zero_copy_only=False)
-    return out
+    return np.where(norm > 0, scores, -2.0), left_ok[:, None] & right_ok[None, :]
+
+
+def _matrix(column: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a list column as a matrix, and which rows have the exact width and finite numbers."""
+    widths = pc.fill_null(pc.list_value_length(column), -1).to_numpy()
+    ok = widths == dim
+    out = np.zeros((len(column), dim))
+    if ok.any():
+        kept = column.filter(pa.array(ok))
+        out[ok] = _flat(kept)[1].to_numpy(zero_copy_only=False).reshape(-1, dim)
+        ok &= np.isfinite(out).all(axis=1)
+        out[~ok] = 0.0
+    return out, ok
 
 
 def _shared_tokens(left: pa.ChunkedArray, right: pa.ChunkedArray) -> np.ndarray:

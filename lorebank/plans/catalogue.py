@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import lorebank
-from lorebank.plans import library_queries, retrieval_queries
+from lorebank.plans import library_queries, retrieval_queries, stream_queries
 from lorebank.session import make_safe
 
-CATALOGUE = {**retrieval_queries.QUERIES, **library_queries.QUERIES}
+CATALOGUE = {**retrieval_queries.QUERIES, **library_queries.QUERIES, **stream_queries.QUERIES}
 
 _SHIPPED: set[str] = set()
 

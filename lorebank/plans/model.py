@@ -35,11 +35,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def spread_stream(df: DataFrame) -> DataFrame:
+    """The same for micro-batches, whose splits are not known when the stream is planned."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def now() -> Column:
     return F.lit(NOW).cast("timestamp")
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored library: titles, summaries and tags are derived once, on ingest."""
+    return _stored(spark, sf_dir, "library", lambda: ingest(spark, sf_dir))
+
+
+def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(read(spark, sf_dir, "documents"))
     doc = F.col("doc_id")
     size = F.when(F.col("n_chars") < 1000, "short").when(F.col("n_chars") < 3000, "medium").otherwise("long")
@@ -67,6 +77,11 @@ def old_hash(text: Column) -> Column:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored ledger."""
+    return _stored(spark, sf_dir, "ledger", lambda: ledger_rows(spark, sf_dir))
+
+
+def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled notes are ready (low quality ones at an older hash); others wait, run, failed or are absent."""
     docs = spread(read(spark, sf_dir, "documents")).select("doc_id", "text", "source")
     rows = docs.join(read(spark, sf_dir, "labels"), "doc_id", "left")
