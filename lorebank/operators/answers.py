@@ -11,6 +11,7 @@ from lorebank.functions.provenance import note_source
 from lorebank.functions.text import default_quote, is_blank, or_default, summary_of, trim_ws
 from lorebank.functions.tokens import overlap_tokens
 from lorebank.operators.blocks import Scoring, block_topk
+from lorebank.operators.lookback import preceding_rows
 
 QUESTION = ["user_id", "question_id"]
 
@@ -22,12 +23,11 @@ def history_queries(turns: DataFrame) -> DataFrame:
     """Every user turn of a conversation as a standalone question.
 
     The six turns before it are its history; only then are roles and blanks filtered, and the question
-    goes last. The window is six rows, so a conversation of any length costs the same per turn.
+    goes last. Very long conversations are split, see :func:`preceding_rows`.
     """
-    recent = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-K.HISTORY_LIMIT, -1)
     said = F.struct("role", trim_ws("text").alias("text"))
     return (
-        turns.withColumn("history", F.collect_list(said).over(recent))
+        preceding_rows(turns, ["conv_id"], "turn", said, K.HISTORY_LIMIT, "history")
         .where((F.col("role") == "user") & ~is_blank("text"))
         .withColumn(
             "query",

@@ -90,8 +90,13 @@ def block_topk(
     left_block: int = LEFT_BLOCK_ROWS,
     right_block: int = RIGHT_BLOCK_ROWS,
     score_digits: int | None = None,
+    broadcast_hot: bool = True,
 ) -> DataFrame:
-    """Exact top-k right rows per left row within each key: ``keys, left_id, right_id, score, rank``."""
+    """Exact top-k right rows per left row within each key: ``keys, left_id, right_id, score, rank``.
+
+    The lists of keys with several blocks are broadcast: they hold at most one narrow row per
+    ``block`` input rows. ``broadcast_hot=False`` leaves that join to AQE's size check instead.
+    """
     lcols = [*keys, scoring.left_id] + ([scoring.feature] if scoring.feature else [])
     rcols = [*keys, scoring.right_id] + ([scoring.feature] if scoring.feature else [])
     if scoring.scoped:
@@ -105,8 +110,9 @@ def block_topk(
     # broadcast or a (skew-splitting) shuffled join from the measured size of the key list.
     right = right.join(_fresh(left, keys).distinct(), keys, "left_semi")
 
-    hot_left = F.broadcast(hot_keys(left, keys, left_block, "_lb"))
-    hot_right = F.broadcast(hot_keys(right, keys, right_block, "_rb"))
+    place = F.broadcast if broadcast_hot else lambda df: df
+    hot_left = place(hot_keys(left, keys, left_block, "_lb"))
+    hot_right = place(hot_keys(right, keys, right_block, "_rb"))
     left = copy_to_blocks(assign_block(left, hot_left, keys, scoring.left_id, "_lb"), hot_right, keys, "_rb")
     right = copy_to_blocks(assign_block(right, hot_right, keys, scoring.right_id, "_rb"), hot_left, keys, "_lb")
 

@@ -10,6 +10,7 @@ from lorebank.operators.answers import locate_quote
 
 _WORD = r"[\p{L}\p{N}]+"
 _GRAM = 4
+_CHARS = 3
 
 
 def _words(c: str) -> Column:
@@ -27,13 +28,27 @@ def _grams(words: Column, n: int) -> Column:
     return let(words, runs)
 
 
+def _char_runs(c: str) -> Column:
+    """Every run of one to three characters."""
+
+    def runs(chars: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(chars), F.lit(1)))
+
+        def of_length(n: int) -> Column:
+            return F.transform(at, lambda i: F.array_join(F.slice(chars, i, n), ""))
+
+        return F.flatten(F.array(*[of_length(n) for n in range(1, _CHARS + 1)]))
+
+    return let(F.split(F.col(c), ""), runs)
+
+
 def find_quotes(notes: DataFrame, quotes: DataFrame) -> DataFrame:
     """All (quote, note) pairs with the first place where the quote stands verbatim.
 
     ``notes``: note_id, content; ``quotes``: quote_id, quote. A verbatim quote shares all of its inner
     words with the note (its first and last word may be cut), so one run of four inner words is a
-    sound join key; quotes with fewer inner words use one inner word, and quotes of one or two words
-    are looked up inside single words. Candidates are verified on the text, so the anchor only prunes.
+    sound join key; quotes with fewer inner words use one inner word, and quotes of at most two words
+    use their first three characters. Candidates are verified on the text, so the anchor only prunes.
     """
     w = _words("quote")
     inner = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
@@ -49,7 +64,10 @@ def find_quotes(notes: DataFrame, quotes: DataFrame) -> DataFrame:
         text = notes.select("note_id", F.explode(F.array_distinct(keys)).alias("anchor"))
         return text.join(anchored.select("quote_id", "quote", "anchor"), "anchor").select("note_id", "quote_id", "quote")
 
-    pairs = candidates(by_run, _grams(_words("content"), _GRAM)).unionByName(candidates(by_word, _words("content")))
+    by_chars = asked.where(F.size("inner") == 0).withColumn("anchor", F.left("quote", F.lit(_CHARS))).where(F.col("anchor") != "")
+    pairs = candidates(by_run, _grams(_words("content"), _GRAM)).unionByName(candidates(by_word, _words("content"))).unionByName(
+        candidates(by_chars, _char_runs("content"))
+    )
     return (
         pairs.join(notes.select("note_id", "content"), "note_id")
         .where(F.contains("content", "quote"))

@@ -19,6 +19,7 @@ from lorebank.operators import gates as G
 from lorebank.operators import index as I
 from lorebank.operators import organise as O
 from lorebank.operators import quotes as QT
+from lorebank.operators.lookback import preceding_rows
 from lorebank.plans import model as M
 from lorebank.plans import sqlparts as Q
 from lorebank.sources import captions as CA
@@ -150,11 +151,8 @@ SELECT user_id, note_id, len(rs) = 0 AS accepted, array_to_string(rs, ',') AS re
 
 def question_quality_gate_q(spark: SparkSession, d: str) -> DataFrame:
     """Every turn as a question with all its earlier turns of the last eight as history."""
-    from pyspark.sql import Window
-
-    recent = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-8, -1)
     conv = F.col("conv_id")
-    turns = M.turns(spark, d).withColumn("history", F.collect_list(F.struct("role", "text")).over(recent))
+    turns = preceding_rows(M.turns(spark, d), ["conv_id"], "turn", F.struct("role", "text"), 8, "history")
     rows = turns.select(
         "user_id",
         F.concat_ws(":", conv.cast("string"), F.col("turn").cast("string")).alias("question_id"),

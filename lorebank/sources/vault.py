@@ -61,13 +61,18 @@ def note_fields(markdown: Column | str, file_name: Column | str) -> Column:
     )
 
 
+def _decoded(c: str) -> Column:
+    """File names arrive percent-encoded; a plus sign stands for itself."""
+    return F.url_decode(F.replace(F.col(c), F.lit("+"), F.lit("%2B")))
+
+
 def read_vault(spark: SparkSession, path: str, user_id: str) -> DataFrame:
     """All ``*.md`` files under a directory, one note per file."""
     files = (
         spark.read.option("pathGlobFilter", "*.md")
         .option("recursiveFileLookup", "true")
         .text(path, wholetext=True)
-        .select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"))
+        .select("value", _decoded("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"))
     )
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return files.select(
