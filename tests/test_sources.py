@@ -95,7 +95,7 @@ def test_vault_files_round_trip(spark, tmp_path):
     back = {r.source: r for r in vault.read_vault(spark, str(tmp_path / "u"), "u").collect()}
     first = back["A-B- -q-.md"]
     assert len(back) == 3 and first.content == "body one" and first.tags == ["x", "y"] and first.related_note_ids == ["2"]
-    assert first.created_at == "2024-01-01T00:00:00.000Z" and first.title == 'A/B: \\"q\\'
+    assert first.created_at == "2024-01-01T00:00:00.000Z" and first.title == 'A/B: \\"q\\"'
     assert back["Same-2.md"].topic == ""
 
 
