@@ -168,6 +168,12 @@ def sections(content: Column | str) -> Column:
     return F.filter(parts, lambda s: s["text"] != "")
 
 
+def _joined(toks: Column) -> Column:
+    """Window text; only its last token can end in blanks."""
+    blanks = F.length(F.regexp_extract(F.element_at(toks, -1), f"[{K.WS}]*$", 0))
+    return let(F.array_join(toks, ""), lambda text: F.left(text, F.length(text) - blanks))
+
+
 def _windows(section: Column, size: int, overlap: int) -> Column:
     step = size - overlap
 
@@ -184,7 +190,7 @@ def _windows(section: Column, size: int, overlap: int) -> Column:
                         (section["start"] + F.aggregate(F.slice(lens, 1, w), F.lit(0), lambda a, v: a + v)).alias("start"),
                     ),
                     lambda p: let(
-                        F.regexp_replace(F.array_join(p["toks"], ""), f"[{K.WS}]+$", ""),
+                        _joined(p["toks"]),
                         lambda text: F.struct(
                             section["heading_path"].alias("heading_path"),
                             text.alias("content"),

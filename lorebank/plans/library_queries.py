@@ -378,7 +378,7 @@ SELECT n.user_id, n.note_id, CASE WHEN doc_id % 2 = 0 THEN topic ELSE title END
 
 
 def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    q = M.with_scopes(M.questions(spark, d, vectors=False))
+    q = M.with_scopes(M.questions(spark, d))
     lib = M.notes(spark, d)
     return q, lib, A.rank_notes(q, lib)
 

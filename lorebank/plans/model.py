@@ -152,6 +152,11 @@ def index_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def searchable_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searchable part of the index, resolved once per batch of questions: every channel reads it several times."""
+    return _stored(spark, sf_dir, "searchable", lambda: searchable_rows(spark, sf_dir))
+
+
+def searchable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = notes(spark, sf_dir).select("user_id", "note_id")
     return I.searchable(index_chunks(spark, sf_dir), ledger(spark, sf_dir), lib)
 
@@ -162,7 +167,12 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def questions(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch of questions, prepared once: every channel reads it several times."""
+    return _stored(spark, sf_dir, "questions", lambda: question_rows(spark, sf_dir))
+
+
+def question_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user turn as a question of one user, with its standalone query, terms and vector."""
     q = history_queries(turns(spark, sf_dir)).select(
         "user_id",
@@ -171,7 +181,7 @@ def questions(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFra
         "query",
         search_terms("query").alias("search_terms"),
     )
-    return q.withColumn("embedding", embed_column("query", hash_embedder())) if vectors else q
+    return q.withColumn("embedding", embed_column("query", hash_embedder()))
 
 
 def with_scopes(q: DataFrame) -> DataFrame:

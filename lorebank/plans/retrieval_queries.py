@@ -103,7 +103,7 @@ CHUNK_SECTIONS_SQL = CHUNK_SECTIONS_SQL.replace(Q.squash("head"), Q.trim("head")
 
 
 def searchable_chunks_q(spark: SparkSession, d: str) -> DataFrame:
-    return M.searchable_chunks(spark, d).select("user_id", "note_id", "chunk_id", "content_hash", long("ordinal"))
+    return M.searchable_rows(spark, d).select("user_id", "note_id", "chunk_id", "content_hash", long("ordinal"))
 
 
 SEARCHABLE_SQL = Q.with_(Q.SEARCHABLE) + "SELECT user_id, note_id, chunk_id, content_hash, CAST(ordinal AS BIGINT) AS ordinal FROM searchable"
@@ -279,7 +279,7 @@ UNION ALL SELECT w.chunk_id, w.user_id, w.note_id, q.content_hash, 1 FROM window
 
 
 def keyword_topk_q(spark: SparkSession, d: str) -> DataFrame:
-    q = M.questions(spark, d, vectors=False)
+    q = M.questions(spark, d)
     return R.keyword_topk(q, M.searchable_chunks(spark, d)).select("user_id", "question_id", "chunk_id", "hits", long("rank"))
 
 
@@ -406,7 +406,7 @@ COUNTS_SQL = Q.with_(Q.HYBRID) + f"""SELECT q.user_id, q.question_id,
 
 
 def history_query_q(spark: SparkSession, d: str) -> DataFrame:
-    return M.questions(spark, d, vectors=False).select("user_id", "question_id", "query")
+    return M.question_rows(spark, d).select("user_id", "question_id", "query")
 
 
 HISTORY_SQL = Q.with_(Q.QUESTIONS) + "SELECT user_id, question_id, query FROM questions"
