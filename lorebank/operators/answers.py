@@ -245,8 +245,11 @@ def rank_notes(questions: DataFrame, notes: DataFrame, scan: int = K.BASIC_SCAN,
         "user_id", "note_id", F.array_distinct(overlap_tokens(note_search_text())).alias("note_tokens")
     )
     asked = questions.select(*QUESTION, overlap_tokens("query").alias("q_tokens"))
+    # Comparing token lists is heavy per byte: a fixed partition count keeps AQE from merging the work.
+    tasks = int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     scored = (
-        candidates.join(asked, QUESTION)
+        candidates.repartition(tasks, *QUESTION)
+        .join(asked.repartition(tasks, *QUESTION), QUESTION)
         .join(tokens, ["user_id", "note_id"])
         .select(
             *QUESTION,
