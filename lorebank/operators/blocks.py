@@ -155,10 +155,11 @@ def _pair_scorer(keys: list[str], s: Scoring, out: T.StructType, digits: int | N
         if left.num_rows == 0 or right.num_rows == 0:
             return arrow_out.empty_table()
         right = right.sort_by([(s.tie, "ascending")])
+        score_of = _right_side(right, s)
         rows, cols, vals = [], [], []
         for start in range(0, left.num_rows, _TILE_ROWS):
             tile = left.slice(start, _TILE_ROWS)
-            scores, valid = _tile_scores(tile, right, s)
+            scores, valid = _tile_scores(tile, right, s, score_of)
             if digits is not None:
                 scores = np.round(scores, digits)
             r, c = _best(scores, valid, s.k)
@@ -175,16 +176,20 @@ def _pair_scorer(keys: list[str], s: Scoring, out: T.StructType, digits: int | N
     return score_pair
 
 
-def _tile_scores(tile: pa.Table, right: pa.Table, s: Scoring) -> tuple[np.ndarray, np.ndarray]:
-    n, m = tile.num_rows, right.num_rows
-    valid = np.ones((n, m), dtype=bool)
+def _right_side(right: pa.Table, s: Scoring):
+    """Prepare the right rows of a pair once; the result scores one tile of left rows."""
+    m = right.num_rows
     if s.kind == "vector":
-        scores, ok = _cosine(tile.column(s.feature), right.column(s.feature), s.dim)
-        valid &= ok
-    elif s.kind == "terms":
-        scores = _shared_tokens(tile.column(s.feature), right.column(s.feature))
-    else:
-        scores = np.zeros((n, m))
+        b, right_ok = _matrix(right.column(s.feature), s.dim)
+        return lambda tile: _cosine(tile.column(s.feature), b, right_ok, s.dim)
+    if s.kind == "terms":
+        postings = _Postings(right.column(s.feature))
+        return lambda tile: (postings.score(tile.column(s.feature)), np.ones((tile.num_rows, m), dtype=bool))
+    return lambda tile: (np.zeros((tile.num_rows, m)), np.ones((tile.num_rows, m), dtype=bool))
+
+
+def _tile_scores(tile: pa.Table, right: pa.Table, s: Scoring, score_of) -> tuple[np.ndarray, np.ndarray]:
+    scores, valid = score_of(tile)
     if s.above is not None:
         valid &= scores > s.above
     if s.not_self:
@@ -204,9 +209,8 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     return pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists)
 
 
-def _cosine(left: pa.ChunkedArray, right: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def _cosine(left: pa.ChunkedArray, b: np.ndarray, right_ok: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     a, left_ok = _matrix(left, dim)
-    b, right_ok = _matrix(right, dim)
     na, nb = np.sqrt(np.einsum("ij,ij->i", a, a)), np.sqrt(np.einsum("ij,ij->i", b, b))
     norm = na[:, None] * nb[None, :]
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -228,51 +232,57 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return out, ok
 
 
-def _shared_tokens(left: pa.ChunkedArray, right: pa.ChunkedArray) -> np.ndarray:
-    """Sum over left tokens (with multiplicity) that occur in the right row's token set."""
-    n, m = len(left), len(right)
-    lrow, ltok = _flat(left)
-    rrow, rtok = _flat(right)
-    scores = np.zeros((n, m))
-    if not len(ltok) or not len(rtok):
-        return scores
-    vocab = pc.unique(ltok)
-    lid = pc.index_in(ltok, value_set=vocab).to_numpy(zero_copy_only=False).astype(np.int64)
-    hit = pc.index_in(rtok, value_set=vocab)
-    known = pc.is_valid(hit).to_numpy(zero_copy_only=False)
-    rid = pc.drop_null(hit).to_numpy().astype(np.int64)
-    rrow = rrow[known]
-    if not len(rid):
-        return scores
-    # Right side is a set: one entry per (token, row).
-    pair = np.unique(rid * m + rrow)
-    rid, rrow = pair // m, pair % m
-    pair, count = np.unique(lid * n + lrow, return_counts=True)
-    lid, lrow = pair // n, pair % n
-
-    df = np.bincount(rid, minlength=len(vocab))
-    # Frequent tokens: one small matrix product. The rest: walk the (short) posting lists.
-    dense = np.argsort(-df, kind="stable")[:_DENSE_TOKENS]
-    dense = dense[df[dense] > 0]
-    slot = np.full(len(vocab), -1)
-    slot[dense] = np.arange(len(dense))
-    a = np.zeros((n, len(dense)))
-    b = np.zeros((m, len(dense)))
-    lsel, rsel = slot[lid] >= 0, slot[rid] >= 0
-    a[lrow[lsel], slot[lid[lsel]]] = count[lsel]
-    b[rrow[rsel], slot[rid[rsel]]] = 1.0
-    scores += a @ b.T
-    if len(vocab) > len(dense):
-        lid, lrow, count = lid[~lsel], lrow[~lsel], count[~lsel]
-        rid, rrow = rid[~rsel], rrow[~rsel]
-        start = np.searchsorted(rid, lid, side="left")
-        reps = np.searchsorted(rid, lid, side="right") - start
-        if reps.sum():
-            offsets = np.repeat(start - np.concatenate(([0], np.cumsum(reps)[:-1])), reps)
-            at = rrow[np.arange(reps.sum()) + offsets]
-            flat = np.bincount(np.repeat(lrow, reps) * m + at, weights=np.repeat(count, reps), minlength=n * m)
+class _Postings:
+    """Token sets of a block's right rows, ordered by token."""
+
+    def __init__(self, column: pa.ChunkedArray) -> None:
+        self.m = len(column)
+        row, tokens = _flat(column)
+        encoded = pc.dictionary_encode(tokens)
+        self.tokens = encoded.dictionary
+        code = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        pair = np.unique(code * self.m + row)  # a set: one entry per (token, row)
+        self.rows = pair % self.m
+        self.df = np.bincount(pair // self.m, minlength=len(self.tokens))
+        self.start = np.concatenate(([0], np.cumsum(self.df)[:-1])).astype(np.int64)
+
+    def entries(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For codes in order: position of the code, repeated per posting, and the posting's row."""
+        reps = self.df[codes]
+        ends = np.cumsum(reps)
+        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - reps, reps) + np.repeat(self.start[codes], reps)
+        return np.repeat(np.arange(len(codes)), reps), self.rows[at]
+
+    def score(self, left: pa.ChunkedArray) -> np.ndarray:
+        """Sum over left tokens (with multiplicity) that occur in the right row's token set."""
+        n, m = len(left), self.m
+        row, tokens = _flat(left)
+        scores = np.zeros((n, m))
+        if not len(tokens) or not len(self.tokens):
+            return scores
+        hit = pc.index_in(tokens, value_set=self.tokens)
+        row = row[pc.is_valid(hit).to_numpy(zero_copy_only=False)]
+        code = pc.drop_null(hit).to_numpy().astype(np.int64)
+        pair, count = np.unique(code * n + row, return_counts=True)
+        code, row = pair // n, pair % n
+        # Frequent tokens: one small matrix product. The rest: walk the (short) posting lists.
+        used = np.unique(code)
+        frequent = used[np.argsort(-self.df[used], kind="stable")[:_DENSE_TOKENS]]
+        slot = np.full(len(self.tokens), -1)
+        slot[frequent] = np.arange(len(frequent))
+        dense = slot[code] >= 0
+        a = np.zeros((n, len(frequent)))
+        a[row[dense], slot[code[dense]]] = count[dense]
+        b = np.zeros((m, len(frequent)))
+        which, at = self.entries(frequent)
+        b[at, which] = 1.0
+        scores += a @ b.T
+        code, row, count = code[~dense], row[~dense], count[~dense]
+        if len(code):
+            which, at = self.entries(code)
+            flat = np.bincount(row[which] * m + at, weights=count[which], minlength=n * m)
             scores += flat.reshape(n, m)
-    return scores
+        return scores
 
 
 def _apply_scopes(valid: np.ndarray, tile: pa.Table, right: pa.Table) -> None:
