@@ -40,14 +40,18 @@ def index_rows(notes: DataFrame, embedder: Embedder | None = None, **shape: int)
     return rows
 
 
+def postings(chunks: DataFrame) -> DataFrame:
+    """One row per (user, term, chunk) of the current version."""
+    return chunks.where(F.col("index_version") == K.INDEX_VERSION).select(
+        "user_id", F.explode("search_terms").alias("term"), "note_id", "chunk_id"
+    )
+
+
 def searchable(chunks: DataFrame, ledger: DataFrame, notes: DataFrame, note_columns: tuple[str, ...] = ()) -> DataFrame:
     """Chunks of the current version whose note is ready with the same content hash."""
     ready = ledger.where(F.col("status") == "ready").select(*NOTE_KEY, "content_hash")
-    return (
-        chunks.where(F.col("index_version") == K.INDEX_VERSION)
-        .join(ready, [*NOTE_KEY, "content_hash"])
-        .join(notes.select(*NOTE_KEY, *note_columns), NOTE_KEY)
-    )
+    current = chunks.where(F.col("index_version") == K.INDEX_VERSION).drop(*note_columns)
+    return current.join(ready, [*NOTE_KEY, "content_hash"]).join(notes.select(*NOTE_KEY, *note_columns), NOTE_KEY)
 
 
 def coverage(notes: DataFrame, ledger: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -682,6 +682,18 @@ def video_captions_q(spark: SparkSession, d: str) -> DataFrame:
     return CA.caption_imports(media, table, F.lit(AT)).select("import_id", "status", "platform", "title", F.length("extracted_text").cast("long").alias("n_chars"), P.parse_trace("markdown", "platform")["reliability"].alias("reliability"))
 
 
+VIDEO_CAPTIONS_SQL = f"""WITH c AS (SELECT doc_id // 4 AS m, text, ['en', 'zh', 'de', 'zh-CN', 'en', 'zh-Hans', 'fr'][doc_id % 7 + 1] AS lang, doc_id
+  FROM documents WHERE doc_id % 5 <> 0),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY list_position(['zh-Hans', 'zh-CN', 'zh', 'en'], lang), doc_id % 2, doc_id) AS k FROM c
+  WHERE lang IN ('zh-Hans', 'zh-CN', 'zh', 'en')) WHERE k = 1),
+l AS (SELECT m, list_filter(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: {Q.trim('x')}), lambda x: x <> '' AND x <> 'WEBVTT'
+    AND NOT contains(x, '-->') AND NOT regexp_matches(x, '^[0-9]+$') AND NOT starts_with(x, 'NOTE')),
+    lambda x: {Q.trim("regexp_replace(x, '<[^>]+>', '', 'g')")}), lambda x: x <> '') AS s FROM b),
+t AS (SELECT m, array_to_string(list_filter(s, lambda x, i: i = 1 OR x <> s[i - 1]), chr(10)) AS x FROM l)
+SELECT CAST(m AS VARCHAR) AS import_id, 'ready' AS status, 'YouTube' AS platform, 'YouTube{K.VIDEO_TITLE_SUFFIX}' AS title, length(x) AS n_chars,
+  '{K.REL_LINK}' AS reliability FROM t WHERE x <> ''"""
+
+
 def _xml(c: str) -> Column:
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
     return F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
@@ -717,6 +729,10 @@ def feed_import_q(spark: SparkSession, d: str) -> DataFrame:
     return FE.feed_imports(_feeds(spark, d), F.lit(AT)).select("import_id", "status", "platform", "title", "extracted_text", joined("warnings"))
 
 
+FEED_IMPORT_SQL = NOTES + f""", f AS (SELECT note_id, {Q.trim(_steps(_steps(Q.squash("string_split(content, chr(10))[1]"), K.HTML_NOISE), K.HTML_TO_MARKDOWN))} AS md FROM notes)
+SELECT note_id AS import_id, 'needs-action' AS status, 'f.example.org' AS platform, 'Part 0' AS title, {_PLAIN} AS extracted_text, '{K.WARN_FEED_AUDIO}' AS warnings FROM f"""
+
+
 # ---- vaults, json, uploads ----------------------------------------------------------------------
 
 
@@ -874,9 +890,9 @@ QUERIES = {
     "provenance_mix": (provenance_mix_q, PROVENANCE_SQL),
     "caption_transcript": (caption_transcript_q, CAPTION_SQL),
     "best_caption": (best_caption_q, BEST_CAPTION_SQL),
-    "video_captions": (video_captions_q, None),
+    "video_captions": (video_captions_q, VIDEO_CAPTIONS_SQL),
     "feed_items": (feed_items_q, FEED_ITEMS_SQL),
-    "feed_import": (feed_import_q, None),
+    "feed_import": (feed_import_q, FEED_IMPORT_SQL),
     "front_matter_roundtrip": (front_matter_roundtrip_q, FRONT_MATTER_SQL),
     "vault_export": (vault_export_q, VAULT_SQL),
     "json_library": (json_library_q, JSON_SQL),

@@ -158,3 +158,16 @@ def test_replies_are_accepted_as_a_whole(spark):
     assert {r.batch_id for r in got if r.accepted} == {"a"}
     assert {(r['index'], tuple(r.embedding)) for r in got if r.accepted} == {(0, (0.0, 1.0)), (1, (1.0, 1.0))}
     assert all(r.embedding is None for r in got if not r.accepted)
+
+
+def test_sql_views(spark, library):
+    from lorebank.plans.sql_views import register_views
+
+    notes, ledger, chunks = library
+    lib = notes.withColumns({"title": F.col("note_id"), "source": F.lit(""), "topic": F.lit("t"), "tags": F.array(F.lit("x")), "related_note_ids": F.array(F.lit("stale"))})
+    register_views(spark, lib, ledger, chunks.withColumn("search_terms", F.array(F.lit("a"), F.lit("b"))))
+    assert spark.sql("SELECT title FROM searchable_chunks ORDER BY 1").collect()[0].title == "current"
+    assert spark.sql("SELECT count(*) FROM postings WHERE term = 'a'").first()[0] == 2
+    assert spark.sql("SELECT missing FROM index_coverage WHERE user_id = 'u'").first()[0] == 3
+    assert spark.sql("SELECT content FROM note_chunks WHERE note_id = 'failed'").first()[0] == "six"
+    assert spark.sql("SELECT count(*) FROM relation_edges").first()[0] == 8

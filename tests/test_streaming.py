@@ -76,9 +76,9 @@ def edit_rows():
 def plain_bursts(rows):
     out = set()
     for note in {r[1] for r in rows}:
-        mine = sorted((r for r in rows if r[1] == note), key=lambda r: (r[2], r[3]))
-        bursts = [[mine[0]]]
-        for r in mine[1:]:
+        own = sorted((r for r in rows if r[1] == note), key=lambda r: (r[2], r[3]))
+        bursts = [[own[0]]]
+        for r in own[1:]:
             if r[2] - bursts[-1][-1][2] <= timedelta(milliseconds=700):
                 bursts[-1].append(r)
             else:
