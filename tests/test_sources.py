@@ -115,7 +115,7 @@ def test_append_is_gated_and_partitioned(spark, tmp_path):
     assert [(r.note_id, r.reasons) for r in rejected.collect()] == [("2", ["title"])]
     assert {r.note_id for r in library.read_notes(spark, path).collect()} == {"1", "3"}
     own = library.read_notes(spark, path, "v")
-    assert own.first().tags == ["a"] and "PartitionFilters: [isnotnull(user_id" in own._jdf.queryExecution().executedPlan().toString()
+    assert own.first().tags == ["a"] and "PartitionFilters: [isnotnull(user_bucket" in own._jdf.queryExecution().executedPlan().toString()
 
 
 def test_uploads_source(spark, tmp_path):
