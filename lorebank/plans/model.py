@@ -181,6 +181,8 @@ def question_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query",
         search_terms("query").alias("search_terms"),
     )
+    # embedding is heavy per byte: a fixed partition count keeps AQE from merging the work
+    q = q.repartition(spark.sparkContext.defaultParallelism)
     return q.withColumn("embedding", embed_column("query", hash_embedder()))
 
 
