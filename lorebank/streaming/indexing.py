@@ -13,6 +13,7 @@ result exactly-once. The checkpoint keeps the backlog across restarts.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -65,16 +66,20 @@ def work_of(batch: DataFrame, ledger: DataFrame) -> DataFrame:
 def process_batch(batch: DataFrame, batch_id: int, root: str, embedder: Embedder | None = None) -> None:
     """Index one micro-batch; safe to repeat."""
     spark = batch.sparkSession
-    work = work_of(batch, read_ledger(spark, root).where(F.col("batch") < batch_id))
-    live = work.where(~F.col("deleted"))
-    index_rows(live.select(*NOTE_KEY, "content"), embedder).write.mode("overwrite").parquet(f"{root}/chunks/batch={batch_id}")
-    (
-        work.select(
-            *NOTE_KEY, "content_hash", "version", F.lit("ready").alias("status"), "deleted", "updated_at", F.current_timestamp().alias("indexed_at")
+    # Kept for the two writes only; a lost executor's part is recomputed from the source.
+    work = work_of(batch, read_ledger(spark, root).where(F.col("batch") < batch_id)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        live = work.where(~F.col("deleted"))
+        index_rows(live.select(*NOTE_KEY, "content"), embedder).write.mode("overwrite").parquet(f"{root}/chunks/batch={batch_id}")
+        (
+            work.select(
+                *NOTE_KEY, "content_hash", "version", F.lit("ready").alias("status"), "deleted", "updated_at", F.current_timestamp().alias("indexed_at")
+            )
+            .write.mode("overwrite")
+            .parquet(f"{root}/ledger/batch={batch_id}")
         )
-        .write.mode("overwrite")
-        .parquet(f"{root}/ledger/batch={batch_id}")
-    )
+    finally:
+        work.unpersist()
 
 
 def start_index_stream(
