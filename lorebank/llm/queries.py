@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebank.llm import exact_dedup, url_filter
+from lorebank.llm import exact_dedup, mixing, url_filter
 from lorebank.llm.common import table
 
 #: The policy that op2 is asked to judge by: host, path prefix, verdict.
@@ -23,6 +23,48 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times", "source")
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
+  FROM documents),
+c AS (SELECT *, CASE WHEN size > 0 THEN length(ltrim(bin(size), '0')) ELSE 0 END AS class FROM d),
+src AS (SELECT source, sum(size)::BIGINT AS source_size FROM c GROUP BY source),
+w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 AS weight FROM src),
+lv AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER b, 0))::DOUBLE
+                 / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level
+       FROM w WINDOW b AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tg AS (SELECT source, source_size, least((3 * source_size)::DOUBLE,
+         coalesce((SELECT max(level) FROM lv WHERE level * weight <= 3 * source_size), 0.0::DOUBLE) * weight) AS target FROM lv),
+cl AS (SELECT source, class, sum(size)::BIGINT AS words FROM c GROUP BY source, class),
+ra AS (SELECT cl.*, tg.source_size, tg.target, class + 32 AS uu,
+         sum(words * (class + 32)) OVER o - coalesce(sum(words * (class + 32)) OVER a, 0) AS remaining,
+         3 * coalesce(sum(words) OVER a, 0) AS used
+       FROM cl JOIN tg ON cl.source IS NOT DISTINCT FROM tg.source
+       WINDOW o AS (PARTITION BY cl.source),
+              a AS (PARTITION BY cl.source ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+rb AS (SELECT *, CASE WHEN remaining > 0 AND (target - used) / remaining::DOUBLE * uu <= 3
+                      THEN (target - used) / remaining::DOUBLE END AS rate FROM ra),
+pl AS (SELECT *, greatest(0.0::DOUBLE, least(3.0::DOUBLE, coalesce(
+         max_by(rate, CASE WHEN rate IS NOT NULL THEN class END) OVER (PARTITION BY source), 3.0::DOUBLE) * uu)) AS copies FROM rb),
+pt AS (SELECT c.*, pl.source_size, pl.target, floor(copies) AS sure, copies - floor(copies) AS p
+       FROM c JOIN pl ON c.source IS NOT DISTINCT FROM pl.source AND c.class = pl.class),
+rk AS (SELECT *, CASE WHEN p > 0 THEN (u * (1 - p)) / (u * (1 - p) + (1 - u) * p) END AS odds FROM pt),
+du AS (SELECT *, target - sum(sure * size) OVER (PARTITION BY source) AS due,
+         coalesce(sum(CASE WHEN odds IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY odds NULLS LAST, doc_id NULLS LAST, size
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sofar FROM rk)
+SELECT doc_id, size, source_size, target, source,
+       (sure + CASE WHEN odds IS NOT NULL AND sofar < due AND sofar + size / 2 <= due THEN 1 ELSE 0 END)::BIGINT AS times,
+       ((sure + CASE WHEN odds IS NOT NULL AND sofar < due AND sofar + size / 2 <= due THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM du
+"""
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group and winner of every document by normalised text."""
     out = exact_dedup.dedup(table(spark, sf_dir, "documents"))
@@ -39,5 +81,6 @@ FROM t WINDOW w AS (PARTITION BY body)
 
 QUERIES = {
     "op2_url_filter": (op2_url_filter, None),
+    "op5_source_mix": (op5_source_mix, OP5_SQL),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
 }
