@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebank.llm import exact_dedup, mixing, sharding, url_filter
+from lorebank.llm import exact_dedup, mixing, quality, sharding, url_filter
 from lorebank.llm.common import table
 
 #: The policy that op2 is asked to judge by: host, path prefix, verdict.
@@ -71,6 +71,11 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a factorisation machine."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group and winner of every document by normalised text."""
     out = exact_dedup.dedup(table(spark, sf_dir, "documents"))
@@ -89,5 +94,6 @@ QUERIES = {
     "op2_url_filter": (op2_url_filter, None),
     "op5_source_mix": (op5_source_mix, OP5_SQL),
     "op7_shards": (op7_shards, None),
+    "op8_quality": (op8_quality, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
 }
