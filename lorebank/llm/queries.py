@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebank.llm import exact_dedup, mixing, quality, sharding, url_filter
+from lorebank.llm import exact_dedup, minhash, mixing, quality, sharding, url_filter
 from lorebank.llm.common import table
 
 #: The policy that op2 is asked to judge by: host, path prefix, verdict.
@@ -23,6 +23,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    out = minhash.near_groups(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times", "source")
@@ -92,6 +98,7 @@ FROM t WINDOW w AS (PARTITION BY body)
 
 QUERIES = {
     "op2_url_filter": (op2_url_filter, None),
+    "op4_minhash": (op4_minhash, None),
     "op5_source_mix": (op5_source_mix, OP5_SQL),
     "op7_shards": (op7_shards, None),
     "op8_quality": (op8_quality, None),
