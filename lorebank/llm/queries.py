@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebank.llm import exact_dedup, minhash, mixing, quality, sharding, url_filter
+from lorebank.llm import exact_dedup, minhash, mixing, packing, quality, sharding, url_filter
 from lorebank.llm.common import table
 
 #: The policy that op2 is asked to judge by: host, path prefix, verdict.
@@ -71,6 +72,11 @@ FROM du
 """
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen shards of near equal bytes."""
     out = sharding.shard(table(spark, sf_dir, "documents"), 16)
@@ -100,6 +106,7 @@ QUERIES = {
     "op2_url_filter": (op2_url_filter, None),
     "op4_minhash": (op4_minhash, None),
     "op5_source_mix": (op5_source_mix, OP5_SQL),
+    "op6_packing": (op6_packing, None),
     "op7_shards": (op7_shards, None),
     "op8_quality": (op8_quality, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
