@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebank.llm import exact_dedup, minhash, mixing, packing, quality, sharding, url_filter
+from lorebank.llm import exact_dedup, html_extract, minhash, mixing, packing, quality, sharding, url_filter
 from lorebank.llm.common import table
 
 #: The policy that op2 is asked to judge by: host, path prefix, verdict.
@@ -19,6 +19,11 @@ URL_RULES = [
 ]
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict per page: longest rule, else block if an alias is blocked, else allow."""
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
@@ -103,6 +108,7 @@ FROM t WINDOW w AS (PARTITION BY body)
 
 
 QUERIES = {
+    "op1_html_text": (op1_html_text, None),
     "op2_url_filter": (op2_url_filter, None),
     "op4_minhash": (op4_minhash, None),
     "op5_source_mix": (op5_source_mix, OP5_SQL),
