@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebank.llm import exact_dedup, html_extract, minhash, mixing, packing, quality, sharding, url_filter
+from lorebank.llm import ann, exact_dedup, html_extract, minhash, mixing, packing, quality, sharding, url_filter
 from lorebank.llm.common import table
 
 #: The policy that op2 is asked to judge by: host, path prefix, verdict.
@@ -107,6 +107,11 @@ FROM t WINDOW w AS (PARTITION BY body)
 """
 
 
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth vector."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 QUERIES = {
     "op1_html_text": (op1_html_text, None),
     "op2_url_filter": (op2_url_filter, None),
@@ -116,4 +121,5 @@ QUERIES = {
     "op7_shards": (op7_shards, None),
     "op8_quality": (op8_quality, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
+    "op10_multi_index": (op10_multi_index, None),
 }
