@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebank.llm import ann, exact_dedup, html_extract, minhash, mixing, packing, quality, sharding, url_filter
+from lorebank.llm import ann, exact_dedup, html_extract, minhash, mixing, packing, quality, sharding, suffix_dedup, url_filter
 from lorebank.llm.common import table
 
 #: The policy that op2 is asked to judge by: host, path prefix, verdict.
@@ -29,6 +29,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in a repeated 200-byte string."""
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     out = minhash.near_groups(table(spark, sf_dir, "documents"))
@@ -115,6 +120,7 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_text": (op1_html_text, None),
     "op2_url_filter": (op2_url_filter, None),
+    "op3_suffix_array": (op3_suffix_array, None),
     "op4_minhash": (op4_minhash, None),
     "op5_source_mix": (op5_source_mix, OP5_SQL),
     "op6_packing": (op6_packing, None),
