@@ -243,7 +243,8 @@ def chunk_notes(
         *carry,
         F.posexplode(chunks_of("content", target, maximum, overlap)).alias("ordinal", "c"),
     ).select(
-        F.concat_ws("#", F.col("note_id"), F.lpad(F.col("ordinal").cast("string"), 6, "0")).alias("chunk_id"),
+        # six digits at least; lpad would cut longer ordinals
+        F.concat_ws("#", F.col("note_id"), F.lpad(F.col("ordinal").cast("string"), F.greatest(F.length(F.col("ordinal").cast("string")), F.lit(6)), F.lit("0"))).alias("chunk_id"),
         "user_id",
         "note_id",
         *carry,

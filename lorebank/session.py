@@ -39,12 +39,15 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint root.
 
-    ``spark.checkpoint.dir`` names storage every executor can reach. Only when it is unset (tests,
-    single machine) does a local temporary folder stand in.
+    ``spark.checkpoint.dir`` names storage every executor can reach. Only a ``local`` master, whose
+    executors share the driver's disk, may do without: a temporary folder stands in. Elsewhere this is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         import uuid
 
         return os.path.join(root, f"lorebank-{name}-{uuid.uuid4().hex}")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
     return tempfile.mkdtemp(prefix=f"spark-{name}-", dir="/tmp")

@@ -77,7 +77,7 @@ def read_vault(spark: SparkSession, path: str, user_id: str) -> DataFrame:
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return files.select(
         F.lit(user_id).alias("user_id"),
-        F.concat(F.lit("md-"), F.left(F.sha2("path", 256), F.lit(16))).alias("note_id"),
+        F.concat(F.lit("md-"), F.sha2("path", 256)).alias("note_id"),
         note_fields("value", "file").alias("n"),
     ).select("user_id", "note_id", "n.*").withColumn("created_at", F.coalesce("created_at", now)).withColumn("updated_at", now)
 

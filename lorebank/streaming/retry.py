@@ -2,49 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
 
 from lorebank import constants as K
 
-OUTPUT = "user_id string, note_id string, content_hash string, attempts int, status string, available_at timestamp"
-STATE = "failures int, last_us long, last_ok boolean"
-FORGET_MS = 30 * 60 * 1000
-
 
-def retry_schedule(outcomes: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+def retry_schedule(outcomes: DataFrame) -> DataFrame:
     """Status and next time of every note that had an attempt. ``outcomes``: user_id, note_id, content_hash, ts, ok.
 
-    State is three numbers per (note, content). Failures are counted and the latest outcome is kept,
-    both independent of arrival order and folded batch by batch. Changed content starts afresh under
-    its new hash; a key without news for half an hour is forgotten.
+    Failures are counted for good and the latest outcome decides, so the result does not depend on how outcomes are
+    batched or how late they arrive. The state is one small row per (note, content), as in the ledger; changed content
+    starts afresh under its new hash. On a stream use update mode. Of outcomes at the same instant a failure decides.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        failures, last_us, last_ok = state.get if state.exists else (0, -1, False)
-        for batch in batches:
-            failures += int((~batch["ok"]).sum())
-            us = batch["ts"].to_numpy().astype("datetime64[us]").astype("int64")
-            newest = int(us.max())
-            if newest >= last_us:
-                last_us, last_ok = newest, bool(batch["ok"].to_numpy()[us == newest].all())
-        state.update((failures, last_us, last_ok))
-        state.setTimeoutTimestamp(max(last_us // 1000, state.getCurrentWatermarkMs()) + FORGET_MS)
-        retry = 0 < failures <= len(K.RETRY_DELAYS_S) and not last_ok
-        status = "ready" if last_ok else "pending" if retry else "failed"
-        at = pd.Timestamp(last_us + K.RETRY_DELAYS_S[failures - 1] * 1_000_000, unit="us") if retry else pd.NaT
-        yield pd.DataFrame(
-            {"user_id": [key[0]], "note_id": [key[1]], "content_hash": [key[2]], "attempts": [failures], "status": [status], "available_at": [at]}
-        )
-
-    return (
-        outcomes.withWatermark("ts", watermark)
-        .groupBy("user_id", "note_id", "content_hash")
-        .applyInPandasWithState(step, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    newest = F.struct("ts", ~F.col("ok"))
+    seen = outcomes.groupBy("user_id", "note_id", "content_hash").agg(
+        F.count_if(~F.col("ok")).cast("int").alias("attempts"), F.max("ts").alias("last"), F.max_by("ok", newest).alias("last_ok")
+    )
+    retry = ~F.col("last_ok") & F.col("attempts").between(1, len(K.RETRY_DELAYS_S))
+    delays = F.array(*[F.lit(s) for s in K.RETRY_DELAYS_S])
+    wait = F.get(delays, F.col("attempts") - 1).cast("long") * 1_000_000
+    return seen.select(
+        "user_id",
+        "note_id",
+        "content_hash",
+        "attempts",
+        F.when(F.col("last_ok"), "ready").when(retry, "pending").otherwise("failed").alias("status"),
+        F.when(retry, F.timestamp_micros(F.unix_micros("last") + wait)).alias("available_at"),
     )
