@@ -97,6 +97,38 @@ STREAM_INDEX_SQL = Q.with_(Q.WINDOWS) + """SELECT user_id, note_id, sha256(body)
   CAST(max(start_offset + length(content)) AS BIGINT) AS last FROM windows GROUP BY user_id, note_id, body"""
 
 
+_CHANGED = "(SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN 'changed ' || text ELSE text END AS text) FROM documents WHERE doc_id % 5 <> 0) d"
+STREAM_REINDEX_SQL = STREAM_INDEX_SQL.replace("FROM documents)", f"FROM {_CHANGED})")
+
+
+def stream_reindex_q(spark: SparkSession, d: str) -> DataFrame:
+    """Documents indexed, changed, deleted and arriving late, through a compaction and a fresh checkpoint.
+
+    First all documents as version 2. Then, after compaction and under a new checkpoint: a version 1 of every document
+    (late, ignored), every third document as version 3 with another text, and every fifth deleted as version 4.
+    """
+    root, compacted = shared_dir(spark, "stream-reindex"), shared_dir(spark, "stream-compacted")
+    schema = note_versions(M.read(spark, d, "documents")).schema
+
+    def load(rows: DataFrame, step: str, into: str) -> None:
+        rows.write.parquet(f"{root}/in/{step}")
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in/{step}")
+        SI.start_index_stream(source, into, f"{root}/checkpoint-{step}").awaitTermination()
+
+    base, n = note_versions(M.spread(M.read(spark, d, "documents"))), F.col("note_id").cast("long")
+    load(base.withColumn("version", F.lit(2).cast("long")), "first", f"{root}/index")
+    SI.compact(spark, f"{root}/index", compacted)
+    late = base.withColumn("content", F.concat(F.lit("late "), "content"))
+    changed = base.where(n % 3 == 0).withColumns({"version": F.lit(3).cast("long"), "content": F.concat(F.lit("changed "), "content")})
+    gone = base.where(n % 5 == 0).withColumns({"version": F.lit(4).cast("long"), "deleted": F.lit(True)})
+    load(late.unionByName(changed).unionByName(gone).select(*schema.names), "second", compacted)
+    return (
+        SI.read_chunks(spark, compacted)
+        .groupBy("user_id", "note_id", "content_hash")
+        .agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("token_count").alias("n_tokens"), F.max("end_offset").cast("long").alias("last"))
+    )
+
+
 def stream_retry_q(spark: SparkSession, d: str) -> DataFrame:
     """Errors as failed, everything else as successful attempts of the user's note, in many micro-batches out of time order."""
     root = shared_dir(spark, "stream-retry")
@@ -149,6 +181,7 @@ QUERIES = {
     "quota_audit": (quota_audit_q, QUOTA_SQL),
     "edit_coalesce": (edit_coalesce_q, EDIT_SQL),
     "stream_index": (stream_index_q, STREAM_INDEX_SQL),
+    "stream_reindex": (stream_reindex_q, STREAM_REINDEX_SQL),
     "stream_retry": (stream_retry_q, STREAM_RETRY_SQL),
     "index_freshness": (index_freshness_q, FRESHNESS_SQL),
     "job_metrics": (job_metrics_q, METRICS_SQL),

@@ -9,10 +9,15 @@ A note's current chunks are those of the batch its newest ledger row names, so a
 chunks of a note at once by writing its ledger rows last. A batch costs what its own notes cost; old
 chunks are left to :func:`compact`. A retried batch overwrites its own two directories, which makes the
 result exactly-once. The checkpoint keeps the backlog across restarts.
+
+Directory numbers never repeat. A checkpoint's micro-batches count from a base that is recorded under ``runs/`` and lies above
+every stored number, so a fresh checkpoint, or an old one continued on a compacted copy, appends and overwrites nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +87,22 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, embedder: Embedder
         work.unpersist()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def batch_base(spark: SparkSession, root: str, checkpoint: str) -> int:
+    """Number of the checkpoint's batch 0 in ``root``: kept while the checkpoint lives, else above all stored numbers."""
+    record = f"{root}/runs/{hashlib.sha256(checkpoint.encode()).hexdigest()}"
+    if _exists(spark, f"{checkpoint}/offsets") and _exists(spark, record):
+        return spark.read.parquet(record).first()["base"]
+    newest = spark.read.schema(LEDGER_ROW).parquet(f"{root}/ledger").agg(F.max("batch")).first()[0] if _exists(spark, f"{root}/ledger") else None
+    base = 0 if newest is None else newest + 1
+    spark.createDataFrame([(base,)], "base long").coalesce(1).write.mode("overwrite").parquet(record)
+    return base
+
+
 def start_index_stream(
     versions: DataFrame, root: str, checkpoint: str, embedder: Embedder | None = None, every: str | None = None
 ) -> StreamingQuery:
@@ -90,17 +111,24 @@ def start_index_stream(
     Without ``every`` the stream works off what is there and stops; ``every='10 seconds'`` keeps notes
     searchable within a minute.
     """
+    base = batch_base(versions.sparkSession, root, checkpoint)
     writer = versions.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda df, n: process_batch(df, n, root, embedder)
+        lambda df, n: process_batch(df, base + n, root, embedder)
     )
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def compact(spark: SparkSession, root: str, target: str) -> None:
-    """Write the current state as a single batch 0 of a new folder, leaving superseded rows behind."""
+    """Write the current state as one batch of a new folder, leaving superseded rows behind.
+
+    The batch keeps the newest stored number; a target that already holds a ledger is refused.
+    """
+    if _exists(spark, f"{target}/ledger"):
+        raise ValueError(f"{target} already holds an index")
     chunks, ledger = read_chunks(spark, root), read_ledger(spark, root)
-    chunks.write.mode("overwrite").parquet(f"{target}/chunks/batch=0")
-    ledger.drop("batch").write.mode("overwrite").parquet(f"{target}/ledger/batch=0")
+    newest = ledger.agg(F.max("batch")).first()[0] or 0
+    chunks.write.mode("error").parquet(f"{target}/chunks/batch={newest}")
+    ledger.drop("batch").write.mode("error").parquet(f"{target}/ledger/batch={newest}")
 
 
 def freshness(ledger: DataFrame, notes: DataFrame, within_seconds: int = 60) -> DataFrame:

@@ -46,6 +46,33 @@ def test_index_stream_survives_restarts_and_fences_late_versions(spark, tmp_path
     target = str(tmp_path / "compact")
     SI.compact(spark, root, target)
     assert {(r.note_id, r.content) for r in SI.read_chunks(spark, target).collect()} == chunks
+    with pytest.raises(ValueError):
+        SI.compact(spark, root, target)
+
+    # a fresh checkpoint on the compacted copy, then the same one again: nothing stored is overwritten
+    for name, rows in (("4", [version("d", 1, "dee")]), ("5", [version("e", 1, "eye")])):
+        drop(spark, str(tmp_path / "in2"), rows, VERSION, name)
+        source = spark.readStream.schema(VERSION).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in2"))
+        SI.start_index_stream(source, target, str(tmp_path / "fresh")).awaitTermination()
+    assert {(r.note_id, r.content) for r in SI.read_chunks(spark, target).collect()} == chunks | {("d", "dee"), ("e", "eye")}
+    assert len({r.batch for r in SI.read_ledger(spark, target).collect()}) == 3
+
+
+def test_retries_do_not_depend_on_batching(spark, tmp_path):
+    """Five failures two hours apart, one of them far out of order: the terminal state is reached either way."""
+    schema = "user_id string, note_id string, content_hash string, ts timestamp, ok boolean"
+    rows = [("u", "n", "h", T0 + timedelta(hours=2 * i), False) for i in (0, 3, 1, 4, 2)] + [("u", "m", "h", T0 + timedelta(hours=i), i != 1) for i in (2, 1)]
+    whole = {tuple(r) for r in SR.retry_schedule(spark.createDataFrame(rows, schema)).collect()}
+    assert {(r[1], r[3], r[4]) for r in whole} == {("n", 5, "failed"), ("m", 1, "ready")}
+    for i, row in enumerate(rows):
+        drop(spark, str(tmp_path / "in"), [row], schema, str(i))
+    source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = SR.retry_schedule(source).writeStream.format("memory").queryName("one_by_one").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination()
+    last = {}
+    for r in spark.table("one_by_one").orderBy("attempts").collect():
+        last[r.note_id] = tuple(r)
+    assert last["n"] in whole and ("m", 1) in {(r[1], r[3]) for r in last.values()}
 
 
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
