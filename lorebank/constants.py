@@ -127,6 +127,9 @@ WARN_SHORT_ARTICLE = "没有提取到足够正文，可能是动态渲染、登
 WARN_SHORT_WECHAT = "公众号正文过短或未能正确加载。"
 WARN_NO_WECHAT_BODY = "公众号页面没有暴露正文节点，可能需要登录或被平台限制。"
 WARN_BAD_URL = "请输入有效链接。"
+WARN_URL_CREDENTIALS = "链接不能包含账号凭据。"
+WARN_URL_BLOCKED = "该链接地址不可访问。"
+WARN_URL_PRIVATE = "该链接指向受保护的网络地址。"
 WARN_NO_FEED_ITEM = "RSS 中没有找到节目单集。"
 WARN_FEED_AUDIO = "已识别播客音频，但未配置转写 API Key。"
 FEED_TITLE = "播客"
@@ -205,6 +208,10 @@ PODCAST_NO_INTRO = "未提取到节目简介。"
 PODCAST_AUDIO_LINE = "音频链接："
 PODCAST_AUDIO_NEXT = "> 配置转写模型后可自动提取播客全文。"
 PODCAST_NO_AUDIO_NEXT = "> 未找到可直接访问的音频链接，可上传音频文件进行转写。"
+AUDIO_TITLE = "播客音频"
+AUDIO_METHOD = "音频直链保存"
+AUDIO_BODY = "> 已识别音频链接。配置转写模型后可自动提取播客内容。"
+AUDIO_WARNING = "未配置 AI Key，未执行语音转写。"
 PODCAST_AUDIO_METHOD = "播客页面提取音频链接"
 PODCAST_PAGE_METHOD = "播客页面信息提取"
 PODCAST_WARN_AUDIO = "已找到音频链接，但未配置转写 API Key。"

@@ -539,6 +539,37 @@ imports AS MATERIALIZED (SELECT import_id, CASE WHEN short IS NOT NULL THEN 'nee
 PAGE_IMPORT_SQL = Q.with_(_IMPORTS) + "SELECT * FROM imports"
 
 
+#: Kinds of imports that the pages are turned into, each with what must come of it: status, source_type, warning.
+_BRANCHES = (
+    ("https://cdn.example.org/{i}/talk%20{i}.mp3", "{h}", "needs-action", "podcast", "未配置 AI Key，未执行语音转写。"),
+    ("https://p.example.org/feed/{i}", '<?xml version="1.0"?><rss><channel><title>C</title><item><title>E{i}</title><description>d</description><enclosure url="https://cdn.example.org/{i}.mp3" length="1"/></item></channel></rss>', "needs-action", "podcast", "已识别播客音频，但未配置转写 API Key。"),
+    ("https://p.example.org/feed/{i}", "<rss><channel><title>C</title></channel></rss>", "needs-action", "podcast", "RSS 中没有找到节目单集。"),
+    ("https://youtu.be/{i}", "{h}", "needs-action", "video", "未找到字幕。"),
+    ("http://10.0.0.{b}/{i}", "{h}", "failed", "article", "该链接指向受保护的网络地址。"),
+    ("https://me:pw@a.example.org/{i}", "{h}", "failed", "article", "链接不能包含账号凭据。"),
+    ("http://localhost/{i}", "{h}", "failed", "article", "该链接地址不可访问。"),
+    ("not a link {i}", "{h}", "failed", "article", "请输入有效链接。"),
+    ("https://mp.weixin.qq.com/s/{i}", "<html><title>t</title><body>x</body></html>", "needs-action", "article", "公众号页面没有暴露正文节点，可能需要登录或被平台限制。"),
+    ("https://mp.weixin.qq.com/s/{i}", '<html><span class="rich_media_meta rich_media_meta_nickname">A{i}</span><section id="js_content">' + "<section><p>some words of text </p></section>" * 3 + "</section><p>noise</p></html>", "ready", "article", "作者：A{i}"),
+)
+
+
+def import_branches_q(spark: SparkSession, d: str) -> DataFrame:
+    """Every page through every branch of the import: audio, feeds, video, refused urls, platform layouts."""
+    i = F.col("page_id").cast("string")
+    fill = lambda t: F.replace(F.replace(F.replace(F.lit(t), F.lit("{i}"), i), F.lit("{b}"), (F.col("page_id") % 250).cast("string")), F.lit("{h}"), F.col("html"))
+    rows = F.array(*[F.struct(F.lit(k).alias("branch"), fill(u).alias("url"), fill(b).alias("html")) for k, (u, b, *_) in enumerate(_BRANCHES)])
+    pages = M.spread(M.read(spark, d, "pages")).select(i.alias("page"), F.explode(rows).alias("x"))
+    pages = pages.select(F.concat_ws("-", "page", "x.branch").alias("import_id"), F.lit("u").alias("user_id"), "x.url", "x.html")
+    return WEB.import_pages(pages, F.lit(AT)).select("import_id", "status", "source_type", joined("warnings"), F.contains("markdown", F.lit("noise")).alias("noise"))
+
+
+IMPORT_BRANCHES_SQL = "".join(
+    f"{'UNION ALL ' if k else ''}SELECT page_id || '-{k}' AS import_id, '{status}' AS status, '{kind}' AS source_type, replace('{warning}', '{{i}}', page_id::VARCHAR) AS warnings, false AS noise FROM pages\n"
+    for k, (_, _, status, kind, warning) in enumerate(_BRANCHES)
+)
+
+
 def import_notes_q(spark: SparkSession, d: str) -> DataFrame:
     imports = WEB.import_pages(_pages(spark, d), F.lit(AT))
     return L.imports_to_notes(imports, M.now()).select("note_id", "title", "summary", joined("tags"), "topic", "source")
@@ -690,8 +721,9 @@ l AS (SELECT m, list_filter(list_transform(list_filter(list_transform(string_spl
     AND NOT contains(x, '-->') AND NOT regexp_matches(x, '^[0-9]+$') AND NOT starts_with(x, 'NOTE')),
     lambda x: {Q.trim("regexp_replace(x, '<[^>]+>', '', 'g')")}), lambda x: x <> '') AS s FROM b),
 t AS (SELECT m, array_to_string(list_filter(s, lambda x, i: i = 1 OR x <> s[i - 1]), chr(10)) AS x FROM l)
-SELECT CAST(m AS VARCHAR) AS import_id, 'ready' AS status, 'YouTube' AS platform, 'YouTube{K.VIDEO_TITLE_SUFFIX}' AS title, length(x) AS n_chars,
-  '{K.REL_LINK}' AS reliability FROM t WHERE x <> ''"""
+SELECT CAST(a.m AS VARCHAR) AS import_id, CASE WHEN coalesce(x, '') <> '' THEN 'ready' ELSE 'needs-action' END AS status, 'YouTube' AS platform,
+  'YouTube{K.VIDEO_TITLE_SUFFIX}' AS title, length(coalesce(x, '')) AS n_chars, '{K.REL_LINK}' AS reliability
+FROM (SELECT DISTINCT doc_id // 4 AS m FROM documents) a LEFT JOIN t ON t.m = a.m"""
 
 
 def _xml(c: str) -> Column:
@@ -882,6 +914,7 @@ QUERIES = {
     "generated_document": (generated_document_q, GENERATED_SQL),
     "quote_locate": (quote_locate_q, QUOTE_LOCATE_SQL),
     "page_import": (page_import_q, PAGE_IMPORT_SQL),
+    "import_branches": (import_branches_q, IMPORT_BRANCHES_SQL),
     "import_notes": (import_notes_q, IMPORT_NOTES_SQL),
     "import_outcomes": (import_outcomes_q, IMPORT_OUTCOMES_SQL),
     "platform_route": (platform_route_q, PLATFORM_ROUTE_SQL),

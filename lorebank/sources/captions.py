@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebank import constants as K
-from lorebank.functions.provenance import source_markdown
+from lorebank.functions.provenance import pending_markdown, source_markdown
 from lorebank.functions.text import col_of, or_default, trim_ws
 from lorebank.functions.urls import platform_of
 
@@ -43,9 +43,10 @@ def best_captions(captions: DataFrame) -> DataFrame:
 
 
 def caption_imports(media: DataFrame, captions: DataFrame, imported_at: Column) -> DataFrame:
-    """Videos with a usable caption as ready imports. ``media``: import_id, user_id, url, title, uploader."""
+    """Videos as imports: ready with a usable caption, else a card that needs action. ``media``: import_id, user_id, url, title, uploader."""
     chosen = best_captions(captions).select(F.col("media_id").alias("import_id"), transcript_of("text").alias("caption"))
-    rows = media.join(chosen, "import_id").where(F.col("caption") != "").withColumn("platform", platform_of("url"))
+    rows = media.join(chosen, "import_id", "left").withColumns({"caption": F.coalesce("caption", F.lit("")), "platform": platform_of("url")})
+    spoken = F.col("caption") != ""
     title = or_default("title", F.concat("platform", F.lit(K.VIDEO_TITLE_SUFFIX)))
     body = F.concat(
         F.lit("## 视频信息\n\n- 平台："), "platform", F.lit("\n- 作者："), or_default("uploader", K.VIDEO_UNKNOWN_AUTHOR),
@@ -55,12 +56,14 @@ def caption_imports(media: DataFrame, captions: DataFrame, imported_at: Column)
     return rows.select(
         "import_id",
         "user_id",
-        F.lit("ready").alias("status"),
+        F.when(spoken, "ready").otherwise("needs-action").alias("status"),
         kind.alias("source_type"),
         "platform",
         title.alias("title"),
         F.col("url").alias("source_url"),
-        source_markdown(title, body, F.col("platform"), F.col("url"), F.lit(K.VIDEO_CAPTION_METHOD), kind, imported_at).alias("markdown"),
+        F.when(spoken, source_markdown(title, body, F.col("platform"), F.col("url"), F.lit(K.VIDEO_CAPTION_METHOD), kind, imported_at))
+        .otherwise(pending_markdown(title, F.col("platform"), F.col("url"), kind, F.lit(K.VIDEO_REASON), F.lit(K.VIDEO_DESCRIPTION), imported_at))
+        .alias("markdown"),
         F.col("caption").alias("extracted_text"),
-        F.array(F.lit(K.VIDEO_CAPTION_WARNING)).alias("warnings"),
+        F.array(F.when(spoken, K.VIDEO_CAPTION_WARNING).otherwise(K.VIDEO_WARNING)).alias("warnings"),
     )

@@ -15,7 +15,7 @@ from lorebank import constants as K
 from lorebank.functions.columns import compute_once
 from lorebank.functions.provenance import pending_markdown, source_markdown
 from lorebank.functions.text import or_default, plain_text, squash_ws, trim_ws
-from lorebank.functions.urls import embedded_url, host_of, media_route, platform_of, scheme_of
+from lorebank.functions.urls import embedded_url, file_name_from_url, media_route, platform_of, url_verdict
 
 
 def _chain(text: Column, steps) -> Column:
@@ -61,15 +61,22 @@ def main_node(html: Column) -> Column:
     return F.coalesce(*[F.nullif(p, F.lit("")) for p in parts], html)
 
 
-def div_by_id(html: Column, name: str) -> Column:
-    """Inner html of a ``div`` by id with nested divs balanced."""
-    rest = F.regexp_extract(html, rf"""(?is)<div\s[^>]*id=["']{name}["'][^>]*>(.*)$""", 1)
-    # Every piece starts with a div tag (but the first), so the depth only changes between pieces.
-    pieces = F.split(rest, r"(?i)(?=</?div\b)")
+def by_class(html: Column, name: str) -> Column:
+    """Text of a small element by one of its classes, up to its next tag end."""
+    return node_text(F.regexp_extract(html, rf"""(?is)<[a-z0-9]+\s[^>]*class=["'][^"']*\b{name}\b[^"']*["'][^>]*>(.*?)</""", 1))
+
+
+def node_by_id(html: Column, name: str) -> Column:
+    """Inner html of an element of any kind by id, with nested elements of its kind balanced."""
+    opening = rf"""(?is)<([a-z0-9]+)\s[^>]*id=["']{name}["'][^>]*>(.*)$"""
+    tag, rest = F.lower(F.regexp_extract(html, opening, 1)), F.regexp_extract(html, opening, 2)
+    # Every piece starts with such a tag (but the first), so the depth only changes between pieces.
+    pieces = F.split(rest, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"\b)")))
     start = F.struct(F.lit(1).alias("depth"), F.array().cast("array<string>").alias("kept"))
 
     def step(a: Column, piece: Column) -> Column:
-        change = F.when(piece.rlike(r"(?i)^</div\b"), -1).when(piece.rlike(r"(?i)^<div\b"), 1).otherwise(0)
+        begins = F.lower(F.left(piece, F.length(tag) + 2))
+        change = F.when(F.startswith(begins, F.concat(F.lit("</"), tag)), -1).when(F.startswith(begins, F.concat(F.lit("<"), tag)), 1).otherwise(0)
         depth = F.when(a["depth"] <= 0, 0).otherwise(a["depth"] + change)
         return F.struct(depth.alias("depth"), F.when(depth > 0, F.array_append(a["kept"], piece)).otherwise(a["kept"]).alias("kept"))
 
@@ -77,9 +84,11 @@ def div_by_id(html: Column, name: str) -> Column:
 
 
 def layout_of(url: Column, html: Column) -> Column:
-    """platform (own body node), podcast, video or article."""
+    """platform (own body node), podcast, audio (a file), feed (an XML body), video or article."""
     route = media_route(url)
     is_platform = F.contains(url, F.lit("mp.weixin.qq.com")) | html.rlike(r"""id=["']js_content["']""")
+    is_feed = F.startswith(trim_ws(html), F.lit("<?xml")) | F.contains(html, F.lit("<rss"))
+    route = F.when((route == "podcast") & url.rlike(K.AUDIO_URL), "audio").when((route == "podcast") & is_feed, "feed").otherwise(route)
     return F.when(route != "article", route).when(is_platform, "platform").otherwise("article")
 
 
@@ -91,15 +100,27 @@ def audio_of(html: Column) -> Column:
 
 
 def import_pages(pages: DataFrame, imported_at: Column) -> DataFrame:
-    """Import results: status, source_type, platform, title, markdown, source_url, extracted_text, warnings."""
+    """Import results: status, source_type, platform, title, markdown, source_url, extracted_text, warnings.
+
+    The url gate comes first: what it refuses fails with its reason, whatever the body. XML bodies under a podcast url are feeds.
+    """
+    from lorebank.sources.feeds import feed_imports  # feeds use the text rules of this module
+
     raw = pages.withColumn("url", embedded_url("url"))
     html = F.coalesce("html", F.lit(""))
-    laid = raw.withColumns({"layout": layout_of(F.col("url"), html), "html": html, "platform": platform_of("url")})
+    gated = compute_once(raw, {"verdict": url_verdict("url")})
+    layout = F.when(F.col("verdict") == "ok", layout_of(F.col("url"), html)).otherwise("refused")
+    laid = compute_once(gated, {"layout": layout, "html": html, "platform": platform_of("url")})
+    feeds = feed_imports(laid.where(F.col("layout") == "feed").select("import_id", "user_id", "url", F.col("html").alias("xml")), imported_at)
+    return _pages(laid.where(F.col("layout") != "feed"), imported_at).unionByName(feeds.withColumn("layout", F.lit("feed")))
+
+
+def _pages(laid: DataFrame, imported_at: Column) -> DataFrame:
     # Only the branch of a row's layout is evaluated; others are null and cost nothing.
     parsed = compute_once(
         laid,
         {
-            "body": F.when(F.col("layout") == "platform", div_by_id(F.col("html"), "js_content"))
+            "body": F.when(F.col("layout") == "platform", node_by_id(F.col("html"), "js_content"))
             .when(F.col("layout").isin("article", "podcast"), main_node(F.col("html"))),
             "doc_title": document_title(F.col("html")),
         },
@@ -109,7 +130,7 @@ def import_pages(pages: DataFrame, imported_at: Column) -> DataFrame:
         {
             "text": F.when(F.col("layout").isin("platform", "article"), to_markdown(F.col("body"))),
             "author": F.when(
-                F.col("layout") == "platform", by_id(F.col("html"), "js_name")
+                F.col("layout") == "platform", or_default(by_id(F.col("html"), "js_name"), by_class(F.col("html"), "rich_media_meta_nickname"))
             ).when(F.col("layout") == "article", meta(F.col("html"), "author")).otherwise(""),
             "og_title": meta(F.col("html"), "og:title"),
         },
@@ -120,7 +141,13 @@ def import_pages(pages: DataFrame, imported_at: Column) -> DataFrame:
 def _outcomes(parsed: DataFrame, at: Column) -> DataFrame:
     url, layout, platform, text = (F.col(c) for c in ("url", "layout", "platform", "text"))
     doc_title, og_title, author = F.col("doc_title"), F.col("og_title"), F.col("author")
-    valid = scheme_of(url).isin("http", "https") & (host_of(url) != "")
+    valid = F.col("verdict") == "ok"
+    refusal = (
+        F.when(F.col("verdict") == "credentials", K.WARN_URL_CREDENTIALS)
+        .when(F.col("verdict") == "blocked_host", K.WARN_URL_BLOCKED)
+        .when(F.col("verdict") == "private_address", K.WARN_URL_PRIVATE)
+        .otherwise(K.WARN_BAD_URL)
+    )
 
     platform_title = or_default(
         by_id(F.col("html"), "activity-name"),
@@ -129,6 +156,7 @@ def _outcomes(parsed: DataFrame, at: Column) -> DataFrame:
     title = (
         F.when(layout == "platform", platform_title)
         .when(layout == "podcast", or_default(og_title, or_default(doc_title, K.PODCAST_PAGE_TITLE)))
+        .when(layout == "audio", or_default(file_name_from_url(url), K.AUDIO_TITLE))
         .when(layout == "video", or_default(og_title, or_default(doc_title, F.concat(platform, F.lit(K.VIDEO_TITLE_SUFFIX)))))
         .otherwise(or_default(doc_title, or_default(og_title, K.EXTERNAL_ARTICLE)))
     )
@@ -150,13 +178,14 @@ def _outcomes(parsed: DataFrame, at: Column) -> DataFrame:
     )
     status = (
         F.when(~valid, "failed")
-        .when(short.isNotNull() | (layout == "video") | ((layout == "podcast") & (audio != "")), "needs-action")
+        .when(short.isNotNull() | layout.isin("video", "audio") | ((layout == "podcast") & (audio != "")), "needs-action")
         .otherwise("ready")
     )
-    source_type = F.when(layout.isin("podcast", "video"), layout).otherwise("article")
+    source_type = F.when(layout == "audio", "podcast").when(layout.isin("podcast", "video"), layout).otherwise("article")
     method = (
         F.when(short.isNotNull(), K.PENDING_METHOD)
         .when(layout == "platform", K.WECHAT_METHOD)
+        .when(layout == "audio", K.AUDIO_METHOD)
         .when(layout == "podcast", F.when(audio != "", K.PODCAST_AUDIO_METHOD).otherwise(K.PODCAST_PAGE_METHOD))
         .otherwise(K.ARTICLE_METHOD)
     )
@@ -180,6 +209,7 @@ def _outcomes(parsed: DataFrame, at: Column) -> DataFrame:
         F.when(short.isNotNull(), F.concat(F.lit("> "), short))
         .when(layout == "platform", F.concat(facts, F.lit("\n\n## 正文\n\n"), text))
         .when(layout == "podcast", podcast)
+        .when(layout == "audio", K.AUDIO_BODY)
         .otherwise(text)
     )
     shown = F.when(layout == "platform", F.when(short.isNull(), K.WECHAT_PLATFORM).otherwise(F.col("platform"))).otherwise(F.col("platform"))
@@ -193,9 +223,10 @@ def _outcomes(parsed: DataFrame, at: Column) -> DataFrame:
     )
     warnings = F.array_compact(
         F.array(
-            F.when(~valid, F.lit(K.WARN_BAD_URL)),
+            F.when(~valid, refusal),
             F.when(valid, short),
             F.when(valid & (layout == "video"), F.lit(K.VIDEO_WARNING)),
+            F.when(valid & (layout == "audio"), F.lit(K.AUDIO_WARNING)),
             F.when(
                 valid & (layout == "podcast"),
                 F.when(audio != "", K.PODCAST_WARN_AUDIO).otherwise(K.PODCAST_WARN_NO_AUDIO),
@@ -204,7 +235,7 @@ def _outcomes(parsed: DataFrame, at: Column) -> DataFrame:
         )
     )
     extracted = (
-        F.when(~valid | short.isNotNull(), "").when(layout.isin("podcast", "video"), F.coalesce(about, F.lit(""))).otherwise(plain_text(text))
+        F.when(~valid | short.isNotNull() | (layout == "audio"), "").when(layout.isin("podcast", "video"), F.coalesce(about, F.lit(""))).otherwise(plain_text(text))
     )
     result = {
         "status": status,

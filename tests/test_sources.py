@@ -68,6 +68,24 @@ def test_captions(spark):
     media = spark.createDataFrame([("m", "u", "https://youtu.be/1", "", "")], "import_id string, user_id string, url string, title string, uploader string")
     note = captions.caption_imports(media, table, F.lit("now")).first()
     assert note.title == "YouTube 视频" and note.status == "ready" and note.extracted_text == "Hello there\nbye"
+    silent = captions.caption_imports(media.withColumn("import_id", F.lit("k")), table, F.lit("now")).first()
+    assert (silent.status, silent.extracted_text, silent.warnings) == ("needs-action", "", ["未找到字幕。"]) and "## 待补全素材" in silent.markdown
+
+
+def test_gate_audio_feeds_and_other_body_nodes(spark):
+    pages = [
+        ("audio", "https://a.org/My%20show.mp3?x=1", "<p>x</p>"),
+        ("feed", "https://a.org/feed/1", RSS),
+        ("private", "http://192.168.1.4/x", f"<article><p>{LONG}</p></article>"),
+        ("login", "https://me:pw@a.org/", f"<article><p>{LONG}</p></article>"),
+        ("section", "https://mp.weixin.qq.com/s/2", f"<b class='rich_media_meta_nickname'>Bo</b><section id='js_content'><section>{LONG}</section>tail</section><p>noise</p>"),
+    ]
+    df = spark.createDataFrame([(i, "u", u, h) for i, u, h in pages], "import_id string, user_id string, url string, html string")
+    got = {r.import_id: r for r in web.import_pages(df, F.lit("now")).collect()}
+    assert (got["audio"].status, got["audio"].source_type, got["audio"].title) == ("needs-action", "podcast", "My show.mp3") and got["audio"].extracted_text == ""
+    assert got["feed"].title == "New" and got["feed"].status == "needs-action" and "https://a.org/1.mp3" in got["feed"].markdown
+    assert [got[k].status for k in ("private", "login")] == ["failed", "failed"] and got["private"].source_url == ""
+    assert "tail" in got["section"].markdown and "noise" not in got["section"].markdown and got["section"].warnings == ["作者：Bo"]
 
 
 RSS = '<rss><channel><title> My  show </title><item><title>New</title><description>&lt;b&gt;Bold&lt;/b&gt; words</description><enclosure url="https://a.org/1.mp3" length="1"/></item><item><title>Old</title></item></channel></rss>'
