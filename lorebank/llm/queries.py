@@ -29,6 +29,36 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+#: The rules, links and components in SQL: aliases spread by recursion over links in both directions.
+OP2_SQL = r"""
+WITH RECURSIVE rules(rule_host, rule_path, rule_verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+  ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+found AS (SELECT url, unnest([regexp_extract(html, '(?i)<link\s[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1),
+    regexp_extract(html, '(?i)<link\s[^>]*\bhref\s*=\s*["'']?\s*([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1),
+    regexp_extract(html, '(?i)<meta\s[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?[0-9.\s]*;\s*url\s*=\s*''?\s*([^"''\s>]+)', 1)]) AS link
+  FROM pages WHERE html IS NOT NULL),
+base AS (SELECT url, replace(link, '&amp;', '&') AS link, translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h,
+    regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS p FROM found WHERE link <> ''),
+edge AS (SELECT url, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN 'http:' || link WHEN starts_with(link, '/') THEN 'http://' || h || link
+    ELSE 'http://' || h || CASE WHEN p = '' THEN '/' ELSE regexp_replace(p, '[^/]*$', '') END || link END AS target FROM base WHERE url IS NOT NULL),
+urls AS (SELECT DISTINCT u AS url, coalesce(translate(regexp_extract(u, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(u, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path, regexp_extract(u, '^[^#]*?(\?[^#]*)', 1) AS query
+  FROM (SELECT url AS u FROM pages UNION SELECT url FROM edge UNION SELECT target FROM edge)),
+judged AS (SELECT u.url, any_value(host) AS host, any_value(path) AS path,
+    any_value(CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END) AS node,
+    arg_max(rule_host || rule_path, (length(rule_host || rule_path), length(rule_host))) AS rule,
+    arg_max(rule_verdict, (length(rule_host || rule_path), length(rule_host))) AS rule_verdict
+  FROM urls u LEFT JOIN rules r ON host <> '' AND ends_with('.' || host, '.' || rule_host) AND starts_with(path, rule_path) GROUP BY u.url),
+pairs AS (SELECT a.node AS x, b.node AS y FROM edge e JOIN judged a ON a.url = e.url JOIN judged b ON b.url = e.target WHERE a.node IS NOT NULL AND b.node IS NOT NULL),
+both_ways AS (SELECT x, y FROM pairs UNION SELECT y, x FROM pairs),
+tainted(node) AS (SELECT DISTINCT node FROM judged WHERE rule_verdict = 'block' AND node IN (SELECT x FROM both_ways)
+  UNION SELECT y FROM both_ways JOIN tainted ON x = node)
+SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN node IN (SELECT node FROM tainted) THEN 'block' END, 'allow') AS verdict,
+  CASE WHEN rule IS NOT NULL THEN 'rule' WHEN node IN (SELECT node FROM tainted) THEN 'alias' ELSE 'default' END AS reason
+FROM pages JOIN judged ON judged.url IS NOT DISTINCT FROM pages.url
+"""
+
+
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that lie in a repeated 200-byte string."""
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
@@ -119,7 +149,7 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_text": (op1_html_text, None),
-    "op2_url_filter": (op2_url_filter, None),
+    "op2_url_filter": (op2_url_filter, OP2_SQL),
     "op3_suffix_array": (op3_suffix_array, None),
     "op4_minhash": (op4_minhash, None),
     "op5_source_mix": (op5_source_mix, OP5_SQL),

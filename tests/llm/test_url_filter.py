@@ -105,3 +105,20 @@ def test_empty_table(spark, rules):
     else:
         one = spark.createDataFrame([(1, "http://a.b/", None)], df.schema)
         assert [r.verdict for r in url_filter.judge(one, [("x.y", "/", "block")]).collect()] == ["allow"]
+
+
+def test_sql_twin_on_aliases(spark):
+    """The twin knows links too: it gives the rows of the Spark query on pages that have them."""
+    import duckdb
+    import pandas as pd
+
+    from lorebank.llm.queries import OP2_SQL
+
+    pages = [(i, f"http://h{i}.org/p?q={i}", canonical(f"http://h{i + 1}.org/p?q={i + 1}#x")) for i in range(6)]
+    pages += [(6, "http://h6.org/p?q=6", refresh("//bad.net/fr/")), (7, "http://k.org/a/b", canonical("c")), (8, "http://k.org/a/c", refresh("/es")), (9, None, "x"), (10, "no", canonical("http://bad.net/es/"))]
+    frame = pd.DataFrame(pages, columns=["page_id", "url", "html"])
+    con = duckdb.connect()
+    con.register("pages", frame)
+    got = con.execute(OP2_SQL).fetchall()
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in url_filter.judge(df, URL_RULES).collect())
