@@ -6,6 +6,8 @@ one row, and a single ``posexplode`` turns the result into chunk rows. Offsets c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ _CONTAINER = r"^ {0,3}(?:>|[-+*][ \t]|\d{1,9}[.)][ \t]|<[A-Za-z/!?])"
 _STRUCTURE = r"(?m)^ {0,3}(?:#{1,6}(?:[ \t]|$)|=+[ \t\r]*$|-+[ \t\r]*$)"
 
 _BLOCK = "struct<level:int,text:string,start:int,stop:int>"
+#: Items that are folded together before they join the rest.
+_PIECE = 64
 _SECTION = "struct<heading_path:array<string>,start:int,stop:int>"
 
 
@@ -100,6 +104,32 @@ def _step(a: Column, x: Column) -> Column:
     return let(event, update)
 
 
+def _pieces(items: Column) -> Column:
+    """An array cut into arrays of ``_PIECE`` items."""
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(_PIECE)), lambda i: i < F.size(items))
+    return F.transform(starts, lambda i: F.slice(items, i + 1, _PIECE))
+
+
+def _fold(items: Column, state: Column, step: Callable[[Column, Column], Column], grown: str, finish: Callable[[Column], Column]) -> Column:
+    """``aggregate`` whose accumulator has a growing array.
+
+    An accumulator is copied at every step. Here a piece of the items collects into an array of its own, which is
+    appended once, so the copies cost items * _PIECE + items^2 / _PIECE instead of items^2.
+    """
+
+    def of_pieces(pieces: Column) -> Column:
+        def piece_step(a: Column, piece: Column) -> Column:
+            empty = F.filter(a[grown], lambda _: F.lit(False))
+            return let(
+                F.aggregate(piece, a.withField(grown, empty), step),
+                lambda r: r.withField(grown, F.concat(a[grown], r[grown])),
+            )
+
+        return F.aggregate(pieces, state, piece_step, finish)
+
+    return let(items, lambda bound: let(_pieces(bound), of_pieces))
+
+
 def _blocks(content: Column) -> Column:
     """Top-level headings (level > 0) and other blocks (level 0) of a body, in order."""
     state = F.struct(
@@ -118,16 +148,21 @@ def _blocks(content: Column) -> Column:
         tail = F.array(F.struct(F.lit(0).alias("level"), F.lit("").alias("text"), a["start"].alias("start"), a["stop"].alias("stop")))
         return F.when(a["kind"] > 0, F.concat(a["blocks"], tail)).otherwise(a["blocks"])
 
-    return F.aggregate(lines, state, _step, finish)
+    return _fold(lines, state, _step, "blocks", finish)
 
 
 def _fold_blocks(blocks: Column) -> Column:
     """Breadcrumb stack over the blocks; neighbours with an equal breadcrumb share a section."""
+    none = F.lit(None).cast(_SECTION)
     state = F.struct(
         F.array().cast("array<struct<level:int,text:string>>").alias("stack"),
+        none.alias("open"),
         F.array().cast(f"array<{_SECTION}>").alias("sections"),
     )
 
+    def closed(a: Column) -> Column:
+        return F.when(a["open"].isNotNull(), F.concat(a["sections"], F.array(a["open"]))).otherwise(a["sections"])
+
     def step(a: Column, b: Column) -> Column:
         kept = F.filter(a["stack"], lambda s: s["level"] < b["level"])
         stack = F.when(
@@ -135,20 +170,16 @@ def _fold_blocks(blocks: Column) -> Column:
             F.concat(kept, F.array(F.struct(b["level"].alias("level"), b["text"].alias("text")))),
         ).otherwise(a["stack"])
         path = F.transform(a["stack"], lambda s: s["text"])
-        n = F.size(a["sections"])
-        last = F.get(a["sections"], n - 1)
-        fresh = F.array(F.struct(path.alias("heading_path"), b["start"].alias("start"), b["stop"].alias("stop")))
-        longer = F.array(
-            F.struct(last["heading_path"].alias("heading_path"), last["start"].alias("start"), b["stop"].alias("stop"))
-        )
-        sections = (
-            F.when(b["level"] > 0, a["sections"])
-            .when((n > 0) & (last["heading_path"] == path), F.concat(F.slice(a["sections"], 1, F.greatest(n - 1, F.lit(0))), longer))
-            .otherwise(F.concat(a["sections"], fresh))
+        same = F.coalesce(a["open"]["heading_path"] == path, F.lit(False))
+        start = F.when(same, a["open"]["start"]).otherwise(b["start"])
+        now = F.struct(path.alias("heading_path"), start.alias("start"), b["stop"].alias("stop"))
+        return F.struct(
+            stack.alias("stack"),
+            F.when(b["level"] > 0, a["open"]).otherwise(now).alias("open"),
+            F.when((b["level"] > 0) | same, a["sections"]).otherwise(closed(a)).alias("sections"),
         )
-        return F.struct(stack.alias("stack"), sections.alias("sections"))
 
-    return F.aggregate(blocks, state, step, lambda a: a["sections"])
+    return _fold(blocks, state, step, "sections", closed)
 
 
 def sections(content: Column | str) -> Column:
@@ -160,10 +191,14 @@ def sections(content: Column | str) -> Column:
         return F.struct(path.alias("heading_path"), (start + lead).alias("start"), trim_ws(raw).alias("text"))
 
     whole = F.array(cut(F.array().cast("array<string>"), F.lit(0), body))
-    split = F.transform(
-        _fold_blocks(_blocks(body)),
-        lambda s: cut(s["heading_path"], s["start"], F.substring(body, s["start"] + 1, s["stop"] - s["start"])),
-    )
+
+    def cut_piece(piece: Column) -> Column:
+        # one substring of the body per piece of sections, since each walks the text from its beginning
+        first = F.element_at(piece, 1)["start"]
+        part = F.substring(body, first + 1, F.element_at(piece, -1)["stop"] - first)
+        return let(part, lambda t: F.transform(piece, lambda s: cut(s["heading_path"], s["start"], F.substring(t, s["start"] - first + 1, s["stop"] - s["start"]))))
+
+    split = let(_fold_blocks(_blocks(body)), lambda found: F.flatten(F.transform(_pieces(found), cut_piece)))
     parts = F.when(body.rlike(_STRUCTURE), split).otherwise(whole)
     return F.filter(parts, lambda s: s["text"] != "")
 
