@@ -42,9 +42,12 @@ def _char_runs(c: str) -> Column:
     return let(F.split(F.col(c), ""), runs)
 
 
-def find_quotes(notes: DataFrame, quotes: DataFrame) -> DataFrame:
+def find_quotes(notes: DataFrame, quotes: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """All (quote, note) pairs with the first place where the quote stands verbatim.
 
+    ``within`` names columns of both sides that must agree, such as ``user_id``: a quote is then looked for in its own
+    user's notes only.
+
     ``notes``: note_id, content; ``quotes``: quote_id, quote. A verbatim quote shares all of its inner
     words with the note (its first and last word may be cut), so one run of four inner words is a
     sound join key; quotes with fewer inner words use one inner word, and quotes of at most two words
@@ -61,16 +64,16 @@ def find_quotes(notes: DataFrame, quotes: DataFrame) -> DataFrame:
     by_word = asked.where(F.size("inner").between(1, _GRAM - 1)).withColumn("anchor", word)
 
     def candidates(anchored: DataFrame, keys: Column) -> DataFrame:
-        text = notes.select("note_id", F.explode(F.array_distinct(keys)).alias("anchor"))
-        return text.join(anchored.select("quote_id", "quote", "anchor"), "anchor").select("note_id", "quote_id", "quote")
+        text = notes.select(*within, "note_id", F.explode(F.array_distinct(keys)).alias("anchor"))
+        return text.join(anchored.select(*within, "quote_id", "quote", "anchor"), [*within, "anchor"]).select(*within, "note_id", "quote_id", "quote")
 
     by_chars = asked.where(F.size("inner") == 0).withColumn("anchor", F.left("quote", F.lit(_CHARS))).where(F.col("anchor") != "")
     pairs = candidates(by_run, _grams(_words("content"), _GRAM)).unionByName(candidates(by_word, _words("content"))).unionByName(
         candidates(by_chars, _char_runs("content"))
     )
     return (
-        pairs.join(notes.select("note_id", "content"), "note_id")
+        pairs.join(notes.select(*within, "note_id", "content"), [*within, "note_id"])
         .where(F.contains("content", "quote"))
         .withColumn("at", locate_quote("content", "quote"))
-        .select("quote_id", "note_id", "at.start", "at.stop")
+        .select(*within, "quote_id", "note_id", "at.start", "at.stop")
     )

@@ -136,6 +136,12 @@ def test_find_quotes_equals_contains(spark):
     assert got == {(q, n, c.index(t), c.index(t) + len(t)) for n, c in notes for q, t in quotes if t in c}
 
 
+def test_find_quotes_within_users(spark):
+    ndf = spark.createDataFrame([("u", 1, "alpha beta gamma delta epsilon zeta"), ("v", 1, "alpha beta gamma delta epsilon zeta"), ("w", 2, "other")], "user_id string, note_id long, content string")
+    qdf = spark.createDataFrame([("u", 1, "beta gamma"), ("w", 2, "beta gamma"), ("v", 3, "alpha beta gamma delta epsilon zeta")], "user_id string, quote_id long, quote string")
+    assert {(r.user_id, r.quote_id, r.note_id) for r in find_quotes(ndf, qdf, within=("user_id",)).collect()} == {("u", 1, 1), ("v", 3, 1)}
+
+
 def fused(spark, dense, keyword):
     def ranked(ids):
         rows = [("u", "q", c, i) for i, c in enumerate(ids, 1)]

@@ -142,6 +142,8 @@ def test_quotas_stream_equals_batch(spark, tmp_path):
     batch = SQ.quota_windows(spark.createDataFrame(rows, schema))
     over = {(r.key, r.kind) for r in batch.where("over").collect()}
     assert over == {("k", "ask"), ("j", "auth")}
+    odd = SQ.quota_windows(spark.createDataFrame([("k", "new kind", T0), ("k", None, T0)], schema)).collect()
+    assert [(r.n, r.quota, r.over) for r in odd] == [(1, None, False)] * 2
     drop(spark, str(tmp_path / "in"), rows, schema, "1")
     source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
     q = SQ.quota_windows(source, watermark="1 minute").writeStream.format("memory").queryName("quota").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
