@@ -411,21 +411,22 @@ def history_query_q(spark: SparkSession, d: str) -> DataFrame:
 
 HISTORY_SQL = Q.with_(Q.QUESTIONS) + "SELECT user_id, question_id, query FROM questions"
 
-# Proposed citations: from each context row a verbatim quote, the same again, an altered quote, an
-# over-long one and a wrong note.
+# Proposed citations: from each context row a verbatim quote from its middle, the same again, an altered quote, an
+# over-long one, a wrong note, and a verbatim quote from its end.
 
 
 def _proposals(context: DataFrame) -> DataFrame:
-    head = F.left("content", F.lit(120))
+    inner = trim_ws(F.substring(F.col("content"), F.floor(F.length("content") / 2).cast("int") + 1, F.lit(120)))
     kinds = F.array(
-        F.struct(F.lit(0).alias("k"), "note_id", head.alias("quote")),
-        F.struct(F.lit(1).alias("k"), "note_id", head.alias("quote")),
-        F.struct(F.lit(2).alias("k"), "note_id", F.concat(F.left("content", F.lit(40)), F.lit("|")).alias("quote")),
+        F.struct(F.lit(0).alias("k"), "note_id", inner.alias("quote")),
+        F.struct(F.lit(1).alias("k"), "note_id", inner.alias("quote")),
+        F.struct(F.lit(2).alias("k"), "note_id", F.concat(inner, F.lit("|")).alias("quote")),
         F.struct(F.lit(3).alias("k"), "note_id", F.left("content", F.lit(501)).alias("quote")),
-        F.struct(F.lit(4).alias("k"), F.concat(F.lit("x"), "note_id").alias("note_id"), head.alias("quote")),
+        F.struct(F.lit(4).alias("k"), F.concat(F.lit("x"), "note_id").alias("note_id"), inner.alias("quote")),
+        F.struct(F.lit(5).alias("k"), "note_id", trim_ws(F.right("content", F.lit(120))).alias("quote")),
     )
     return context.select("user_id", "question_id", "chunk_id", "position", F.explode(kinds).alias("p")).select(
-        "user_id", "question_id", "chunk_id", "p.note_id", "p.quote", (F.col("position") * 5 + F.col("p.k")).alias("pos")
+        "user_id", "question_id", "chunk_id", "p.note_id", "p.quote", (F.col("position") * 6 + F.col("p.k")).alias("pos")
     )
 
 
@@ -436,9 +437,10 @@ def citation_verify_q(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_PROPOSED_SQL = """, props AS (
-  SELECT user_id, question_id, chunk_id, note_id, left(content, 120) AS quote, position * 5 AS pos FROM lines
-  UNION ALL SELECT user_id, question_id, chunk_id, note_id, left(content, 501), position * 5 + 3 FROM lines WHERE length(content) <= 500),
+_PROPOSED_SQL = f""", props AS (
+  SELECT user_id, question_id, chunk_id, note_id, {Q.trim("substr(content, length(content) // 2 + 1, 120)")} AS quote, position * 6 AS pos FROM lines
+  UNION ALL SELECT user_id, question_id, chunk_id, note_id, left(content, 501), position * 6 + 3 FROM lines WHERE length(content) <= 500
+  UNION ALL SELECT user_id, question_id, chunk_id, note_id, {Q.trim("right(content, 120)")}, position * 6 + 5 FROM lines),
 good AS (SELECT user_id, question_id, chunk_id, note_id, quote, min(pos) AS pos FROM props GROUP BY ALL),
 capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, question_id ORDER BY pos) AS position FROM good) WHERE position <= 12)
 """
@@ -491,8 +493,10 @@ def retrieval_quality_q(spark: SparkSession, d: str) -> DataFrame:
     )
     ranked = R.keyword_topk(asked.select("user_id", "question_id", "search_terms"), chunks).withColumn("note_id", R.note_of_chunk("chunk_id"))
     context = R.select_context(ranked)
-    text = chunks.select("user_id", "chunk_id", "ordinal", "content", F.col("user_id").alias("note_owner"))
-    cited = context.join(text, ["user_id", "chunk_id"]).withColumn("quote", F.left(trim_ws("content"), F.lit(K.QUOTE_LIMIT)))
+    # the owner comes from the note itself, by note id alone: a chunk that reached a foreign user would count as a leak
+    owners = M.notes(spark, d).select("note_id", F.col("user_id").alias("note_owner"))
+    text = chunks.select("chunk_id", "ordinal", "content")
+    cited = context.join(text, "chunk_id").join(owners, "note_id").withColumn("quote", F.left(trim_ws("content"), F.lit(K.QUOTE_LIMIT)))
     out = A.retrieval_quality(asked, cited)
     return out.select("questions", "hits", F.round("hit_rate", 6).alias("hit_rate"), F.round("verbatim_rate", 6).alias("verbatim_rate"), "leaks")
 
@@ -507,10 +511,11 @@ fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ques
 {Q.CONTEXT},
 per AS (SELECT x.user_id, x.question_id, bool_or(x.position <= 5 AND x.note_id = a.en AND w.ordinal = a.eo
     AND contains(left({Q.trim('w.content')}, 500), a.eq)) AS hit,
-    count(*) FILTER (WHERE contains(w.content, left({Q.trim('w.content')}, 500))) AS v, count(*) AS n
-  FROM context x JOIN asked a USING (user_id, question_id) JOIN searchable w USING (chunk_id) GROUP BY ALL)
+    count(*) FILTER (WHERE contains(w.content, left({Q.trim('w.content')}, 500))) AS v, count(*) AS n,
+    count(*) FILTER (WHERE d.source <> x.user_id) AS foreign_notes
+  FROM context x JOIN asked a USING (user_id, question_id) JOIN searchable w USING (chunk_id) JOIN documents d ON CAST(d.doc_id AS VARCHAR) = x.note_id GROUP BY ALL)
 SELECT count(*) AS questions, count(*) FILTER (WHERE p.hit) AS hits, round(count(*) FILTER (WHERE p.hit) / count(*), 6) AS hit_rate,
-  round(sum(p.v) / sum(p.n), 6) AS verbatim_rate, CAST(0 AS BIGINT) AS leaks
+  round(sum(p.v) / sum(p.n), 6) AS verbatim_rate, CAST(coalesce(sum(p.foreign_notes), 0) AS BIGINT) AS leaks
 FROM asked a LEFT JOIN per p USING (user_id, question_id)"""
 
 

@@ -162,3 +162,12 @@ def test_retrieval_quality_on_bilingual_notes(spark):
     r = A.retrieval_quality(expected, cited).first()
     assert r.questions == 10 and r.hit_rate >= 0.9 and r.verbatim_rate == 1 and r.leaks == 0
     assert "private" not in {x.note_id for x in context.collect()}
+
+
+def test_quality_counts_leaks_and_broken_quotes(spark):
+    """A citation of another user's note and one that is not verbatim show in the figures."""
+    asked = spark.createDataFrame([("u", "q", "n", 0, "word")], "user_id string, question_id string, expected_note string, expected_ordinal int, expected_quote string")
+    schema = "user_id string, question_id string, position int, note_id string, note_owner string, ordinal int, quote string, content string"
+    cited = [("u", "q", 1, "n", "u", 0, "a word", "a word here"), ("u", "q", 2, "private", "v", 0, "a word", "a word here"), ("u", "q", 3, "n", "u", 1, "changed", "a word here")]
+    r = A.retrieval_quality(asked, spark.createDataFrame(cited, schema)).first()
+    assert (r.questions, r.hits, r.leaks) == (1, 1, 1) and abs(r.verbatim_rate - 2 / 3) < 1e-9
