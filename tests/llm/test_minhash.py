@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from lorebank.llm import minhash
 from lorebank.llm.words import shingle_sets
@@ -90,6 +91,18 @@ def test_one_large_group_is_not_expanded(spark):
     assert sum(compared) < len(rows) * (len(rows) - 1) / 2 / 20
 
 
+@pytest.mark.parametrize("small, block", [(0, 2048), (3, 7)])
+def test_blocks_equal_all_pairs(spark, monkeypatch, small, block):
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(80)]
+    rows = [(i, " ".join(rng.choices([f"q{j}" for j in range(4000)], k=rng.randrange(5, 30)) + passage)) for i in range(150)]
+    rows += [(1000 + i, " ".join(w if rng.random() > 0.02 else f"x{i}{j}" for j, w in enumerate([f"o{k}" for k in range(100)]))) for i in range(100)]
+    got = minhash.near_groups(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+
+
 def test_one_of_each_and_long_text(spark):
     long = " ".join(f"l{i}" for i in range(60_000))
     rows = [(3, long), (4, long + " end"), (7, "q r s t u v"), (7, "q r s t u v"), (None, "n n n n n n"), (None, "N n n n n n"), (8, None), (9, "")]
