@@ -9,8 +9,7 @@ documents; all are judged on the input. The work goes in shards whose suffix arr
 * Equal contexts are counted before anything is sorted: of hot passages and exact copies one context is left. All windows
   of a context that occurs twice repeat. Contexts that share their anchor with a different context go on to the shards.
 * Shards hold all contexts of their anchors. A shard's suffix array is refined by Larsson-Sadakane doubling in numpy (only groups
-  that are still equal are sorted again, up to depth ``length``); common prefixes of neighbours follow by Kasai's rule, all contexts
-  side by side. A window repeats if its common prefix with a neighbour reaches ``length``.
+  that are still equal are sorted again, up to depth ``length``). A window repeats if it is still equal to another one at that depth.
 * An anchor with more contexts than a shard may hold is cut into several shards; each pair of them is merged by binary search of
   the windows of one in the suffix array of the other.
 
@@ -98,7 +97,8 @@ class Suffixes:
         n = int(self.begin[-1])
         key = np.zeros(n, np.uint64)
         alive = np.ones(n, bool)
-        for j in range(7):  # seven symbols of nine bits; nothing counts behind a context's end
+        h = min(7, self.length)
+        for j in range(h):  # seven symbols of nine bits; nothing counts behind a context's end
             symbol = self.text[j : j + n].astype(np.uint64)
             alive &= symbol > 0
             key = key << np.uint64(9) | np.where(alive, symbol, 0)
@@ -107,7 +107,6 @@ class Suffixes:
         new[1:] = key[order[1:]] != key[order[:-1]]
         rank = np.empty(n, np.int64)
         rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        h = 7
         while h < self.length:
             step = min(h, self.length - h)
             alone = new & np.append(new[1:], True)
@@ -126,34 +125,11 @@ class Suffixes:
         return rank, order
 
     def repeats(self, windows: np.ndarray) -> list[np.ndarray]:
-        """Per context which of its first ``windows`` positions share ``length`` bytes with a neighbour in the order.
+        """Per context which of its first ``windows`` positions share all their ``length`` bytes with another position.
 
-        Kasai's rule: the common prefix with the order's predecessor shrinks by one at most from one position to the next.
-        All contexts advance together, one position a step.
+        Such positions share a rank. Kasai's rule would not hold here: it needs the order of whole suffixes, and this one ends at ``length`` bytes.
         """
-        n = len(self.order)
-        place = np.empty(n, np.int64)
-        place[self.order] = np.arange(n)
-        common = np.zeros(n, np.int32)  # by place in the order, up to length
-        for side in (-1, 1):
-            have = np.zeros(len(windows), np.int64)
-            for j in range(int(windows.max(initial=0))):
-                lane = np.flatnonzero(windows > j)
-                p = self.begin[lane] + j
-                q = place[p] + side
-                inside = (q >= 0) & (q < n)
-                lane, p, q = lane[inside], p[inside], self.order[q[inside]]
-                h = np.maximum(have[lane] - 1, 0)
-                grow = np.flatnonzero(h < self.length)
-                while len(grow):
-                    left, right = self.text[p[grow] + h[grow]], self.text[q[grow] + h[grow]]
-                    grow = grow[(left == right) & (left > 0)]
-                    h[grow] += 1
-                    grow = grow[h[grow] < self.length]
-                have[:] = 0
-                have[lane] = h
-                np.maximum.at(common, place[p], h)
-        flags = common[place] >= self.length
+        flags = np.bincount(self.rank)[self.rank] > 1 if len(self.rank) else np.zeros(0, bool)
         return [flags[b : b + w] for b, w in zip(self.begin[:-1].tolist(), windows.tolist())]
 
     def find(self, other: Suffixes, windows: np.ndarray) -> list[np.ndarray]:

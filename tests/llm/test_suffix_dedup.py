@@ -90,6 +90,24 @@ def test_suffix_array_and_common_prefixes(length):
         assert flags.tolist() == [c[p : p + length] in inside for p in range(len(c) - length + 1)]
 
 
+def test_window_after_a_tie_is_not_taken_for_a_repeat():
+    """The neighbours of MNOPQRST's successors differ: NOPQRSTb and NOPQRSTc occur once each."""
+    flags = sd.Suffixes([b"xMNOPQRSTc", b"yMNOPQRSTb", b"NAAAAAAb"], 8).repeats(np.array([3, 3, 1]))
+    assert [f.tolist() for f in flags] == [[False, True, False], [False, True, False], [False]]
+
+
+@pytest.mark.parametrize("length", [4, 8, 25])
+def test_repeats_like_a_dictionary_over_many_seeds(length):
+    """Passages that end in different bytes, over a small alphabet; the first seeds alone do not show every tie."""
+    for seed in range(150):
+        rng = random.Random(seed)
+        passages = [bytes(rng.choices(b"abcd", k=rng.randrange(length, length * 3))) for _ in range(4)]
+        contexts = [bytes(rng.choices(b"abcd", k=rng.randrange(0, 4))) + rng.choice(passages) + bytes(rng.choices(b"abcd", k=rng.randrange(0, length))) for _ in range(25)]
+        seen = Counter(c[p : p + length] for c in contexts for p in range(len(c) - length + 1))
+        flags = sd.Suffixes(contexts, length).repeats(np.array([len(c) - length + 1 for c in contexts]))
+        assert [f.tolist() for f in flags] == [[seen[c[p : p + length]] > 1 for p in range(len(c) - length + 1)] for c in contexts], seed
+
+
 def test_equal_windows_have_equal_anchors():
     rng = random.Random(5)
     text = bytes(rng.choices(b"abc", k=3000))
