@@ -24,7 +24,9 @@ Rule = tuple[str, str, str]
 
 _QUOTED = r"""\s*=\s*["']?\s*([^"'\s>]+)"""
 CANONICAL = (r"(?i)<link\s[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*\bhref" + _QUOTED, r"(?i)<link\s[^>]*\bhref" + _QUOTED + r"[^>]*\brel\s*=\s*[\"']?canonical\b")
-REFRESH = r"(?i)<meta\s[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*\bcontent\s*=\s*[\"']?[0-9.\s]*;\s*url\s*=\s*'?\s*([^\"'\s>]+)"
+_EQUIV = r"\bhttp-equiv\s*=\s*[\"']?refresh\b"
+_CONTENT = r"\bcontent\s*=\s*[\"']?[0-9.\s]*;\s*url\s*=\s*'?\s*([^\"'\s>]+)"
+REFRESH = (r"(?i)<meta\s[^>]*" + _EQUIV + "[^>]*" + _CONTENT, r"(?i)<meta\s[^>]*" + _CONTENT + "[^>]*" + _EQUIV)
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -57,8 +59,8 @@ def _absolute(link: Column, url: Column) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """``url, target`` for the canonical link and the redirect that a page declares."""
-    found = F.array(*[F.regexp_extract("html", p, 1) for p in CANONICAL], F.regexp_extract("html", REFRESH, 1))
+    """``url, target`` for all canonical links and redirects that a page declares."""
+    found = F.flatten(F.array(*[F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in (*CANONICAL, *REFRESH)]))
     links = pages.where(F.col("html").isNotNull()).select("url", F.explode(found).alias("link")).where("link != ''")
     return links.select("url", _absolute(F.col("link"), F.col("url")).alias("target"))
 

@@ -89,6 +89,31 @@ def test_rules_aliases_and_odd_rows(spark):
     assert {r.page_id: r.verdict for r in got}[5] == "block" and {r.page_id: r.verdict for r in got}[6] == "allow"
 
 
+BAD = "http://bad.net/fr/"
+
+
+@pytest.mark.parametrize(
+    "head",
+    [
+        f"<meta content='0; url={BAD}' http-equiv='refresh'>",
+        f'<META CONTENT="5;URL={BAD}" name=x HTTP-EQUIV="Refresh" />',
+        f'<link rel="canonical" href="http://good.org/"><link rel="canonical" href="{BAD}">',
+        f'<link href="http://good.org/" rel="canonical"><link href="{BAD}" rel="canonical">',
+        f"<meta http-equiv=refresh content='9; url=http://good.org/'><meta http-equiv=refresh content='0; url={BAD}'>",
+        f"<meta content='9; url=http://good.org/' http-equiv=refresh><meta content='0; url={BAD}' http-equiv=refresh>",
+    ],
+)
+def test_every_link_of_a_page_in_both_orders(spark, head):
+    df = spark.createDataFrame([(1, "http://a.org/", HTML.format(head))], "page_id long, url string, html string")
+    assert [(r.verdict, r.reason) for r in url_filter.judge(df, URL_RULES).collect()] == [("block", "alias")]
+
+
+@pytest.mark.parametrize("head", [f"<meta content='0; url={BAD}' name='x'>", f"<meta content='0; url={BAD}'><meta http-equiv='refresh' content='5'>"])
+def test_no_redirect(spark, head):
+    df = spark.createDataFrame([(1, "http://a.org/", HTML.format(head))], "page_id long, url string, html string")
+    assert url_filter.page_links(df).count() == 0
+
+
 def test_chain_and_hub(spark):
     chain = [(i, f"http://h{i}.org/", canonical(f"http://h{i + 1}.org/")) for i in range(60)]
     hub = [(1000 + i, f"http://s{i}.org/", canonical("http://hub.net/es/")) for i in range(200)]
