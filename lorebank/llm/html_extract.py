@@ -48,7 +48,8 @@ STOP_WORDS = frozenset(
 )
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+>|[^>]*(?:>|\Z))""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: One attribute with its whole value; a quote left open holds the rest of the tag.
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*))?""")
 _HINT = re.compile(r"[a-z]+")
 #: Their contents are not text of the page at all.
 _RAW = frozenset("script style title textarea noscript template iframe svg math object select xmp noframes".split())
@@ -82,8 +83,10 @@ def _excluded(name: str, attributes: str, in_region: bool, hints: bool) -> bool:
     """Whether an element is no part of the article, by its tag or attributes."""
     if name in _OUT_TAGS or (name == "header" and not in_region):
         return True
-    for key, value in _ATTRIBUTE.findall(attributes) if attributes.strip("> /") else ():
-        key, value = key.lower(), value.strip("\"'").lower()
+    # of attributes with one name the first counts
+    parsed = {key.lower(): value for key, value in reversed(_ATTRIBUTE.findall(attributes))} if attributes.strip("> /") else {}
+    for key, value in parsed.items():
+        value = value.strip("\"'").lower()
         if key == "hidden" and value in ("", "hidden", "true") or key == "aria-hidden" and value == "true":
             return True
         if key == "role" and value in _OUT_ROLES or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):

@@ -47,6 +47,25 @@ def test_rules(name):
     assert h.main_text(page(body)) == "\n".join(" ".join(w.split()) for w in want)
 
 
+KEPT = ["title='The hidden cost'", "data-state='hidden'", "data-id='sidebar'", "data-role=navigation", "data-class='menu'", 'title="id=comments class=ad"', "data-style='display:none'", "x-aria-hidden=true", "class=lead class=menu", "href=/a?hidden", "title='it is hidden"]
+GONE = ["hidden", "HIDDEN=''", 'title="a"hidden', "data-id=x id = 'sidebar'", "title='x > y' role=navigation", "class=menu/", "/hidden", "data-x= hidden aria-hidden=true", 'style="color:red; display : none"']
+
+
+@pytest.mark.parametrize("attributes", KEPT)
+def test_only_exact_attribute_names_exclude(attributes):
+    assert not h._excluded("p", f" {attributes}>", True, True)
+
+
+@pytest.mark.parametrize("attributes", GONE)
+def test_excluding_attributes(attributes):
+    assert h._excluded("p", f" {attributes}>", True, True)
+
+
+def test_title_with_the_word_hidden_keeps_its_paragraph():
+    body = f"<article><p>{LONG}</p><p title='The hidden cost'>{ALSO}</p><div data-state='hidden'><p>{LONG}</p></div><p hidden>{ALSO}</p></article>"
+    assert h.main_text(page(body)) == "\n".join(w.strip() for w in (LONG, ALSO, LONG))
+
+
 def test_inheritance_like_a_search_for_the_nearest():
     import random
 
