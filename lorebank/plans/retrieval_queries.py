@@ -519,6 +519,43 @@ SELECT count(*) AS questions, count(*) FILTER (WHERE p.hit) AS hits, round(count
 FROM asked a LEFT JOIN per p USING (user_id, question_id)"""
 
 
+def whole_text_quality(chunks: DataFrame, stored: DataFrame, notes: DataFrame, dim: int = DIM) -> DataFrame:
+    """Every chunk asks with its whole text, through both channels, and expects itself and its whole quote among the citations.
+
+    Quotes come from the answers, which read the ``stored`` chunks, and are looked for in the text of the notes. Chunks and notes are joined
+    by their own ids alone: one that reached a foreign user would count as a leak.
+    """
+    asked = chunks.select(
+        "user_id", F.col("chunk_id").alias("question_id"), "search_terms", "embedding", F.col("note_id").alias("expected_note"),
+        F.col("ordinal").alias("expected_ordinal"), F.left(trim_ws("content"), F.lit(K.QUOTE_LIMIT)).alias("expected_quote"),
+    )
+    selected = R.select_context(R.hybrid(asked.select("user_id", "question_id", "search_terms", "embedding"), chunks, dim))
+    context = selected.join(stored.select("chunk_id", "content"), "chunk_id").join(notes.select("note_id", "title", "source"), "note_id")
+    answers = A.fallback_answers(asked.select("user_id", "question_id"), context)
+    quotes = answers.select("user_id", "question_id", F.posexplode("citations").alias("place", "c")).select(
+        "user_id", "question_id", (F.col("place") + 1).alias("position"), "c.chunk_id", "c.note_id", "c.quote"
+    )
+    owners = notes.select("note_id", F.col("user_id").alias("note_owner"), "content")
+    out = A.retrieval_quality(asked, quotes.join(chunks.select("chunk_id", "ordinal"), "chunk_id").join(owners, "note_id"))
+    return out.select("questions", "hits", F.round("hit_rate", 6).alias("hit_rate"), F.round("verbatim_rate", 6).alias("verbatim_rate"), "leaks")
+
+
+def retrieval_quality_whole_q(spark: SparkSession, d: str) -> DataFrame:
+    """Whole chunk texts as questions to hybrid retrieval; quotes of the answers against the notes."""
+    return whole_text_quality(M.searchable_chunks(spark, d), M.index_chunks(spark, d), M.notes(spark, d))
+
+
+_WHOLE = "questions AS MATERIALIZED (SELECT user_id, chunk_id AS question_id, content AS query FROM searchable)"
+QUALITY_WHOLE_SQL = Q.with_(Q.SEARCHABLE, _WHOLE, Q.KEYWORD, Q.DENSE, Q.FUSED, Q.CONTEXT) + f""",
+said AS (SELECT x.*, left({Q.trim('w.content')}, 500) AS quote FROM context x JOIN windows w USING (chunk_id)),
+per AS (SELECT x.user_id, x.question_id, bool_or(x.position <= 5 AND x.chunk_id = x.question_id AND contains(x.quote, left({Q.trim('a.content')}, 500))) AS hit,
+    count(*) FILTER (WHERE contains(d.text, x.quote)) AS v, count(*) AS n, count(*) FILTER (WHERE d.source <> x.user_id) AS foreign_notes
+  FROM said x JOIN searchable a ON a.chunk_id = x.question_id JOIN documents d ON CAST(d.doc_id AS VARCHAR) = x.note_id GROUP BY ALL)
+SELECT count(*) AS questions, count(*) FILTER (WHERE p.hit) AS hits, round(count(*) FILTER (WHERE p.hit) / count(*), 6) AS hit_rate,
+  round(sum(p.v) / sum(p.n), 6) AS verbatim_rate, CAST(coalesce(sum(p.foreign_notes), 0) AS BIGINT) AS leaks
+FROM questions q LEFT JOIN per p USING (user_id, question_id)"""
+
+
 QUERIES = {
     "search_terms": (search_terms_q, SEARCH_TERMS_SQL),
     "postings_df": (postings_df_q, POSTINGS_SQL),
@@ -547,4 +584,5 @@ QUERIES = {
     "citation_verify": (citation_verify_q, CITATION_SQL),
     "model_judgement": (model_judgement_q, JUDGE_SQL),
     "retrieval_quality": (retrieval_quality_q, QUALITY_SQL),
+    "retrieval_quality_whole": (retrieval_quality_whole_q, QUALITY_WHOLE_SQL),
 }

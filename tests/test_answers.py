@@ -164,6 +164,22 @@ def test_retrieval_quality_on_bilingual_notes(spark):
     assert "private" not in {x.note_id for x in context.collect()}
 
 
+def test_whole_texts_ask_and_answers_are_quoted(spark):
+    """Notes that differ only behind their first 160 characters find themselves; a stored chunk that left its note shows."""
+    from lorebank.plans.retrieval_queries import whole_text_quality
+
+    same = "every note of this user begins with one and the same words " * 4
+    rows = [("u", f"n{i}", f"t{i}", same + f"and closes alone with marker{i} zebra{i * 7} quill{i * 13}", "") for i in range(12)]
+    notes = spark.createDataFrame(rows, "user_id string, note_id string, title string, content string, source string")
+    chunks = I.index_rows(notes, hash_embedder())
+    r = whole_text_quality(chunks, chunks, notes, 1536).first()
+    assert (r.questions, r.hits, r.verbatim_rate, r.leaks) == (12, 12, 1, 0)
+    moved = notes.withColumn("user_id", F.when(F.col("note_id") == "n3", "v").otherwise(F.col("user_id")))
+    broken = chunks.withColumn("content", F.when(F.col("note_id") == "n5", F.concat(F.lit("altered "), "content")).otherwise(F.col("content")))
+    r = whole_text_quality(chunks, broken, moved, 1536).first()
+    assert r.hits == 12 and r.verbatim_rate < 1 and r.leaks > 0
+
+
 def test_quality_counts_leaks_and_broken_quotes(spark):
     """A citation of another user's note and one that is not verbatim show in the figures."""
     asked = spark.createDataFrame([("u", "q", "n", 0, "word")], "user_id string, question_id string, expected_note string, expected_ordinal int, expected_quote string")
