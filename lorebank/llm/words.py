@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer document is handled alone.
 CHUNK = 2 << 20
+#: Bytes of a word from which on it is digested alone.
+LONG = 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -17,6 +20,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64)
 _BASE = 0x9E3779B97F4A7C15
+#: Masks of the first n bytes of eight.
+_FIRST = np.array([2 ** (8 * n) - 1 for n in range(9)], np.uint64)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -27,8 +32,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``first row, last row + 1, bytes, offsets`` of pieces of about ``CHUNK`` bytes; null texts are empty."""
+def text_slices(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``first row, last row + 1, bytes, offsets`` of pieces of about ``size`` bytes; null texts are empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -39,7 +44,7 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     start = 0
     while start < len(column):
-        stop = max(start + 1, int(np.searchsorted(offs, offs[start] + CHUNK, "right")) - 1)
+        stop = max(start + 1, int(np.searchsorted(offs, offs[start] + size, "right")) - 1)
         yield start, stop, data[offs[start] : offs[stop]], offs[start : stop + 1] - offs[start]
         start = stop
 
@@ -76,6 +81,28 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of each word with A-Z lower-cased, by eight bytes at a time through a mixing permutation that starts from the length.
+
+    Unlike the polynomial of :func:`hash_words` this has no algebraic structure, so no family of words collides by construction.
+    Words over ``LONG`` bytes are digested one by one.
+    """
+    low = np.zeros(len(data) + 8, np.uint8)
+    low[: len(data)] = _LOWER[data]
+    eight = np.ndarray((len(data) + 1,), "<u8", low, 0, (1,))  # the eight bytes from each place
+    size = ends - starts
+    code = mix64(size.astype(np.uint64) * np.uint64(_BASE) + np.uint64(0x632BE59BD9B4E019))
+    live, at = np.flatnonzero(size <= LONG), starts
+    while len(live):
+        rest = ends[live] - at[live]
+        code[live] = mix64(code[live] ^ (eight[at[live]] & _FIRST[np.minimum(rest, 8)]))
+        live = live[rest > 8]
+        at = at + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        code[i] = int.from_bytes(blake2b(low[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return code
+
+
 def shingle_sets(hashes: np.ndarray, first: np.ndarray, width: int) -> list[np.ndarray]:
     """Sorted distinct hashes of ``width`` consecutive words per document; a shorter document is one sequence; none if empty."""
     n = len(hashes)
