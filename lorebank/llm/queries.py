@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebank.llm import ann, exact_dedup, html_extract, minhash, mixing, packing, quality, sharding, suffix_dedup, url_filter
+from lorebank.llm import ann, exact_dedup, fim, html_extract, minhash, mixing, packing, phrases, quality, sharding, suffix_dedup, token_count, url_filter
 from lorebank.llm.common import table
 
 #: The policy that op2 is asked to judge by: host, path prefix, verdict.
@@ -147,6 +147,62 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rewritten for filling in its middle, with digests of the output and of the text rebuilt from it."""
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    restored = fim.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS unit,
+    sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS digest FROM documents),
+h AS (SELECT doc_id, text, unit, len(unit)::BIGINT AS n, [('0x' || substr(digest, 8 * i + 1, 8))::BIGINT FOR i IN [0, 1, 2, 3]] AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+         WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(unit[1:a], '') AS prefix, array_to_string(unit[a + 1:b], '') AS middle, array_to_string(unit[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by the byte-level vocabulary."""
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest collocations of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents")).drop("doc_id", "at")
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
+total AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k))),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+inner_spans AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, a
+  FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT lang, w, a, k, unnest(range(2, k)) AS m FROM c))),
+kept AS (SELECT c.* FROM c LEFT JOIN (SELECT lang, phrase, max(a) AS around FROM inner_spans GROUP BY ALL) USING (lang, phrase)
+  WHERE around IS NULL OR around < a),
+cut AS (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS one, array_to_string(w[j + 1:], ' ') AS two FROM (SELECT *, unnest(range(1, k)) AS j FROM kept)),
+score AS (SELECT cut.lang, cut.phrase, cut.a, x.a AS l, y.a AS r, n, j, (1000::HUGEINT * cut.a * n) // (x.a::HUGEINT * y.a) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = one JOIN f y ON y.lang = cut.lang AND y.phrase = two JOIN total ON total.lang = cut.lang),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS low FROM score),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "C") AS rank FROM best WHERE low = 1)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_html_text": (op1_html_text, None),
     "op2_url_filter": (op2_url_filter, OP2_SQL),
@@ -158,4 +214,7 @@ QUERIES = {
     "op8_quality": (op8_quality, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
     "op10_multi_index": (op10_multi_index, None),
+    "op11_fill_in_middle": (op11_fill_in_middle, OP11_SQL),
+    "op12_token_counts": (op12_token_counts, None),
+    "op13_phrases": (op13_phrases, OP13_SQL),
 }
