@@ -40,7 +40,7 @@ TOP = 2000
 #: A phrase is dropped if a longer one around it has at least this share of its count.
 INSIDE_PERCENT = 100
 #: Bytes of text handled together; most bits of a bitmap (a power of two) and fingerprints that may fill it; bitmaps of a verifying pass.
-SLICE = 16 << 20
+SLICE = 4 << 20
 CELLS = 1 << 28
 PER_BITMAP = 1 << 26
 TOGETHER = 5
