@@ -132,3 +132,24 @@ def test_short_sequences():
     h = np.arange(1, 8, dtype=np.uint64)
     sets = shingle_sets(h, np.array([0, 2, 2, 7]), 5)
     assert [len(s) for s in sets] == [1, 0, 1]
+
+
+def test_words_in_thue_morse_order_are_not_taken_for_each_other(spark):
+    """A polynomial modulo a power of two has one value for such a word and its complement."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word[:100]), (4, word[:100].translate(str.maketrans("ab", "ba")))]
+    got = minhash.near_groups(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i) for i in range(1, 5)]
+
+
+def test_word_codes_see_every_byte():
+    from lorebank.llm.words import find_words, text_slices, word_codes
+
+    rng = random.Random(2)
+    words = {"".join(rng.choice("abé") for _ in range(n)) for n in [*range(1, 40), 255, 256, 257, 700] for _ in range(20)}
+    words = sorted(words) + [w.upper() for w in ("abab", "b" * 300)] + ["abab", "b" * 300]
+    ((_, _, data, offs),) = text_slices(minhash.pa.array([" ".join(words)]))
+    starts, ends, _ = find_words(data, offs)
+    codes = dict(zip(words, word_codes(data, starts, ends).tolist()))
+    assert codes["ABAB"] == codes["abab"] and codes["B" * 300] == codes["b" * 300]
+    assert len(set(codes.values())) == len({"".join(c.lower() if c < "\x7f" else c for c in w) for w in words})
