@@ -97,7 +97,7 @@ def test_equal_fingerprints_part_by_their_words(spark, monkeypatch):
     rows = corpus(6, 80)
     batch = pa.RecordBatch.from_pylist([{"lang": lang, "text": t, "doc_id": i} for i, t, lang in rows])
     monkeypatch.setattr(phrases, "word_codes", lambda data, starts, ends: (ends - starts).astype("uint64") % 2)
-    monkeypatch.setattr(phrases.Slice, "prints", lambda self, at, k: (self.sums[at + k] - self.sums[at]) % 3)
+    monkeypatch.setattr(phrases.Slice, "prints", lambda self, at, k: (self.sums[at + k] - self.sums[at]) * self.down[at] % 3)
     f, _ = counted(rows)
     for part, langs, _ in phrases.slices(iter([batch]), 1 << 20):
         ids = part.word_ids()
