@@ -10,8 +10,8 @@ from lorebank.functions.columns import let
 from lorebank.functions.provenance import note_source
 from lorebank.functions.text import default_quote, is_blank, or_default, summary_of, trim_ws
 from lorebank.functions.tokens import overlap_tokens
-from lorebank.operators.blocks import Scoring, block_topk
 from lorebank.operators.lookback import preceding_rows
+from lorebank.operators.scopes import in_scopes
 
 QUESTION = ["user_id", "question_id"]
 
@@ -203,26 +203,21 @@ def note_search_text() -> Column:
     return F.concat_ws(" ", "title", "summary", F.concat_ws(" ", "tags"), "content")
 
 
+def listed_note(listing: Column | str) -> Column:
+    """The note id of a listing key."""
+    c = F.col(listing) if isinstance(listing, str) else listing
+    return F.substr(c, F.lit(21))
+
+
 def recent_notes(questions: DataFrame, notes: DataFrame, k: int = K.BASIC_SCAN) -> DataFrame:
     """The first k notes in listing order inside each question's scope: user, question, note, listing rank.
 
-    Questions without a scope share their user's k newest notes. Scoped questions are matched block by
-    block, so no (question, note) list of a whole user is built.
+    Questions of a user with one scope share one list; lists are cut at k before they meet their questions.
     """
-    listed = notes.select("user_id", "note_id", "topic", "tags", listing_key().alias("listing"))
-    newest = Window.partitionBy("user_id").orderBy("listing")
-    plain = listed.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= k)
-    if "scope_note_ids" not in questions.columns:
-        return questions.select(*QUESTION).join(plain.select("user_id", "note_id", "rank"), "user_id")
-    open_scope = (F.size("scope_note_ids") + F.size("scope_topics") + F.size("scope_tags")) <= 0
-    free = questions.where(open_scope).select(*QUESTION).join(plain.select("user_id", "note_id", "rank"), "user_id")
-    scoped = block_topk(
-        questions.where(~open_scope),
-        listed.withColumn("listed_note", F.col("note_id")),
-        ["user_id"],
-        Scoring(kind="listing", k=k, tie="listing", left_id="question_id", right_id="listed_note", scoped=True),
-    ).select(*QUESTION, F.col("listed_note").alias("note_id"), "rank")
-    return free.unionByName(scoped)
+    asked, rows = in_scopes(questions, notes.select("user_id", "note_id", "topic", "tags", listing_key().alias("listing")))
+    newest = Window.partitionBy("user_id", "scope_id").orderBy("listing")
+    listed = rows.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= k)
+    return asked.select(*QUESTION, "scope_id").join(listed.select("user_id", "scope_id", "note_id", "rank"), ["user_id", "scope_id"]).drop("scope_id")
 
 
 def shared_tokens(asked: Column, token_set: Column) -> Column:

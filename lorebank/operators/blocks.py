@@ -1,4 +1,4 @@
-"""Splitting hot groups into bounded blocks, and exact per-block top-k scoring.
+"""Splitting hot groups into bounded blocks, and exact top-k cosines block by block.
 
 A user (or any other key) may own a third of all rows, so no group is ever handed to one task whole.
 Both sides of a scoring job are cut into blocks of bounded size inside each key; every (left block,
@@ -9,8 +9,6 @@ window picks the k best over all blocks, which makes the result exact.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,7 +19,6 @@ from pyspark.sql import types as T
 LEFT_BLOCK_ROWS = 4_096
 RIGHT_BLOCK_ROWS = 4_096
 _TILE_ROWS = 256
-_DENSE_TOKENS = 512
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows_per_block: int, name: str) -> DataFrame:
@@ -59,94 +56,55 @@ def copy_to_blocks(df: DataFrame, hot: DataFrame, keys: list[str], name: str) ->
     return counted.withColumn(name, F.explode(F.sequence(F.lit(0), F.col(name) - 1)))
 
 
-@dataclass(frozen=True)
-class Scoring:
-    """What one block pair computes.
+def placed(left: DataFrame, right: DataFrame, keys: list[str], left_block: int, right_block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a block number of their own (``_lb``, ``_rb``), copied to the blocks of the other side. Both have ``keys`` and ``id``.
 
-    ``kind``: ``terms`` (sum of left multiplicities of shared tokens), ``vector`` (cosine) or
-    ``listing`` (no score, tie order only). ``tie`` orders equal scores ascending. ``scoped`` reads
-    ``scope_note_ids/scope_topics/scope_tags`` on the left and ``note_id/topic/tags`` on the right.
-    ``not_self`` drops pairs whose ids are equal. ``dim`` is the exact vector width: left rows with
-    another width or a non-finite number have no result.
+    Keys without a left row have nothing to score: their right rows stay out. The lists of keys with several blocks hold at most one narrow
+    row per block; how they are joined is left to AQE's size check.
     """
-
-    kind: str
-    k: int
-    tie: str
-    left_id: str
-    right_id: str
-    feature: str = ""
-    above: float | None = None
-    scoped: bool = False
-    not_self: bool = False
-    dim: int = 0
+    columns = left.columns, right.columns
+    left, right = _fresh(left, columns[0]), _fresh(right, columns[1])
+    right = right.join(_fresh(left, keys).distinct(), keys, "left_semi")
+    hot_left, hot_right = hot_keys(left, keys, left_block, "_lb"), hot_keys(right, keys, right_block, "_rb")
+    left = copy_to_blocks(assign_block(left, hot_left, keys, "id", "_lb"), hot_right, keys, "_rb")
+    right = copy_to_blocks(assign_block(right, hot_right, keys, "id", "_rb"), hot_left, keys, "_lb")
+    return left.select(*columns[0], "_lb", "_rb"), right.select(*columns[1], "_lb", "_rb")
 
 
-def block_topk(
+def vector_topk(
     left: DataFrame,
     right: DataFrame,
     keys: list[str],
-    scoring: Scoring,
+    k: int,
+    dim: int,
+    digits: int,
     left_block: int = LEFT_BLOCK_ROWS,
     right_block: int = RIGHT_BLOCK_ROWS,
-    score_digits: int | None = None,
-    broadcast_hot: bool = True,
 ) -> DataFrame:
-    """Exact top-k right rows per left row within each key: ``keys, left_id, right_id, score, rank``.
+    """The k right rows of highest cosine per left row of their key: ``keys, left_id, right_id, score, rank``; equal ones by ascending right id.
 
-    The lists of keys with several blocks are broadcast: they hold at most one narrow row per
-    ``block`` input rows. ``broadcast_hot=False`` leaves that join to AQE's size check instead.
+    Both sides have ``keys``, ``id`` and ``vector``. Scores are rounded to ``digits``. A left row whose vector has another width than ``dim`` or a number
+    that is not finite has no result; such right rows never are one. Zero right vectors come last.
     """
-    lcols = [*keys, scoring.left_id] + ([scoring.feature] if scoring.feature else [])
-    rcols = [*keys, scoring.right_id] + ([scoring.feature] if scoring.feature else [])
-    if scoring.scoped:
-        lcols += ["scope_note_ids", "scope_topics", "scope_tags"]
-        rcols += ["note_id", "topic", "tags"]
-    rcols.append(scoring.tie)
-    left = _fresh(left, lcols)
-    right = _fresh(right, rcols)
-
-    # Keys without a left row have nothing to score: keep their rows out of the shuffle. AQE picks
-    # broadcast or a (skew-splitting) shuffled join from the measured size of the key list.
-    right = right.join(_fresh(left, keys).distinct(), keys, "left_semi")
-
-    place = F.broadcast if broadcast_hot else lambda df: df
-    hot_left = place(hot_keys(left, keys, left_block, "_lb"))
-    hot_right = place(hot_keys(right, keys, right_block, "_rb"))
-    left = copy_to_blocks(assign_block(left, hot_left, keys, scoring.left_id, "_lb"), hot_right, keys, "_rb")
-    right = copy_to_blocks(assign_block(right, hot_right, keys, scoring.right_id, "_rb"), hot_left, keys, "_lb")
-
-    tie_name = "_tie"
-    key_fields = [left.schema[k] for k in keys]
     out = T.StructType(
         [
-            *key_fields,
-            T.StructField(scoring.left_id if not scoring.not_self else "left_id", left.schema[scoring.left_id].dataType),
-            T.StructField(scoring.right_id if not scoring.not_self else "right_id", right.schema[scoring.right_id].dataType),
-            T.StructField(tie_name, right.schema[scoring.tie].dataType),
+            *[left.schema[c] for c in keys],
+            T.StructField("left_id", left.schema["id"].dataType),
+            T.StructField("right_id", right.schema["id"].dataType),
             T.StructField("score", T.DoubleType()),
         ]
     )
-    lname, rname = out.fields[len(keys)].name, out.fields[len(keys) + 1].name
-    group = [*keys, "_lb", "_rb"]
+    left, right = placed(left.select(*keys, "id", "vector"), right.select(*keys, "id", "vector"), keys, left_block, right_block)
+    place = [*keys, "_lb", "_rb"]
     # Scoring is heavy per byte: a fixed partition count keeps AQE from merging block pairs by size.
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left, right = left.repartition(tasks, *group), right.repartition(tasks, *group)
-    scored = (
-        left.groupBy(*group)
-        .cogroup(right.groupBy(*group))
-        .applyInArrow(_pair_scorer(keys, scoring, out, score_digits), out)
-    )
-    order = Window.partitionBy(*keys, lname).orderBy(F.desc("score"), F.asc(tie_name))
-    return (
-        scored.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= scoring.k)
-        .select(*keys, lname, rname, "score", "rank")
-    )
+    left, right = left.repartition(tasks, *place), right.repartition(tasks, *place)
+    scored = left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(_pair_scorer(keys, k, dim, digits, out), out)
+    order = Window.partitionBy(*keys, "left_id").orderBy(F.desc("score"), "right_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _pair_scorer(keys: list[str], s: Scoring, out: T.StructType, digits: int | None):
-    names = [f.name for f in out.fields]
+def _pair_scorer(keys: list[str], k: int, dim: int, digits: int, out: T.StructType):
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow_out = to_arrow_schema(out)
@@ -154,53 +112,24 @@ def _pair_scorer(keys: list[str], s: Scoring, out: T.StructType, digits: int | N
     def score_pair(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return arrow_out.empty_table()
-        right = right.sort_by([(s.tie, "ascending")])
-        score_of = _right_side(right, s)
+        right = right.sort_by([("id", "ascending")])
+        b, right_ok = _matrix(right.column("vector"), dim)
         rows, cols, vals = [], [], []
         for start in range(0, left.num_rows, _TILE_ROWS):
-            tile = left.slice(start, _TILE_ROWS)
-            scores, valid = _tile_scores(tile, right, s, score_of)
-            if digits is not None:
-                scores = np.round(scores, digits)
-            r, c = _best(scores, valid, s.k)
+            scores, valid = _cosine(left.column("vector").slice(start, _TILE_ROWS), b, right_ok, dim)
+            scores = np.round(scores, digits)
+            r, c = _best(scores, valid, k)
             rows.append(r + start)
             cols.append(c)
             vals.append(scores[r, c])
         r, c, v = (np.concatenate(x) for x in (rows, cols, vals))
-        li, ri = pa.array(r), pa.array(c)
-        columns = [left.column(k).take(li) for k in keys]
-        columns += [left.column(s.left_id).take(li), right.column(s.right_id).take(ri), right.column(s.tie).take(ri)]
-        columns.append(pa.array(v.astype(np.float64)))
-        return pa.table(columns, names=names).cast(arrow_out)
+        columns = [left.column(key).take(pa.array(r)) for key in [*keys, "id"]]
+        columns += [right.column("id").take(pa.array(c)), pa.array(v.astype(np.float64))]
+        return pa.table(columns, names=arrow_out.names).cast(arrow_out)
 
     return score_pair
 
 
-def _right_side(right: pa.Table, s: Scoring):
-    """Prepare the right rows of a pair once; the result scores one tile of left rows."""
-    m = right.num_rows
-    if s.kind == "vector":
-        b, right_ok = _matrix(right.column(s.feature), s.dim)
-        return lambda tile: _cosine(tile.column(s.feature), b, right_ok, s.dim)
-    if s.kind == "terms":
-        postings = _Postings(right.column(s.feature))
-        return lambda tile: (postings.score(tile.column(s.feature)), np.ones((tile.num_rows, m), dtype=bool))
-    return lambda tile: (np.zeros((tile.num_rows, m)), np.ones((tile.num_rows, m), dtype=bool))
-
-
-def _tile_scores(tile: pa.Table, right: pa.Table, s: Scoring, score_of) -> tuple[np.ndarray, np.ndarray]:
-    scores, valid = score_of(tile)
-    if s.above is not None:
-        valid &= scores > s.above
-    if s.not_self:
-        left_ids = np.asarray(tile.column(s.left_id).to_pandas())
-        right_ids = np.asarray(right.column(s.right_id).to_pandas())
-        valid &= left_ids[:, None] != right_ids[None, :]
-    if s.scoped:
-        _apply_scopes(valid, tile, right)
-    return scores, valid
-
-
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     """Row number per element and the flattened elements of a list column."""
     lists = column.combine_chunks()
@@ -232,75 +161,6 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return out, ok
 
 
-class _Postings:
-    """Token sets of a block's right rows, ordered by token."""
-
-    def __init__(self, column: pa.ChunkedArray) -> None:
-        self.m = len(column)
-        row, tokens = _flat(column)
-        encoded = pc.dictionary_encode(tokens)
-        self.tokens = encoded.dictionary
-        code = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        pair = np.unique(code * self.m + row)  # a set: one entry per (token, row)
-        self.rows = pair % self.m
-        self.df = np.bincount(pair // self.m, minlength=len(self.tokens))
-        self.start = np.concatenate(([0], np.cumsum(self.df)[:-1])).astype(np.int64)
-
-    def entries(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For codes in order: position of the code, repeated per posting, and the posting's row."""
-        reps = self.df[codes]
-        ends = np.cumsum(reps)
-        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - reps, reps) + np.repeat(self.start[codes], reps)
-        return np.repeat(np.arange(len(codes)), reps), self.rows[at]
-
-    def score(self, left: pa.ChunkedArray) -> np.ndarray:
-        """Sum over left tokens (with multiplicity) that occur in the right row's token set."""
-        n, m = len(left), self.m
-        row, tokens = _flat(left)
-        scores = np.zeros((n, m))
-        if not len(tokens) or not len(self.tokens):
-            return scores
-        hit = pc.index_in(tokens, value_set=self.tokens)
-        row = row[pc.is_valid(hit).to_numpy(zero_copy_only=False)]
-        code = pc.drop_null(hit).to_numpy().astype(np.int64)
-        pair, count = np.unique(code * n + row, return_counts=True)
-        code, row = pair // n, pair % n
-        # Frequent tokens: one small matrix product. The rest: walk the (short) posting lists.
-        used = np.unique(code)
-        frequent = used[np.argsort(-self.df[used], kind="stable")[:_DENSE_TOKENS]]
-        slot = np.full(len(self.tokens), -1)
-        slot[frequent] = np.arange(len(frequent))
-        dense = slot[code] >= 0
-        a = np.zeros((n, len(frequent)))
-        a[row[dense], slot[code[dense]]] = count[dense]
-        b = np.zeros((m, len(frequent)))
-        which, at = self.entries(frequent)
-        b[at, which] = 1.0
-        scores += a @ b.T
-        code, row, count = code[~dense], row[~dense], count[~dense]
-        if len(code):
-            which, at = self.entries(code)
-            flat = np.bincount(row[which] * m + at, weights=count[which], minlength=n * m)
-            scores += flat.reshape(n, m)
-        return scores
-
-
-def _apply_scopes(valid: np.ndarray, tile: pa.Table, right: pa.Table) -> None:
-    notes, topics = right.column("note_id"), right.column("topic")
-    tag_row, tag_val = _flat(right.column("tags"))
-    ids, tops, tags = (tile.column(c).to_pylist() for c in ("scope_note_ids", "scope_topics", "scope_tags"))
-    for i in range(tile.num_rows):
-        if ids[i]:
-            valid[i] &= pc.is_in(notes, value_set=pa.array(ids[i], notes.type)).to_numpy()
-        if tops[i]:
-            valid[i] &= pc.is_in(topics, value_set=pa.array(tops[i], topics.type)).to_numpy()
-        if tags[i]:
-            hits = pc.is_in(tag_val, value_set=pa.array(tags[i], tag_val.type)).to_numpy(zero_copy_only=False)
-            allowed = np.zeros(valid.shape[1], dtype=bool)
-            allowed[tag_row[hits]] = True
-            valid[i] &= allowed
-
-
 def _best(scores: np.ndarray, valid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of each row's k best valid entries; columns are already in tie order."""
     masked = np.where(valid, scores, -np.inf)

@@ -9,8 +9,8 @@ from lorebank import constants as K
 from lorebank.functions.provenance import note_source
 from lorebank.functions.text import or_default, summary_of, title_with_fallback
 from lorebank.functions.tokens import overlap_tokens
-from lorebank.operators.answers import listing_key, note_citation, rank_notes
-from lorebank.operators.blocks import Scoring, block_topk
+from lorebank.operators.answers import listed_note, listing_key, note_citation, rank_notes
+from lorebank.operators.overlap import overlap_topk
 
 
 def _mentions(text: Column, words: tuple[str, ...]) -> Column:
@@ -38,27 +38,17 @@ def related_notes(notes: DataFrame, of: DataFrame | None = None, keep: int = K.R
     """For each note the three others sharing most tokens (more than one), newest first on equal scores.
 
     ``of`` limits the left side to new or changed notes; by default every note asks. Left tokens come
-    from title and content with repetitions, right tokens from title, summary and tags. Scored block
-    by block inside each user, so frequent words never expand into lists of note pairs.
+    from title and content with repetitions, right tokens from title, summary and tags. The listing key, which
+    ends with the note id, is the right id: it orders equal scores.
     """
     left = (notes if of is None else of).select(
-        "user_id", "note_id", overlap_tokens(F.concat_ws("\n", "title", "content")).alias("tokens")
+        "user_id", F.col("note_id").alias("id"), overlap_tokens(F.concat_ws("\n", "title", "content")).alias("tokens")
     )
     right = notes.select(
-        "user_id",
-        "note_id",
-        overlap_tokens(F.concat_ws(" ", "title", "summary", F.concat_ws(" ", "tags"))).alias("tokens"),
-        listing_key().alias("listing"),
+        "user_id", listing_key().alias("id"), overlap_tokens(F.concat_ws(" ", "title", "summary", F.concat_ws(" ", "tags"))).alias("tokens")
     )
-    return block_topk(
-        left,
-        right,
-        ["user_id"],
-        Scoring(
-            kind="terms", k=keep, tie="listing", left_id="note_id", right_id="note_id", feature="tokens", above=1.0, not_self=True
-        ),
-        left_block=1_024,
-    ).select("user_id", F.col("left_id").alias("note_id"), F.col("right_id").alias("related_id"), F.col("score").cast("long").alias("score"), "rank")
+    top = overlap_topk(left, right, ["user_id"], keep, above=1, not_same=F.col("left_id") != listed_note("right_id"), left_block=1_024)
+    return top.select("user_id", F.col("left_id").alias("note_id"), listed_note("right_id").alias("related_id"), "score", "rank")
 
 
 def organise(notes: DataFrame) -> DataFrame:

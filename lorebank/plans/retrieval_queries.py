@@ -329,21 +329,22 @@ CONTEXT_SQL = Q.with_(Q.HYBRID) + "SELECT user_id, question_id, chunk_id, note_i
 
 
 def scope_filter_q(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid retrieval inside scopes: ranks of both channels and the fused rank."""
     q, chunks = _hybrid(spark, d, scoped=True)
-    return R.keyword_topk(q, chunks).select("user_id", "question_id", "chunk_id", "hits", long("rank"))
+    return R.hybrid(q, chunks, DIM).select("user_id", "question_id", "chunk_id", long("dense_rank"), long("keyword_rank"), long("rank"))
 
 
-SCOPE_SQL = Q.with_(Q.NOTES, Q.SEARCHABLE, Q.QUESTIONS, Q.QTERMS) + """, sq AS (SELECT *, conv_id % 4 AS kind FROM questions),
-ok AS (SELECT q.user_id, q.question_id, n.note_id FROM sq q JOIN notes n ON n.user_id = q.user_id
+SCOPE_SQL = Q.with_(Q.NOTES, Q.SEARCHABLE, Q.QUESTIONS, Q.KEYWORD_SCORES, Q.DENSE_SCORES) + f""", sq AS (SELECT *, conv_id % 4 AS kind FROM questions),
+ok AS MATERIALIZED (SELECT q.user_id, q.question_id, n.note_id FROM sq q JOIN notes n ON n.user_id = q.user_id
   WHERE (q.kind <> 3 OR (n.doc_id - q.conv_id % 20) % 20 = 0 AND n.doc_id <= q.conv_id % 20 + 380)
     AND (q.kind NOT IN (1, 2) OR n.topic IN ('en', 'de'))
     AND (q.kind <> 2 OR list_has_any(n.tags, ['d1', 'long']))),
-hits AS (SELECT q.user_id, q.question_id, c.chunk_id, count(*) AS hits FROM qterms q
-  JOIN ok ON ok.user_id = q.user_id AND ok.question_id = q.question_id
-  JOIN (SELECT user_id, note_id, chunk_id, unnest(search_terms) AS term FROM searchable) c
-    ON c.user_id = q.user_id AND c.note_id = ok.note_id AND c.term = q.term GROUP BY ALL)
-SELECT user_id, question_id, chunk_id, hits, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id, question_id ORDER BY hits DESC, chunk_id) AS rank FROM hits) WHERE rank <= 30"""
+keyword AS (SELECT * FROM (SELECT k.*, row_number() OVER (PARTITION BY user_id, question_id ORDER BY hits DESC, chunk_id) AS rank
+  FROM kscore k JOIN ok USING (user_id, question_id, note_id)) WHERE rank <= 30),
+dense AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY user_id, question_id ORDER BY score DESC, chunk_id) AS rank
+  FROM (SELECT *, regexp_extract(chunk_id, '^(.*)#', 1) AS note_id FROM dscore) s JOIN ok USING (user_id, question_id, note_id)) WHERE rank <= 30),
+{Q.FUSED}
+SELECT user_id, question_id, chunk_id, dense_rank, keyword_rank, rank FROM fused"""
 
 
 def _context(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -131,10 +131,11 @@ questions AS MATERIALIZED (
 
 QTERMS = f"qterms AS (SELECT user_id, question_id, unnest({terms('query')}) AS term FROM questions)"
 
-KEYWORD = f"""{QTERMS},
+KEYWORD_SCORES = f"""{QTERMS},
 cterms AS (SELECT user_id, chunk_id, note_id, unnest(search_terms) AS term FROM searchable),
-kscore AS (SELECT q.user_id, q.question_id, c.chunk_id, c.note_id, count(*) AS hits FROM qterms q
-  JOIN cterms c ON c.user_id = q.user_id AND c.term = q.term GROUP BY ALL),
+kscore AS MATERIALIZED (SELECT q.user_id, q.question_id, c.chunk_id, c.note_id, count(*) AS hits FROM qterms q
+  JOIN cterms c ON c.user_id = q.user_id AND c.term = q.term GROUP BY ALL)"""
+KEYWORD = f"""{KEYWORD_SCORES},
 keyword AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, question_id ORDER BY hits DESC, chunk_id) AS rank
   FROM kscore) WHERE rank <= 30)"""
 
@@ -154,7 +155,7 @@ def vector_cte(name: str, source: str, key: str, text: str) -> str:
     CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY user_id, {key})) AS FLOAT) AS DOUBLE) AS v FROM {name}_counts)"""
 
 
-DENSE = f"""{vector_cte('qvec', 'questions', 'question_id', 'query')},
+DENSE_SCORES = f"""{vector_cte('qvec', 'questions', 'question_id', 'query')},
 {vector_cte('cvec', 'searchable', 'chunk_id', 'content')},
 qnorm AS (SELECT user_id, question_id, sqrt(sum(v * v)) AS n FROM qvec GROUP BY ALL),
 cnorm AS (SELECT user_id, chunk_id, sqrt(sum(v * v)) AS n FROM cvec GROUP BY ALL),
@@ -162,7 +163,8 @@ dots AS (SELECT q.user_id, q.question_id, c.chunk_id, sum(q.v * c.v) AS d FROM q
   JOIN cvec c ON c.user_id = q.user_id AND c.bucket = q.bucket GROUP BY ALL),
 dscore AS (SELECT q.user_id, q.question_id, c.chunk_id, round(coalesce(d.d, 0) / (q.n * c.n), 12) AS score
   FROM qnorm q JOIN cnorm c ON c.user_id = q.user_id
-  LEFT JOIN dots d ON d.user_id = q.user_id AND d.question_id = q.question_id AND d.chunk_id = c.chunk_id),
+  LEFT JOIN dots d ON d.user_id = q.user_id AND d.question_id = q.question_id AND d.chunk_id = c.chunk_id)"""
+DENSE = f"""{DENSE_SCORES},
 dense AS MATERIALIZED (SELECT *, regexp_extract(chunk_id, '^(.*)#', 1) AS note_id FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, question_id ORDER BY score DESC, chunk_id) AS rank FROM dscore) WHERE rank <= 30)"""
 

@@ -129,34 +129,58 @@ def stream_reindex_q(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: What the events of the log stand for in the life of a user's note; content changes every ten days.
+_JOB_EVENTS = {"signup": "queued", "view": "ok", "error": "failed", "click": "failed", "purchase": "retry"}
+
+
 def stream_retry_q(spark: SparkSession, d: str) -> DataFrame:
-    """Errors as failed, everything else as successful attempts of the user's note, in many micro-batches out of time order."""
+    """The log as job events, in many micro-batches out of time order: where every note's job ends, and how many attempts were announced."""
     root = shared_dir(spark, "stream-retry")
+    names = F.create_map(*[F.lit(x) for pair in _JOB_EVENTS.items() for x in pair])
+    ts, day = F.col("ts").cast("timestamp"), F.dayofmonth("ts")
     log = M.read(spark, d, "events").select(
-        F.lit("u").alias("user_id"), F.col("user_id").cast("string").alias("note_id"), F.date_format("ts", "yyyy-MM-dd").alias("content_hash"), F.col("ts").cast("timestamp").alias("ts"),
-        (F.col("event_type") != "error").alias("ok"),
+        F.lit("u").alias("user_id"), F.col("user_id").cast("string").alias("note_id"),
+        F.concat(F.date_format("ts", "yyyy-MM-"), F.floor((day - 1) / 10).cast("string")).alias("content_hash"), ts.alias("ts"),
+        F.element_at(names, F.col("event_type")).alias("event"),
     )
-    log.repartition(_BATCHES, F.xxhash64("note_id", "ts")).write.parquet(f"{root}/log")
-    outcomes = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
+    log.repartition(_BATCHES, F.xxhash64("note_id", "ts")).write.parquet(f"{root}/log/1")
+    # an event of another name far ahead: the watermark passes all others
+    last = log.agg(F.expr("max(ts) + INTERVAL 1 YEAR").alias("ts")).where("ts IS NOT NULL")
+    last.select(F.lit("").alias("user_id"), F.lit("").alias("note_id"), F.lit("").alias("content_hash"), "ts", F.lit("clock").alias("event")).write.parquet(f"{root}/log/2")
+    events = spark.readStream.schema(log.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
     query = (
-        SR.retry_schedule(outcomes)
-        .writeStream.outputMode("update")
+        SR.retry_stream(events, "60 days")
+        .writeStream.outputMode("append")
         .option("checkpointLocation", f"{root}/checkpoint")
         .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    out = spark.read.parquet(f"{root}/out")
-    newest = out.groupBy("user_id", "note_id", "content_hash").agg(F.max_by(F.struct("attempts", "status"), "batch").alias("r"))
-    return newest.select("note_id", "content_hash", F.col("r.attempts").cast("long").alias("attempts"), "r.status")
-
-
-STREAM_RETRY_SQL = """WITH e AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS m, event_type = 'error' AS bad, row_number() OVER
-    (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts DESC, event_type = 'error' DESC) AS k FROM events),
-g AS (SELECT user_id, m, count(*) FILTER (WHERE bad) AS n, bool_or(bad AND k = 1) AS lost FROM e GROUP BY user_id, m)
-SELECT CAST(user_id AS VARCHAR) AS note_id, m AS content_hash, n AS attempts,
-  CASE WHEN NOT lost THEN 'ready' WHEN n <= 3 THEN 'pending' ELSE 'failed' END AS status FROM g"""
+    jobs = SR.latest_jobs(spark.read.parquet(f"{root}/out"))
+    return jobs.select("note_id", "content_hash", F.col("attempts").cast("long").alias("attempts"), "status", F.date_format("available_at", _STAMP).alias("available_at"), "n_due")
+
+
+_DELAY = f"list_extract({list(K.RETRY_DELAYS_S)}, s.attempts + 1) * 1000000"
+STREAM_RETRY_SQL = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY us, o, h) AS k FROM (
+  SELECT user_id AS n, epoch_us(ts) AS us, strftime(ts, '%Y-%m-') || CAST((day(ts) - 1) // 10 AS VARCHAR) AS h,
+    CASE event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS o FROM events)),
+s AS (
+  SELECT DISTINCT n, 0 AS k, CAST(NULL AS VARCHAR) AS h, 0 AS attempts, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS BIGINT) AS av, false AS told, 0 AS due FROM e
+  UNION ALL
+  SELECT n, k, CASE WHEN how = 'keep' OR how = 'hand' THEN oh ELSE h END, CASE how WHEN 'keep' THEN attempts WHEN 'bad' THEN attempts + 1 ELSE 0 END,
+    CASE how WHEN 'keep' THEN status WHEN 'good' THEN 'ready' WHEN 'bad' THEN CASE WHEN attempts < 3 THEN 'pending' ELSE 'failed' END ELSE 'pending' END,
+    CASE how WHEN 'keep' THEN av WHEN 'good' THEN NULL WHEN 'bad' THEN us + delay ELSE us END,
+    CASE how WHEN 'keep' THEN told OR now_due ELSE false END, due + CAST(now_due AS INTEGER)
+  FROM (SELECT s.n, e.k, e.us, e.h, s.h AS oh, s.attempts, s.status, s.av, s.told, s.due, {_DELAY} AS delay,
+      coalesce(s.status = 'pending' AND NOT s.told AND s.av <= e.us, false) AS now_due,
+      CASE WHEN e.o = 0 THEN 'queue' WHEN e.o = 1 THEN CASE WHEN s.status = 'failed' THEN 'hand' ELSE 'keep' END
+        WHEN s.status IS NULL OR (s.status <> 'failed' AND s.h = e.h) THEN CASE WHEN e.o = 2 THEN 'good' ELSE 'bad' END ELSE 'keep' END AS how
+    FROM s JOIN e ON e.n = s.n AND e.k = s.k + 1))
+SELECT CAST(n AS VARCHAR) AS note_id, arg_max(h, k) AS content_hash, CAST(arg_max(attempts, k) AS BIGINT) AS attempts, arg_max(status, k) AS status,
+  strftime(make_timestamp(max(av) FILTER (WHERE last)), '%Y-%m-%d %H:%M:%S') AS available_at,
+  CAST(max(due + CASE WHEN status = 'pending' AND NOT told THEN 1 ELSE 0 END) FILTER (WHERE last) AS BIGINT) AS n_due
+FROM (SELECT *, k = max(k) OVER (PARTITION BY n) AS last FROM s) WHERE status IS NOT NULL GROUP BY n"""
 
 
 def index_freshness_q(spark: SparkSession, d: str) -> DataFrame:

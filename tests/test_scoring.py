@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorebank.operators import retrieval as R
-from lorebank.operators.blocks import Scoring, block_topk, hot_keys
+from lorebank.operators import scopes
+from lorebank.operators.blocks import hot_keys
 from lorebank.operators.lookback import preceding_rows
+from lorebank.operators.overlap import overlap_topk
 from lorebank.operators.quotes import find_quotes
 
 
@@ -38,25 +40,47 @@ def brute(left, right, k, above=0, not_self=False):
     return out
 
 
+def sides(spark, left, right):
+    schema = "user_id string, id string, tokens array<string>"
+    return spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+
+
+def top(df):
+    return {(r.left_id, r.right_id): (r.score, r["rank"]) for r in df.collect()}
+
+
 @pytest.mark.parametrize(("lb", "rb"), [(7, 11), (4096, 4096), (1000, 40)])
 def test_token_topk_equals_brute_force(spark, tokens, lb, rb):
     left, right = tokens
-    ldf = spark.createDataFrame(left, "user_id string, question_id string, search_terms array<string>")
-    rdf = spark.createDataFrame(right, "user_id string, chunk_id string, search_terms array<string>")
-    s = Scoring(kind="terms", k=5, tie="chunk_id", left_id="question_id", right_id="chunk_id", feature="search_terms", above=0.0)
-    got = {(r.question_id, r.chunk_id): (int(r.score), r["rank"]) for r in block_topk(ldf, rdf, ["user_id"], s, lb, rb).collect()}
-    assert got == brute(left, right, 5)
+    assert top(overlap_topk(*sides(spark, left, right), ["user_id"], 5, left_block=lb, right_block=rb)) == brute(left, right, 5)
 
 
 def test_token_topk_against_itself(spark, tokens):
     _, right = tokens
-    df = spark.createDataFrame(right, "user_id string, note_id string, tokens array<string>")
-    s = Scoring(kind="terms", k=3, tie="note_id", left_id="note_id", right_id="note_id", feature="tokens", above=1.0, not_self=True)
-    got = {(r.left_id, r.right_id): (int(r.score), r["rank"]) for r in block_topk(df, df, ["user_id"], s, 13, 17).collect()}
-    assert got == brute(right, right, 3, above=1, not_self=True)
+    df, _ = sides(spark, right, right)
+    got = overlap_topk(df, df, ["user_id"], 3, above=1, not_same=F.col("left_id") != F.col("right_id"), left_block=13, right_block=17)
+    assert top(got) == brute(right, right, 3, above=1, not_self=True)
+
 
+def test_a_stop_word_in_every_row_and_a_user_with_most_rows(spark):
+    rng = random.Random(8)
+    users = ["big"] * 3 + [f"s{i}" for i in range(6)]
+    left = [(rng.choice(users), f"q{i}", ["the", "the", f"w{rng.randrange(50)}"]) for i in range(90)] + [("big", "stop", ["the"]), ("none", "x", ["the"])]
+    right = [(rng.choice(users), f"c{i:04d}", ["the", f"w{rng.randrange(50)}", f"w{rng.randrange(50)}"]) for i in range(900)]
+    ldf, rdf = sides(spark, [*left, ("big", "empty", []), ("big", "null", None)], [*right, ("big", "c9", []), ("big", "c8", None)])
+    assert top(overlap_topk(ldf, rdf, ["user_id"], 30, left_block=16, right_block=32)) == brute(left, right, 30)
 
-def test_many_distinct_tokens_use_both_paths(spark):
+
+def test_pairs_are_counted_where_they_arise(spark):
+    """Two shuffles of rows with tokens at most: into places, and of the k best; none of the pairs."""
+    ldf, rdf = sides(spark, [("u", "q", ["a"])], [("u", "c", ["a"])])
+    plan = overlap_topk(ldf, rdf, ["user_id"], 3)._jdf.queryExecution().executedPlan().toString()
+    below_pairs = plan[plan.index("left_id") :]
+    above, _, rest = below_pairs.partition("REPARTITION_BY_NUM")
+    assert above.count("Exchange hashpartitioning") == 2 and "REPARTITION_BY_NUM" in plan  # of the best, and into places
+
+
+def test_many_distinct_tokens(spark):
     left = [("u", f"q{i}", [f"t{(i * 7 + j) % 3000}" for j in range(400)]) for i in range(20)]
     right = [("u", f"c{i:03d}", [f"t{(i * 31 + j * 3) % 3000}" for j in range(300)]) for i in range(80)]
     ldf = spark.createDataFrame(left, "user_id string, question_id string, search_terms array<string>")
@@ -110,6 +134,45 @@ def test_scopes_are_applied_before_the_cut(spark):
     assert "foreign" not in got
 
 
+def scoped_rows(spark, seed=4):
+    """Chunks, questions with every kind of scope, and which notes each question may see, read off one by one."""
+    rng = random.Random(seed)
+    notes = [(rng.choice("uv"), f"n{i}", rng.choice(["a", "b", None]), rng.sample(["t1", "t2", "t3"], rng.randrange(0, 4))) for i in range(60)]
+    chunks = [(u, f"{n}#{j}", n, topic, tags, ["x", f"w{rng.randrange(9)}"], [rng.random() for _ in range(4)]) for u, n, topic, tags in notes for j in range(2)]
+    pick = lambda items, n: rng.sample(items, rng.randrange(0, n))
+    asked = [
+        (rng.choice("uvw"), f"q{i}", ["x", f"w{i % 9}"], [rng.random() for _ in range(4)], *((pick([f"n{j}" for j in range(60)], 9), pick(["a", "b", "z"], 3), pick(["t1", "t2", "t9"], 3)) if i % 5 else ([], None, [])))
+        for i in range(40)
+    ]
+    asked.append(("u", "twice", ["x"], [1.0, 0.0, 0.0, 0.0], ["n1", "n1"], ["a", "a"], ["t1", "t2"]))
+    sees = {}
+    for u, q, _, _, ids, topics, tags in asked:
+        sees[q] = {n for v, n, topic, have in notes if u == v and (not ids or n in ids) and (not topics or topic in topics) and (not tags or set(tags) & set(have))}
+    cdf = spark.createDataFrame(chunks, "user_id string, chunk_id string, note_id string, topic string, tags array<string>, search_terms array<string>, embedding array<double>")
+    qdf = spark.createDataFrame(asked, "user_id string, question_id string, search_terms array<string>, embedding array<double>, scope_note_ids array<string>, scope_topics array<string>, scope_tags array<string>")
+    return chunks, cdf, asked, qdf, sees
+
+
+def test_scopes_hold_on_both_channels(spark):
+    chunks, cdf, asked, qdf, sees = scoped_rows(spark)
+    note = {c[1]: c[2] for c in chunks}
+    owner = {c[1]: c[0] for c in chunks}
+    for got in (R.keyword_topk(qdf, cdf, 200), R.dense_topk(qdf, cdf, 4, 200), R.hybrid(qdf, cdf, 4, 200)):
+        found = {}
+        for r in got.collect():
+            found.setdefault(r.question_id, []).append(r.chunk_id)
+            assert owner[r.chunk_id] == r.user_id
+        assert {q: sorted(c) for q, c in found.items()} == {q: sorted(c for c in note if note[c] in may) for q, may in sees.items() if may}
+
+
+def test_equal_scopes_are_one_set(spark):
+    _, cdf, asked, qdf, _ = scoped_rows(spark)
+    members = scopes.scope_members(qdf.unionByName(qdf), cdf.select("user_id", "note_id", "topic", "tags").distinct())
+    assert members.count() == members.distinct().count()
+    rows = scopes.with_scope_id(qdf.where("question_id IN ('twice')").unionByName(qdf.where("question_id = 'twice'").withColumn("scope_note_ids", F.array(F.lit("n1"))))).select("scope_id").distinct()
+    assert rows.count() == 1
+
+
 def test_hot_keys_are_few(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 700, "hot").otherwise(F.col("id").cast("string")).alias("k"))
     rows = hot_keys(df, ["k"], 100, "n").collect()

@@ -1,4 +1,6 @@
+import os
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -58,21 +60,78 @@ def test_index_stream_survives_restarts_and_fences_late_versions(spark, tmp_path
     assert len({r.batch for r in SI.read_ledger(spark, target).collect()}) == 3
 
 
-def test_retries_do_not_depend_on_batching(spark, tmp_path):
-    """Five failures two hours apart, one of them far out of order: the terminal state is reached either way."""
-    schema = "user_id string, note_id string, content_hash string, ts timestamp, ok boolean"
-    rows = [("u", "n", "h", T0 + timedelta(hours=2 * i), False) for i in (0, 3, 1, 4, 2)] + [("u", "m", "h", T0 + timedelta(hours=i), i != 1) for i in (2, 1)]
-    whole = {tuple(r) for r in SR.retry_schedule(spark.createDataFrame(rows, schema)).collect()}
-    assert {(r[1], r[3], r[4]) for r in whole} == {("n", 5, "failed"), ("m", 1, "ready")}
-    for i, row in enumerate(rows):
-        drop(spark, str(tmp_path / "in"), [row], schema, str(i))
-    source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = SR.retry_schedule(source).writeStream.format("memory").queryName("one_by_one").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+JOB_EVENT = "user_id string, note_id string, content_hash string, ts timestamp, event string"
+F_, OK, Q_, R_ = "failed", "ok", "queued", "retry"
+
+
+def job_changes(spark, folder, batches, delay="365 days"):
+    """Changes of the retry stream over micro-batches of (note, second, event, hash) rows; a clock far ahead ends it."""
+    batches = [*batches, [("", 400 * 86_400 + 10**6, "clock", "")]]
+    for i, rows in enumerate(batches):
+        drop(spark, f"{folder}/in", [("u", n, h, T0 + timedelta(seconds=t), e) for n, t, e, h in rows], JOB_EVENT, f"{i:02d}")
+        time.sleep(0.02)  # files are read by their age
+    source = spark.readStream.schema(JOB_EVENT).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    name = "jobs_" + os.path.basename(folder).replace("-", "_")
+    q = SR.retry_stream(source, delay).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{folder}/c").start()
     q.awaitTermination()
-    last = {}
-    for r in spark.table("one_by_one").orderBy("attempts").collect():
-        last[r.note_id] = tuple(r)
-    assert last["n"] in whole and ("m", 1) in {(r[1], r[3]) for r in last.values()}
+    return spark.table(name)
+
+
+def job_by_hand(events):
+    """The rules of a note's job read one after another: hash, failures since the last fresh start, status, next attempt, announced attempts."""
+    h, n, status, due, told = None, 0, None, None, []
+    for t, e, eh in sorted(events, key=lambda x: (x[0], [Q_, R_, OK, F_].index(x[1]), x[2])):
+        if status == "pending" and due is not None and due <= t:
+            told.append(due)
+            due = None
+        if e == Q_ or (e == R_ and status == "failed"):
+            h, n, status, due = eh if e == Q_ else h, 0, "pending", t
+        elif e in (OK, F_) and status != "failed" and h in (None, eh):
+            h = eh
+            if e == OK:
+                n, status, due = 0, "ready", None
+            else:
+                n += 1
+                status, due = ("pending", t + (5, 30, 300)[n - 1]) if n < 4 else ("failed", None)
+    if status == "pending" and due is not None:
+        told.append(due)
+    return h, n, status, told
+
+
+def test_jobs_start_afresh_after_success_queueing_and_manual_retry(spark, tmp_path):
+    plans = {
+        "ok": [F_, F_, F_, OK, F_],
+        "spent": [F_, F_, F_, F_, F_, OK],
+        "queued": [F_, F_, F_, Q_, F_],
+        "by hand": [F_, F_, F_, F_, R_, F_],
+        "not failed": [F_, F_, R_, F_],
+    }
+    rows = [(note, 1000 * i, e, "h") for note, events in plans.items() for i, e in enumerate(events)]
+    rows += [("stale", 0, Q_, "new"), ("stale", 10, F_, "old"), ("stale", 20, OK, "new"), ("stale", 30, F_, "old")]
+    changes = job_changes(spark, str(tmp_path), [rows])
+    got = {r.note_id: (r.attempts, r.status) for r in SR.latest_jobs(changes).collect()}
+    assert got == {"ok": (1, "pending"), "spent": (4, "failed"), "queued": (1, "pending"), "by hand": (1, "pending"), "not failed": (3, "pending"), "stale": (0, "ready")}
+    due = sorted((r.at - T0).total_seconds() for r in changes.where("due AND note_id = 'spent'").collect())
+    assert due == [5, 1030, 2300]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jobs_do_not_depend_on_batching(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = [(f"n{i % 12}", rng.randrange(2000), rng.choice([F_, F_, F_, OK, Q_, R_]), rng.choice("ab")) for i in range(240)]
+    changes = job_changes(spark, str(tmp_path), [rows[a : a + 60] for a in range(0, 240, 60)])
+    told = {}
+    for r in changes.where("due").collect():
+        told.setdefault(r.note_id, []).append((r.at - T0).total_seconds())
+    got = {r.note_id: (r.content_hash, r.attempts, r.status, sorted(told.get(r.note_id, []))) for r in SR.latest_jobs(changes).collect()}
+    want = {n: job_by_hand([r[1:] for r in rows if r[0] == n]) for n in {r[0] for r in rows}}
+    assert got == {n: w for n, w in want.items() if w[2]}
+
+
+def test_due_attempts_come_without_new_events_and_late_events_are_dropped(spark, tmp_path):
+    first, clock = [("n", 0, F_, "h")], lambda t: [("", t, "clock", "")]
+    changes = job_changes(spark, str(tmp_path), [first, clock(3), clock(100), clock(101), [("n", 50, OK, "h")]], "1 second")
+    assert [(r.step, r.due, r.status, (r.at - T0).total_seconds()) for r in changes.orderBy("step").collect()] == [(1, False, "pending", 0), (2, True, "pending", 5)]
 
 
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
@@ -150,22 +209,3 @@ def test_quotas_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     last = spark.table("quota").groupBy("key", "kind", "window_start").agg(F.max("n").alias("n"))
     assert {tuple(r) for r in last.collect()} == {(r.key, r.kind, r.window_start, r.n) for r in batch.collect()}
-
-
-def test_retry_stream_counts_failures_over_batches(spark, tmp_path):
-    schema = "user_id string, note_id string, content_hash string, ts timestamp, ok boolean"
-    inbox = str(tmp_path / "in")
-    for i in range(4):
-        rows = [("u", "bad", "h", T0 + timedelta(seconds=i), False)]
-        if i == 1:
-            rows += [("u", "good", "h", T0, False), ("u", "good", "h", T0 + timedelta(seconds=1), True), ("u", "bad", "h2", T0, False)]
-        drop(spark, inbox, rows, schema, str(i))
-    source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(inbox)
-    q = SR.retry_schedule(source).writeStream.format("memory").queryName("retries").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    q.awaitTermination()
-    rows = spark.table("retries").collect()
-    bad = sorted(((r.attempts, r.status, r.available_at) for r in rows if (r.note_id, r.content_hash) == ("bad", "h")), key=lambda x: x[0])
-    assert [(a, s) for a, s, _ in bad] == [(1, "pending"), (2, "pending"), (3, "pending"), (4, "failed")]
-    assert bad[0][2] == T0 + timedelta(seconds=5) and bad[2][2] == T0 + timedelta(seconds=302) and bad[3][2] is None
-    assert [(r.attempts, r.status) for r in rows if r.note_id == "good"] == [(1, "ready")]
-    assert [r.attempts for r in rows if r.content_hash == "h2"] == [1]
