@@ -9,10 +9,14 @@ documents; all are judged on the input. The work goes in shards whose suffix arr
 * Equal contexts are counted before anything is sorted: of hot passages and exact copies one context is left. All windows
   of a context that occurs twice repeat. Contexts that share their anchor with a different context go on to the shards.
 * Shards hold all contexts of their anchors. A shard's suffix array is refined by Larsson-Sadakane doubling in numpy (only groups
-  that are still equal are sorted again, up to depth ``length``). A window repeats if it is still equal to another one at that depth.
+  that are still equal are sorted again, until all are apart or at their contexts' ends). Kasai's pass over it gives the bytes that neighbours share. A window
+  repeats if it shares ``length`` bytes with a neighbour.
 * An anchor with more contexts than a shard may hold is cut into several shards; each pair of them is merged by binary search of
   the windows of one in the suffix array of the other.
 
+Contexts count as equal when two hashes of 64 bits (of the anchor by a polynomial, of the context by a mixing permutation) and their lengths agree; a context has
+less than two times ``length`` bytes. Very long texts are cut into overlapping stretches; a text that repeats one byte has a context at every byte.
+
 Defined cases: null text is empty; texts under ``length`` bytes keep everything; repeated rows remove each other; an empty table
 gives no rows; extra columns are ignored.
 """
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorebank.llm.common import stored
-from lorebank.llm.words import CHUNK, _BYTE, _powers, mix64, text_slices
+from lorebank.llm.words import CHUNK, _BYTE, _powers, mix64, text_slices, word_codes
 from lorebank.session import shared_dir
 
 LENGTH = 200
@@ -70,7 +74,7 @@ def runs(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, .
         begin = np.flatnonzero(first)
         last = np.flatnonzero(good & np.append(~good[1:] | first[1:], True)) + 1
         end = last - 1 + length
-        context = mix64((sums[end] - sums[begin]) * down[begin] + np.uint64(0xA5A5A5A5))
+        context = word_codes(part, begin, end, lower=False, long=4 * length)
         out.append((doc[begin], a + begin - offs[doc[begin]], last - begin, value[where[begin]].view(np.int64), context.view(np.int64)))
     kinds = (np.int64, np.int64, np.int64, np.int64, np.int64)
     return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, kind) for i, kind in enumerate(kinds))
@@ -90,14 +94,17 @@ class Suffixes:
         self.text[: len(body)] = body
         self.text[self.begin[1:] - 1] = 0
         self.stop = np.repeat(self.begin[1:] - 1, size + 1)  # the closing zero of each position's context
-        self.rank, self.order = self._refine()
+        raw = np.zeros(len(self.text) + 8, np.uint8)
+        raw[: len(body)] = body - 1
+        self.eight = np.ndarray((len(self.text),), "<u8", raw, 0, (1,))  # the eight bytes from each position
+        self.order = self._refine()
 
-    def _refine(self) -> tuple[np.ndarray, np.ndarray]:
-        """Rank of each position by its first ``length`` bytes (equal ones share a rank) and positions in this order."""
+    def _refine(self) -> np.ndarray:
+        """Positions in the order of their whole suffixes; what is equal up to the contexts' ends stays in the order of the contexts."""
         n = int(self.begin[-1])
         key = np.zeros(n, np.uint64)
         alive = np.ones(n, bool)
-        h = min(7, self.length)
+        h = 7
         for j in range(h):  # seven symbols of nine bits; nothing counts behind a context's end
             symbol = self.text[j : j + n].astype(np.uint64)
             alive &= symbol > 0
@@ -107,29 +114,53 @@ class Suffixes:
         new[1:] = key[order[1:]] != key[order[:-1]]
         rank = np.empty(n, np.int64)
         rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        while h < self.length:
-            step = min(h, self.length - h)
-            alone = new & np.append(new[1:], True)
-            at = np.flatnonzero(~alone)  # places of the order in groups that are not yet split
+        while True:
+            # places of the order in groups that are not yet split and whose members have symbols left
+            at = np.flatnonzero(~(new & np.append(new[1:], True)))
+            at = at[order[at] + h <= self.stop[order[at]]]
             if not len(at):
-                break
+                return order
             p = order[at]
-            pair = rank[p] * (n + 1) + np.where(p + step <= self.stop[p], rank[np.minimum(p + step, self.stop[p])] + 1, 0)
+            pair = rank[p] * (n + 1) + rank[p + h] + 1
             turn = np.argsort(pair, kind="stable")
             order[at], pair = p[turn], pair[turn]
             split = np.ones(len(at), bool)
             split[1:] = pair[1:] != pair[:-1]
             new[at] |= split
             rank[order[at]] = at[np.maximum.accumulate(np.where(split, np.arange(len(at)), 0))]
-            h += step
-        return rank, order
+            h *= 2
+
+    def common_prefixes(self) -> np.ndarray:
+        """How many bytes each position shares with its predecessor in the order, by Kasai's rule: a position shares at least one byte less than the position
+        in front of it. Contexts are walked side by side, from their first positions on, and compared eight bytes at a time."""
+        n = len(self.order)
+        before = np.full(n, -1, np.int64)
+        before[self.order[1:]] = self.order[:-1]
+        prefix = np.zeros(n, np.int64)
+        size = np.diff(self.begin) - 1
+        turn = np.argsort(-size, kind="stable")
+        begin, size = self.begin[:-1][turn], size[turn]
+        walking = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")
+        shared = np.zeros(len(begin), np.int64)
+        for j, m in enumerate(walking.tolist()):  # the contexts that have a position j
+            p = begin[:m] + j
+            q = before[p]
+            room = np.where(q >= 0, np.minimum(self.stop[p] - p, self.stop[q] - q), 0)
+            shared = np.minimum(np.maximum(shared[:m] - 1, 0), room)
+            live = np.flatnonzero(shared < room)
+            while len(live):
+                differ = self.eight[p[live] + shared[live]] ^ self.eight[q[live] + shared[live]]
+                equal = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3  # whole bytes below the lowest different bit
+                shared[live] = np.minimum(shared[live] + equal, room[live])
+                live = live[(differ == 0) & (shared[live] < room[live])]
+            prefix[p] = shared
+        return prefix
 
     def repeats(self, windows: np.ndarray) -> list[np.ndarray]:
-        """Per context which of its first ``windows`` positions share all their ``length`` bytes with another position.
-
-        Such positions share a rank. Kasai's rule would not hold here: it needs the order of whole suffixes, and this one ends at ``length`` bytes.
-        """
-        flags = np.bincount(self.rank)[self.rank] > 1 if len(self.rank) else np.zeros(0, bool)
+        """Per context which of its first ``windows`` positions share ``length`` bytes with a neighbour in the order, hence with any other position."""
+        far = self.common_prefixes() >= self.length
+        flags = far.copy()
+        flags[self.order[:-1]] |= far[self.order[1:]]
         return [flags[b : b + w] for b, w in zip(self.begin[:-1].tolist(), windows.tolist())]
 
     def find(self, other: Suffixes, windows: np.ndarray) -> list[np.ndarray]:
@@ -165,15 +196,15 @@ def _covers(flags: np.ndarray, length: int) -> tuple[list[int], list[int]]:
 COVER = "anchor long, context long, windows int, begins array<int>, ends array<int>"
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """``rid, doc_id, text`` bucketed and sorted by ``rid``: one shuffle of the texts, none for the later joins."""
+def _texts(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``rid, doc_id, text`` bucketed and sorted by ``rid``: one shuffle of the texts, none for the later joins; and the table's name."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     name = f"lb_suffix_{uuid.uuid4().hex}"
     out = rows.repartition(parts, "rid").write.bucketBy(parts, "rid").sortBy("rid").option("compression", "zstd")
     out.option("path", shared_dir(spark, "llm-suffix-texts")).saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def _find_runs(texts: DataFrame, length: int) -> DataFrame:
@@ -248,9 +279,9 @@ def repeated_windows(contexts: DataFrame, shards: int, length: int) -> DataFrame
     return own.unionByName(merged)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """Texts (rid, doc_id, text) and ``rid, spans``: per text the covers of its repeated windows, not yet merged."""
-    texts = _texts(docs)
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame, str]:
+    """Texts (rid, doc_id, text), ``rid, spans``: per text the covers of its repeated windows, not yet merged, and the table of the texts, to be dropped."""
+    texts, name = _texts(docs)
     found = stored(_find_runs(texts, length), "suffix-runs")
     often = found.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     each = found.select("rid", F.inline(F.arrays_zip("starts", "windows", "anchors", "contexts"))).withColumnsRenamed({"starts": "start", "anchors": "anchor", "contexts": "context"})
@@ -270,7 +301,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     hit = places.join(covers, ["anchor", "context", "windows"])
     moved = F.transform("covers", lambda c: F.struct((c["begins"] + F.col("start")).alias("a"), (c["ends"] + F.col("start")).alias("b")))
     spans = hit.groupBy("rid").agg(F.flatten(F.collect_list(moved)).alias("spans"))
-    return texts, spans
+    return texts, spans, name
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
@@ -300,6 +331,8 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-    texts, spans = repeated_spans(docs, length)
+    texts, spans, name = repeated_spans(docs, length)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, removed array<long>" * with_text
-    return texts.join(stored(spans, "suffix-spans"), "rid", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    out = stored(texts.join(stored(spans, "suffix-spans"), "rid", "left").select("doc_id", "text", "spans").mapInArrow(run, schema), "suffix-result")
+    docs.sparkSession.sql(f"DROP TABLE {name}")
+    return out

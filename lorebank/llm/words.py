@@ -81,24 +81,24 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64 bits of each word with A-Z lower-cased, by eight bytes at a time through a mixing permutation that starts from the length.
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, long: int = LONG) -> np.ndarray:
+    """64 bits of each word (or other stretch), A-Z lower-cased if ``lower``, by eight bytes at a time through a mixing permutation that starts from the length.
 
     Unlike the polynomial of :func:`hash_words` this has no algebraic structure, so no family of words collides by construction.
-    Words over ``LONG`` bytes are digested one by one.
+    Those over ``long`` bytes are digested one by one.
     """
     low = np.zeros(len(data) + 8, np.uint8)
-    low[: len(data)] = _LOWER[data]
+    low[: len(data)] = _LOWER[data] if lower else data
     eight = np.ndarray((len(data) + 1,), "<u8", low, 0, (1,))  # the eight bytes from each place
     size = ends - starts
     code = mix64(size.astype(np.uint64) * np.uint64(_BASE) + np.uint64(0x632BE59BD9B4E019))
-    live, at = np.flatnonzero(size <= LONG), starts
+    live, at = np.flatnonzero(size <= long), starts
     while len(live):
         rest = ends[live] - at[live]
         code[live] = mix64(code[live] ^ (eight[at[live]] & _FIRST[np.minimum(rest, 8)]))
         live = live[rest > 8]
         at = at + 8
-    for i in np.flatnonzero(size > LONG).tolist():
+    for i in np.flatnonzero(size > long).tolist():
         code[i] = int.from_bytes(blake2b(low[starts[i] : ends[i]], digest_size=8).digest(), "little")
     return code
 

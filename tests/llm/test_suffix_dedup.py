@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -77,9 +78,11 @@ def test_suffix_array_and_common_prefixes(length):
     contexts = [bytes(rng.choices(b"ab\x00\xff", k=rng.randrange(length, length * 3))) for _ in range(30)]
     contexts += [contexts[0][:length] + b"x", b"a" * (length * 2)]
     s = sd.Suffixes(contexts, length)
-    cut = lambda p: bytes((s.text[p : p + length] * (np.cumprod(s.text[p : p + length] > 0))).astype(">u2").tobytes())
-    ordered = [cut(p) for p in s.order]
+    rest = lambda p: bytes(s.text[p : s.stop[p]].astype(np.uint8) - 1)
+    ordered = [(rest(p), p) for p in s.order]
     assert ordered == sorted(ordered) and sorted(s.order) == list(range(len(s.order)))
+    naive = [0] + [len(os.path.commonprefix([a, b])) for (a, _), (b, _) in zip(ordered, ordered[1:])]
+    assert s.common_prefixes()[s.order].tolist() == naive
     windows = np.array([len(c) - length + 1 for c in contexts])
     seen = Counter(c[p : p + length] for c in contexts for p in range(len(c) - length + 1))
     for c, flags in zip(contexts, s.repeats(windows)):
@@ -90,6 +93,25 @@ def test_suffix_array_and_common_prefixes(length):
         assert flags.tolist() == [c[p : p + length] in inside for p in range(len(c) - length + 1)]
 
 
+def test_prefixes_like_naive_ones_over_many_seeds():
+    """Equal contexts, contexts inside others, empty ones, runs of one byte, zero bytes."""
+    for seed in range(120):
+        rng = random.Random(seed)
+        contexts = [bytes(rng.choices(b"a\x00\xffb"[: rng.randrange(1, 5)], k=rng.randrange(0, 60))) for _ in range(rng.randrange(1, 12))]
+        contexts += [contexts[0], contexts[-1][3:]]
+        s = sd.Suffixes(contexts, 8)
+        ordered = [(bytes(s.text[p : s.stop[p]].astype(np.uint8) - 1), p) for p in s.order.tolist()]
+        assert ordered == sorted(ordered), seed
+        assert s.common_prefixes()[s.order].tolist() == [0] + [len(os.path.commonprefix([a, b])) for (a, _), (b, _) in zip(ordered, ordered[1:])], seed
+
+
+def test_low_entropy_text_and_tables_dropped(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    rows = [(1, "a" * 3000), (2, "ab" * 700 + "c"), (3, "x" + "ab" * 99 + "y")]
+    assert got_rows(sd.deduplicate(frame(spark, rows))) == brute(rows, 200)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_window_after_a_tie_is_not_taken_for_a_repeat():
     """The neighbours of MNOPQRST's successors differ: NOPQRSTb and NOPQRSTc occur once each."""
     flags = sd.Suffixes([b"xMNOPQRSTc", b"yMNOPQRSTb", b"NAAAAAAb"], 8).repeats(np.array([3, 3, 1]))
