@@ -8,10 +8,15 @@ the innermost article or main element, or else the page. Blocks that structure e
 above a short paragraph says nothing about it. A region where nothing is decided is text.
 
 Stop words are short lists of four languages; where no long block of a page is rich in any of them, the language is unknown and
-length alone decides. If class and id hints leave a page without any text, the page is judged again without them.
+length alone decides.
 
-Defined cases: null or empty html gives an empty text; unclosed tags and comments end with their parent or the page; a
-cut-off character reference stays as it is; repeated rows are extracted each; null ids and urls pass through.
+A class or id excludes by a hint word that is the whole name, its last part (``main-nav``), or its first part with words for a box behind it
+(``comment-list``); ``social-history`` or ``has-sidebar`` do not. Article elements are judged like all others, and inside an excluded
+element they stay excluded: comments and teasers are often articles of their own.
+
+Defined cases: null or empty html, and pages of which structure excludes everything, give an empty text; very long pages are read whole, in time linear in their tags; unclosed tags and comments end with their parent or the page; a
+cut-off character reference stays as it is; repeated rows are extracted each; null ids and urls pass through; an empty table gives no rows. Other
+columns of the table, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -50,11 +55,13 @@ STOP_WORDS = frozenset(
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+>|[^>]*(?:>|\Z))""", re.S)
 #: One attribute with its whole value; a quote left open holds the rest of the tag.
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*))?""")
-_HINT = re.compile(r"[a-z]+")
+#: Parts of a class or id: runs of letters, capitals begin a part.
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Their contents are not text of the page at all.
-_RAW = frozenset("script style title textarea noscript template iframe svg math object select xmp noframes".split())
+_RAW = frozenset("script style title textarea noscript template iframe svg annotation annotation-xml select xmp noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+_INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img
+    math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mfenced mpadded mphantom semantics annotation annotation-xml""".split())
 _OUT_TAGS = frozenset("nav footer aside form menu dialog button head fieldset".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 _OUT_HINTS = frozenset(
@@ -66,6 +73,27 @@ _OUT_HINTS = frozenset(
 )
 #: With these a header is the article's own.
 _OWN_HEADER = frozenset("article post entry content story title".split())
+#: What may follow a hint in a name that still names the thing itself, and what in front of a hint says that something else only has it.
+_OF_A_BOX = frozenset(
+    """
+    area bar block body bottom box button buttons card col column container content form frame group holder icon inner item items label left link links list
+    main menu meta module outer overlay panel region right row section slot text thread title top unit wrap wrapper zone
+    """.split()
+)
+_HAVING = frozenset("has have with no not without".split())
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+
+
+def _hinted(names: str) -> bool:
+    """Whether a class or id names a part that is not of the article: a hint alone, as the last part, or followed by words for a box."""
+    for name in names.split():
+        parts = [x.lower() for x in _PART.findall(name)]
+        if not parts or _HAVING & set(parts[:-1]):
+            continue
+        hint = parts[-1] if parts[-1] in _OUT_HINTS else parts[0] if parts[0] in _OUT_HINTS and all(x in _OF_A_BOX or x in _OUT_HINTS for x in parts[1:]) else None
+        if hint and not (hint == "header" and _OWN_HEADER & set(parts)):
+            return True
+    return False
 
 
 class Block(NamedTuple):
@@ -79,22 +107,21 @@ class Block(NamedTuple):
     stop_share: float
 
 
-def _excluded(name: str, attributes: str, in_region: bool, hints: bool) -> bool:
+def _excluded(name: str, attributes: str, in_region: bool) -> bool:
     """Whether an element is no part of the article, by its tag or attributes."""
     if name in _OUT_TAGS or (name == "header" and not in_region):
         return True
     # of attributes with one name the first counts
     parsed = {key.lower(): value for key, value in reversed(_ATTRIBUTE.findall(attributes))} if attributes.strip("> /") else {}
     for key, value in parsed.items():
-        value = value.strip("\"'").lower()
+        named = value.strip("\"'")
+        value = named.lower()
         if key == "hidden" and value in ("", "hidden", "true") or key == "aria-hidden" and value == "true":
             return True
         if key == "role" and value in _OUT_ROLES or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if hints and key in ("class", "id"):
-            found = set(_HINT.findall(value))
-            if found & _OUT_HINTS and not (found & _OUT_HINTS == {"header"} and found & _OWN_HEADER):
-                return True
+        if key in ("class", "id") and _hinted(html.unescape(named)):
+            return True
     return False
 
 
@@ -103,68 +130,80 @@ def _stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def blocks(page: str, hints: bool = True) -> list[Block]:
-    """The blocks of a page in order, with white space collapsed and references decoded; one pass over the tags."""
+class _Open(NamedTuple):
+    """An open element: its name, whether it is excluded, its region, the place of the innermost block element down to here (-1: none)."""
+
+    name: str
+    out: bool
+    region: int
+    block: int
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page in order, with white space collapsed and references decoded; one pass over the tags, linear in them."""
     found: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, int]] = []  # name, excluded, region
-    regions, links, at = 0, 0, 0
+    stack: list[_Open] = []
+    places: dict[str, list[int]] = {}  # where in the stack the elements of a name are
+    regions, at = 0, 0
+    top = _Open("", False, 0, -1)
+
+    def inside(names) -> bool:
+        return any(places.get(n) for n in names)
 
     def flush() -> None:
         text = " ".join("".join(p for p, _ in parts).split())
         if text:
-            _, out, region = stack[-1] if stack else ("", False, 0)
+            here = stack[-1] if stack else top
             size = sum(len(p.strip()) for p, _ in parts)
             linked = sum(len(p.strip()) for p, in_link in parts if in_link)
-            heading = any(n in ("h1", "h2", "h3", "h4", "h5", "h6") for n, _, _ in stack[-6:])
-            found.append(Block(text, region, out, heading, linked / max(1, size), 0.0 if out else _stop_share(text)))
+            found.append(Block(text, here.region, here.out, inside(_HEADINGS), linked / max(1, size), 0.0 if here.out else _stop_share(text)))
         parts.clear()
 
     def close(down_to: int) -> None:
-        nonlocal links
-        links -= sum(n == "a" for n, _, _ in stack[down_to:])
+        for e in stack[down_to:]:
+            places[e.name].pop()
         del stack[down_to:]
 
     while True:
         tag = _TOKEN.search(page, at)
         raw = page[at : tag.start() if tag else len(page)]
         if raw:
-            parts.append((html.unescape(raw) if "&" in raw else raw, links > 0))
+            parts.append((html.unescape(raw) if "&" in raw else raw, inside("a")))
         if not tag:
             break
         at = tag.end()
         if not tag[2]:
             if tag[0].startswith("<![CDATA["):
-                parts.append((tag[0][9:].removesuffix("]]>"), links > 0))
+                parts.append((tag[0][9:].removesuffix("]]>"), inside("a")))
             continue
         name = tag[2].lower()
         if name == "br":
-            parts.append((" ", links > 0))
+            parts.append((" ", inside("a")))
         if name not in _INLINE and name != "br":
             flush()
         if tag[1]:
-            here = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             # an inline end tag does not close blocks around it
-            if here is not None and not (name in _INLINE and any(n not in _INLINE for n, _, _ in stack[here + 1 :])):
-                close(here)
+            if places.get(name) and not (name in _INLINE and stack[-1].block > places[name][-1]):
+                close(places[name][-1])
         elif name in _RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif name not in _VOID:
-            if name not in _INLINE:  # a block start ends an open paragraph, and an item its earlier sibling
-                i = len(stack) - 1
-                while i >= 0 and stack[i][0] in _INLINE:
-                    i -= 1
-                if i >= 0 and (stack[i][0] == "p" or stack[i][0] == name and name in ("li", "td", "th", "tr", "dt", "dd", "option")):
-                    close(i)
-            _, out, region = stack[-1] if stack else ("", False, 0)
-            if name in ("article", "main") and not (out and any(n in _OUT_TAGS for n, _, _ in stack)):
+            if name not in _INLINE and stack and stack[-1].block >= 0:
+                # a block start ends an open paragraph, and an item its earlier sibling
+                around = stack[stack[-1].block].name
+                if around == "p" or around == name and name in ("li", "td", "th", "tr", "dt", "dd", "option"):
+                    close(stack[-1].block)
+            here = stack[-1] if stack else top
+            out, region = here.out, here.region
+            if name in ("article", "main") and not out:
                 regions += 1
-                out, region = False, regions
-            elif name not in ("html", "body"):
-                out = out or _excluded(name, tag[3], region > 0, hints)
-            stack.append((name, out, region))
-            links += name == "a"
+                region = regions
+            if name not in ("html", "body"):
+                out = out or _excluded(name, tag[3], region > 0)
+            places.setdefault(name, []).append(len(stack))
+            stack.append(_Open(name, out, region, here.block if name in _INLINE else len(stack)))
     flush()
     return found
 
@@ -213,13 +252,9 @@ def inherit(page: list[Block], labels: list[bool | None]) -> list[bool]:
 
 
 def main_text(page: str | None) -> str:
-    """The blocks of the article, one line each."""
-    for hints in (True, False):
-        found = blocks(page or "", hints)
-        text = "\n".join(b.text for b, keep in zip(found, inherit(found, decide(found))) if keep)
-        if text:
-            break
-    return text
+    """The blocks of the article, one line each; empty if structure excludes all."""
+    found = blocks(page or "")
+    return "\n".join(b.text for b, keep in zip(found, inherit(found, decide(found))) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
