@@ -29,23 +29,41 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def _sql_text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_HOST = r"translate(regexp_extract({0}, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = r"regexp_extract({0}, '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
+
+
+def _resolved(link: str, base: str) -> str:
+    host, path = _HOST.format(base), _PATH.format(base)
+    return rf"""CASE WHEN {link} = '' OR starts_with({link}, '#') THEN NULL WHEN regexp_matches({link}, '{url_filter.SCHEME}//') THEN {link}
+    WHEN regexp_matches({link}, '{url_filter.SCHEME}') THEN NULL WHEN starts_with({link}, '//') THEN 'http:' || {link} WHEN {host} = '' THEN NULL
+    WHEN starts_with({link}, '/') THEN 'http://' || {host} || {link}
+    WHEN starts_with({link}, '?') THEN 'http://' || {host} || CASE WHEN {path} = '' THEN '/' ELSE {path} END || {link}
+    ELSE 'http://' || {host} || CASE WHEN {path} = '' THEN '/' ELSE regexp_replace({path}, '[^/]*$', '') END || {link} END"""
+
+
+#: ``.`` and ``..`` of a path carried out.
+_WALK = r"""CASE WHEN regexp_matches(path, '/\.\.?(/|$)') THEN array_to_string(list_reduce(list_transform(string_split(path, '/'), lambda x: [x]),
+    lambda acc, x: CASE WHEN x[1] = '..' THEN CASE WHEN len(acc) > 1 THEN acc[1:len(acc) - 1] ELSE acc END WHEN x[1] = '.' THEN acc ELSE list_concat(acc, x) END), '/')
+    || CASE WHEN regexp_matches(path, '/\.\.?$') THEN '/' ELSE '' END ELSE path END"""
+
 #: The rules, links and components in SQL: aliases spread by recursion over links in both directions.
-OP2_SQL = r"""
-WITH RECURSIVE rules(rule_host, rule_path, rule_verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
-  ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
-found AS (SELECT url, unnest([regexp_extract(html, '(?i)<link\s[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1),
-    regexp_extract(html, '(?i)<link\s[^>]*\bhref\s*=\s*["'']?\s*([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1),
-    regexp_extract(html, '(?i)<meta\s[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?[0-9.\s]*;\s*url\s*=\s*''?\s*([^"''\s>]+)', 1)]) AS link
-  FROM pages WHERE html IS NOT NULL),
-base AS (SELECT url, replace(link, '&amp;', '&') AS link, translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h,
-    regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS p FROM found WHERE link <> ''),
-edge AS (SELECT url, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN 'http:' || link WHEN starts_with(link, '/') THEN 'http://' || h || link
-    ELSE 'http://' || h || CASE WHEN p = '' THEN '/' ELSE regexp_replace(p, '[^/]*$', '') END || link END AS target FROM base WHERE url IS NOT NULL),
+OP2_SQL = rf"""
+WITH RECURSIVE rules(rule_host, rule_path, rule_verdict) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+held AS (SELECT url, regexp_replace(html, {_sql_text(url_filter.UNSEEN)}, ' ', 'g') AS html FROM pages WHERE url IS NOT NULL AND regexp_matches(html, '(?i)canonical|refresh')),
+found AS (SELECT url, replace(regexp_extract(html, {_sql_text(url_filter.BASE)}, 1), '&amp;', '&') AS base_href,
+    replace(unnest(flatten([{", ".join(f"regexp_extract_all(html, {_sql_text(p)}, 1)" for p in url_filter.LINKS)}])), '&amp;', '&') AS link FROM held),
+based AS (SELECT url, link, coalesce({_resolved("base_href", "url")}, url) AS base FROM found),
+edge AS (SELECT * FROM (SELECT url, {_resolved("link", "base")} AS target FROM based) WHERE target IS NOT NULL),
 urls AS (SELECT DISTINCT u AS url, coalesce(translate(regexp_extract(u, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(u, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path, regexp_extract(u, '^[^#]*?(\?[^#]*)', 1) AS query
   FROM (SELECT url AS u FROM pages UNION SELECT url FROM edge UNION SELECT target FROM edge)),
 judged AS (SELECT u.url, any_value(host) AS host, any_value(path) AS path,
-    any_value(CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END) AS node,
+    any_value(CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE {_WALK} END || query END) AS node,
     arg_max(rule_host || rule_path, (length(rule_host || rule_path), length(rule_host))) AS rule,
     arg_max(rule_verdict, (length(rule_host || rule_path), length(rule_host))) AS rule_verdict
   FROM urls u LEFT JOIN rules r ON host <> '' AND ends_with('.' || host, '.' || rule_host) AND starts_with(path, rule_path) GROUP BY u.url),
@@ -183,7 +201,8 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP13_SQL = r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang,
     unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
 total AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
 g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase

@@ -5,9 +5,11 @@ fitting rule decides. Pages without a rule are judged by equivalence: canonical
 redirects between urls are edges of a graph, and a url whose connected component holds a url
 blocked by a rule is blocked too. An explicit allow rule always keeps its own url.
 
+Links in comments and scripts do not count; relative ones are resolved by the standard rules, against ``base`` if there is one.
+
 Defined cases: a null url or one without ``://`` has empty host and path, fits no rule, takes
 part in no edge and is allowed. Null html has no links. Repeated rows are judged alike. Rules of
-equal length prefer the longer host. Extra columns are ignored.
+equal length prefer the longer host. Pages of any length are read whole; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +24,23 @@ from lorebank.llm.graph import components
 
 Rule = tuple[str, str, str]
 
-_QUOTED = r"""\s*=\s*["']?\s*([^"'\s>]+)"""
-CANONICAL = (r"(?i)<link\s[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*\bhref" + _QUOTED, r"(?i)<link\s[^>]*\bhref" + _QUOTED + r"[^>]*\brel\s*=\s*[\"']?canonical\b")
-_EQUIV = r"\bhttp-equiv\s*=\s*[\"']?refresh\b"
-_CONTENT = r"\bcontent\s*=\s*[\"']?[0-9.\s]*;\s*url\s*=\s*'?\s*([^\"'\s>]+)"
-REFRESH = (r"(?i)<meta\s[^>]*" + _EQUIV + "[^>]*" + _CONTENT, r"(?i)<meta\s[^>]*" + _CONTENT + "[^>]*" + _EQUIV)
+#: What a page holds but does not declare: comments, and the contents of scripts and the like.
+UNSEEN = r"(?si)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\b|\z)|<style\b.*?(?:</style\b|\z)|<textarea\b.*?(?:</textarea\b|\z)|<template\b.*?(?:</template\b|\z)"
+_VALUE = r"""\s*=\s*["']?\s*([^"'\s>]+)"""
+_NEXT = r"""[\s"'/]"""
+_REL = _NEXT + r"""rel\s*=\s*(?:["'](?:[^"'<>]*\s)?)?canonical"""
+_EQUIV = _NEXT + r"""http-equiv\s*=\s*["']?refresh"""
+_CONTENT = _NEXT + r"""content\s*=\s*["']?[0-9.\s]*[;,]\s*url\s*=\s*["']?\s*([^"'\s>]+)"""
+_REST, _END = r"""(?:["'\s/][^<>]*)?""", r"""["'\s/>]"""
+#: Links in tags, their attributes in either order. The patterns keep to what SQL engines know as well.
+LINKS = (
+    rf"(?i)<link[^<>]*{_REL}{_REST}{_NEXT}href{_VALUE}",
+    rf"(?i)<link[^<>]*{_NEXT}href{_VALUE}[^<>]*{_REL}{_END}",
+    rf"(?i)<meta[^<>]*{_EQUIV}{_REST}{_CONTENT}",
+    rf"(?i)<meta[^<>]*{_CONTENT}[^<>]*{_EQUIV}{_END}",
+)
+BASE = rf"(?i)<base[^<>]*{_NEXT}href{_VALUE}"
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -38,31 +52,49 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """The path with ``.`` and ``..`` carried out."""
+    parts = F.split(path, "/")
+    up = lambda acc: F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)
+    walked = F.aggregate(
+        parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", up(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    )
+    folder = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.array_join(walked, "/"), folder)).otherwise(path)
+
+
 def url_node(url: Column) -> Column:
-    """What makes two urls the same place: host, path and query, without scheme and fragment."""
+    """What makes two urls the same place: host, path without dots, and query, without scheme and fragment."""
     host, path = split_url(url)
     query = F.regexp_extract(url, r"^[^#]*?(\?[^#]*)", 1)
-    return F.when(host != "", F.concat(host, F.when(path == "", F.lit("/")).otherwise(path), query))
+    return F.when(host != "", F.concat(host, F.when(path == "", F.lit("/")).otherwise(without_dots(path)), query))
 
 
-def _absolute(link: Column, url: Column) -> Column:
-    """A link target resolved against the page's url."""
-    link = F.replace(link, F.lit("&amp;"), F.lit("&"))
-    host, path = split_url(url)
+def resolve(link: Column, base: Column) -> Column:
+    """A link resolved against a base url by the standard rules; null where it leads to no place (empty, fragments alone, ``mailto:`` and the like)."""
+    host, path = split_url(base)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+    at = F.concat(F.lit("http://"), host)
     return (
-        F.when(link == "", F.lit(None))
-        .when(F.instr(link, "://") > 0, link)
+        F.when((link == "") | link.startswith("#"), F.lit(None))
+        .when(link.rlike(SCHEME + "//"), link)
+        .when(link.rlike(SCHEME), F.lit(None))
         .when(link.startswith("//"), F.concat(F.lit("http:"), link))
-        .when(link.startswith("/"), F.concat(F.lit("http://"), host, link))
-        .otherwise(F.concat(F.lit("http://"), host, F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", "")), link))
+        .when(host == "", F.lit(None))
+        .when(link.startswith("/"), F.concat(at, link))
+        .when(link.startswith("?"), F.concat(at, F.when(path == "", F.lit("/")).otherwise(path), link))
+        .otherwise(F.concat(at, folder, link))
     )
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """``url, target`` for all canonical links and redirects that a page declares."""
-    found = F.flatten(F.array(*[F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in (*CANONICAL, *REFRESH)]))
-    links = pages.where(F.col("html").isNotNull()).select("url", F.explode(found).alias("link")).where("link != ''")
-    return links.select("url", _absolute(F.col("link"), F.col("url")).alias("target"))
+    """``url, target`` for all canonical links and redirects that a page declares; a ``base`` element moves relative ones."""
+    held = pages.where(F.col("html").rlike("(?i)canonical|refresh")).select("url", F.regexp_replace("html", UNSEEN, " ").alias("html"))
+    plain = lambda link: F.replace(link, F.lit("&amp;"), F.lit("&"))
+    found = F.flatten(F.array(*[F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in LINKS]))
+    links = held.select("url", plain(F.regexp_extract("html", BASE, 1)).alias("base"), F.explode(found).alias("link")).where("url is not null")
+    links = links.withColumn("base", F.coalesce(resolve(F.col("base"), F.col("url")), "url"))
+    return links.select("url", resolve(plain(F.col("link")), F.col("base")).alias("target")).where("target is not null")
 
 
 def _host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:

@@ -108,12 +108,45 @@ def test_every_link_of_a_page_in_both_orders(spark, head):
     assert [(r.verdict, r.reason) for r in url_filter.judge(df, URL_RULES).collect()] == [("block", "alias")]
 
 
-@pytest.mark.parametrize("head", [f"<meta content='0; url={BAD}' name='x'>", f"<meta content='0; url={BAD}'><meta http-equiv='refresh' content='5'>"])
+@pytest.mark.parametrize("head", [f"<!-- <link rel=canonical href={BAD}> -->", f"<script>var a = '<link rel=canonical href={BAD}>'</script>", f"<link data-rel=canonical href={BAD}>", f"<link rel=canonical-x href={BAD}>", f"<link rel=canonical><a href={BAD}>x</a>", "<link rel=canonical href='mailto:a@b.c'><link rel=canonical href='#x'>", f"<!-- <meta http-equiv=refresh content='0; url={BAD}'>", f"<meta content='0; url={BAD}' name='x'>", f"<meta content='0; url={BAD}'><meta http-equiv='refresh' content='5'>"])
 def test_no_redirect(spark, head):
     df = spark.createDataFrame([(1, "http://a.org/", HTML.format(head))], "page_id long, url string, html string")
     assert url_filter.page_links(df).count() == 0
 
 
+STANDARD = [
+    # page, base element, link, target
+    ("http://a.org/b/c/d?q", None, "g", "a.org/b/c/g"),
+    ("http://a.org/b/c/d?q", None, "./g", "a.org/b/c/g"),
+    ("http://a.org/b/c/d?q", None, "g/", "a.org/b/c/g/"),
+    ("http://a.org/b/c/d?q", None, "/g", "a.org/g"),
+    ("http://a.org/b/c/d?q", None, "//g.org", "g.org/"),
+    ("http://a.org/b/c/d?q", None, "?y", "a.org/b/c/d?y"),
+    ("http://a.org/b/c/d?q", None, "g?y#s", "a.org/b/c/g?y"),
+    ("http://a.org/b/c/d?q", None, "..", "a.org/b/"),
+    ("http://a.org/b/c/d?q", None, "../g", "a.org/b/g"),
+    ("http://a.org/b/c/d?q", None, "../../../g", "a.org/g"),
+    ("http://a.org/b/c/d?q", None, "/./g/../h/.", "a.org/h/"),
+    ("http://a.org/b/c/d?q", None, "/r?u=http://z.org/", "a.org/r?u=http://z.org/"),
+    ("http://a.org", None, "g", "a.org/g"),
+    ("http://a.org", None, "?y", "a.org/?y"),
+    ("http://a.org/b/c", "http://z.org/x/y", "g", "z.org/x/g"),
+    ("http://a.org/b/c", "/k/", "g?a=1&amp;b=2", "a.org/k/g?a=1&b=2"),
+    ("http://a.org/b/c", "../k/", "../g", "a.org/g"),
+]
+
+
+def standard_pages():
+    forms = ["<link rel='canonical' href='{}'>", "<link href={} rel=canonical />", '<link rel="alternate canonical" title=x href="{}">', "<meta http-equiv=refresh content='1; URL={}'>", '<META content="0;url={}" http-equiv="Refresh">']
+    return [(i, url, HTML.format((f"<base target=x href='{base}'>" if base else "") + forms[i % 5].format(link))) for i, (url, base, link, _) in enumerate(STANDARD)]
+
+
+def test_links_are_resolved_by_the_standard_rules(spark):
+    df = spark.createDataFrame(standard_pages(), "page_id long, url string, html string")
+    links = url_filter.page_links(df.repartition(1)).select("url", url_filter.url_node(url_filter.F.col("target")).alias("node"))
+    assert sorted(map(tuple, links.collect())) == sorted((url, node) for url, _, _, node in STANDARD)
+
+
 def test_chain_and_hub(spark):
     chain = [(i, f"http://h{i}.org/", canonical(f"http://h{i + 1}.org/")) for i in range(60)]
     hub = [(1000 + i, f"http://s{i}.org/", canonical("http://hub.net/es/")) for i in range(200)]
@@ -141,6 +174,9 @@ def test_sql_twin_on_aliases(spark):
 
     pages = [(i, f"http://h{i}.org/p?q={i}", canonical(f"http://h{i + 1}.org/p?q={i + 1}#x")) for i in range(6)]
     pages += [(6, "http://h6.org/p?q=6", refresh("//bad.net/fr/")), (7, "http://k.org/a/b", canonical("c")), (8, "http://k.org/a/c", refresh("/es")), (9, None, "x"), (10, "no", canonical("http://bad.net/es/"))]
+    pages += [(100 + i, u.replace("a.org", f"a{i}.org"), h) for i, u, h in standard_pages()]
+    pages += [(200 + i, f"http://{node.replace('a.org', f'a{i}.org')}", canonical("http://bad.net/es/")) for i, (_, _, _, node) in enumerate(STANDARD) if i % 2]
+    pages += [(300, "http://m.org/", f"<!-- {canonical(BAD)} -->"), (301, "http://n.org/", f"<script>{canonical(BAD)}</script>"), (302, "http://o.org/a/../b", canonical("http://bad.net/fr/../fr/1"))]
     frame = pd.DataFrame(pages, columns=["page_id", "url", "html"])
     con = duckdb.connect()
     con.register("pages", frame)
