@@ -55,6 +55,31 @@ def embed_column(texts: Column | str, embedder: Embedder) -> Column:
     return F.pandas_udf(run, "array<float>")(texts)
 
 
+def try_embed_column(texts: Column | str, embedder: Embedder) -> Column:
+    """``struct<vector, failed>``: a batch that the embedder refuses is asked again text by text, so one bad text fails alone."""
+
+    def answers(batch: pd.Series) -> list:
+        reply = embedder(batch)
+        if len(reply) != len(batch):
+            raise ValueError("embedder returned a reply of the wrong length")
+        return list(reply)
+
+    def run(batch: pd.Series) -> pd.DataFrame:
+        try:
+            vectors = answers(batch)
+        except Exception:  # noqa: BLE001  whatever a model raises is a failed attempt
+            vectors = []
+            for i in range(len(batch)):
+                try:
+                    vectors += answers(batch.iloc[i : i + 1])
+                except Exception:  # noqa: BLE001
+                    vectors.append(None)
+        return pd.DataFrame({"vector": pd.Series(vectors, dtype=object), "failed": [v is None for v in vectors]})
+
+    run.__annotations__ = {"batch": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(run, "vector array<float>, failed boolean")(texts)
+
+
 def vector_is_usable(vector: Column | str, dim: int) -> Column:
     """Exact width and only finite numbers; null counts as unusable."""
     v = F.col(vector) if isinstance(vector, str) else vector

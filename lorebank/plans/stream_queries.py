@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebank import constants as K
+from lorebank.functions.embed import hash_embedder
 from lorebank.plans import model as M
 from lorebank.plans import sqlparts as Q
 from lorebank.session import shared_dir
@@ -129,6 +131,38 @@ def stream_reindex_q(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _reader(texts: pd.Series) -> pd.Series:
+    """An embedder that refuses texts marked as unreadable."""
+    if texts.str.startswith("unreadable ").any():
+        raise ValueError("unreadable")
+    return hash_embedder(16)(texts)
+
+
+def stream_failures_q(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of which every ninth cannot be embedded: the rest of each batch goes on, failures are tried again until they are given up.
+
+    Every eighteenth gets a readable version in the third batch, ahead of its third attempt. Attempts follow without a delay, one a batch.
+    """
+    root = shared_dir(spark, "stream-failures")
+    base, n = note_versions(M.spread(M.read(spark, d, "documents"))), F.col("note_id").cast("long")
+    first = base.withColumn("content", F.when(n % 9 == 0, F.concat(F.lit("unreadable "), "content")).otherwise(F.col("content")))
+    second = base.where(n % 18 == 0).withColumn("version", F.lit(2).cast("long"))
+    beat = spark.createDataFrame([(None,) * len(base.columns)], base.schema)
+    for step, rows in enumerate((first, beat, second.unionByName(beat), beat, beat)):
+        rows.write.parquet(f"{root}/in/{step}")
+        source = spark.readStream.schema(base.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        SI.start_index_stream(source, f"{root}/index", f"{root}/checkpoint", _reader, delays=(0, 0, 0)).awaitTermination()
+    ledger = SI.read_ledger(spark, f"{root}/index").select("user_id", "note_id", "version", "status", F.col("attempts").cast("long").alias("attempts"), "last_error")
+    chunks = SI.read_chunks(spark, f"{root}/index").groupBy("user_id", "note_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if(F.size("embedding") == 16).alias("n_vectors"))
+    return ledger.join(chunks, ["user_id", "note_id"], "left").na.fill(0, ["n_chunks", "n_vectors"])
+
+
+STREAM_FAILURES_SQL = Q.with_(Q.WINDOWS) + f""", c AS (SELECT note_id, count(*) AS n FROM windows GROUP BY note_id),
+s AS (SELECT source AS user_id, CAST(doc_id AS VARCHAR) AS note_id, doc_id % 18 = 0 AS twice, doc_id % 9 = 0 AND doc_id % 18 <> 0 AS lost FROM documents)
+SELECT user_id, note_id, CASE WHEN twice THEN 2 ELSE 1 END AS version, CASE WHEN lost THEN 'failed' ELSE 'ready' END AS status, CASE WHEN lost THEN 4 ELSE 0 END AS attempts,
+  CASE WHEN lost THEN {Q.lit(K.INDEX_ERROR)} END AS last_error, CASE WHEN lost THEN 0 ELSE coalesce(n, 0) END AS n_chunks, CASE WHEN lost THEN 0 ELSE coalesce(n, 0) END AS n_vectors
+FROM s LEFT JOIN c USING (note_id)"""
+
 #: What the events of the log stand for in the life of a user's note; content changes every ten days.
 _JOB_EVENTS = {"signup": "queued", "view": "ok", "error": "failed", "click": "failed", "purchase": "retry"}
 
@@ -206,6 +240,7 @@ QUERIES = {
     "edit_coalesce": (edit_coalesce_q, EDIT_SQL),
     "stream_index": (stream_index_q, STREAM_INDEX_SQL),
     "stream_reindex": (stream_reindex_q, STREAM_REINDEX_SQL),
+    "stream_failures": (stream_failures_q, STREAM_FAILURES_SQL),
     "stream_retry": (stream_retry_q, STREAM_RETRY_SQL),
     "index_freshness": (index_freshness_q, FRESHNESS_SQL),
     "job_metrics": (job_metrics_q, METRICS_SQL),

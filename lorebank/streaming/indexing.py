@@ -10,6 +10,10 @@ chunks of a note at once by writing its ledger rows last. A batch costs what its
 chunks are left to :func:`compact`. A retried batch overwrites its own two directories, which makes the
 result exactly-once. The checkpoint keeps the backlog across restarts.
 
+A text that the embedder refuses does not stop its batch. All rows of a batch are computed and written in one pass; the notes that have a failed
+row end ``pending`` with the time of their next attempt, or ``failed`` on the last, and their versions go to ``retry/batch=N``. Whatever
+of these is due rides along with a later batch, unless a newer version has come. A row without a note id is a heartbeat: it makes a batch and nothing else.
+
 Directory numbers never repeat. A checkpoint's micro-batches count from a base that is recorded under ``runs/`` and lies above
 every stored number, so a fresh checkpoint, or an old one continued on a compacted copy, appends and overwrites nothing.
 """
@@ -17,22 +21,28 @@ every stored number, so a fresh checkpoint, or an old one continued on a compact
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lorebank.functions.embed import Embedder
+from lorebank import constants as K
+from lorebank.functions.embed import Embedder, try_embed_column
 from lorebank.functions.text import content_hash
 from lorebank.operators.index import NOTE_KEY, index_rows
 
-LEDGER_ROW = "user_id string, note_id string, content_hash string, version long, status string, deleted boolean, updated_at timestamp, indexed_at timestamp, batch long"
+LEDGER_ROW = (
+    "user_id string, note_id string, content_hash string, version long, status string, deleted boolean, updated_at timestamp, "
+    "indexed_at timestamp, attempts int, available_at timestamp, last_error string, batch long"
+)
 
 
 def newest_versions(versions: DataFrame) -> DataFrame:
-    """The newest version of each note; reduces before the shuffle, so a note edited very often is cheap."""
-    return versions.groupBy(*NOTE_KEY).agg(F.max_by(F.struct(*[c for c in versions.columns if c not in NOTE_KEY]), "version").alias("v")).select(
+    """The newest version of each note, of equal ones that of the larger content hash; reduces before the shuffle, so a note edited very often is cheap."""
+    order = F.struct("version", content_hash(F.coalesce("content", F.lit(""))), "deleted")
+    return versions.groupBy(*NOTE_KEY).agg(F.max_by(F.struct(*[c for c in versions.columns if c not in NOTE_KEY]), order).alias("v")).select(
         *NOTE_KEY, "v.*"
     )
 
@@ -50,10 +60,10 @@ def read_ledger(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, root: str) -> DataFrame:
-    """Current chunks: of live notes, from the batch their newest ledger row names."""
-    ledger = read_ledger(spark, root).where(~F.col("deleted")).select(*NOTE_KEY, "batch")
+    """Current chunks: of live notes that are ready, from the batch their newest ledger row names."""
+    ledger = read_ledger(spark, root).where(~F.col("deleted") & (F.col("status") == "ready")).select(*NOTE_KEY, "batch")
     chunks = spark.read.option("basePath", f"{root}/chunks").parquet(f"{root}/chunks").withColumn("batch", F.col("batch").cast("long"))
-    return chunks.join(ledger, [*NOTE_KEY, "batch"]).drop("batch")
+    return chunks.join(ledger, [*NOTE_KEY, "batch"]).drop("batch", "failed")
 
 
 def work_of(batch: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -68,21 +78,49 @@ def work_of(batch: DataFrame, ledger: DataFrame) -> DataFrame:
     return fresh.join(seen, NOTE_KEY, "left").where(newer & changed).drop("seen_version", "seen_hash", "was_deleted")
 
 
-def process_batch(batch: DataFrame, batch_id: int, root: str, embedder: Embedder | None = None) -> None:
-    """Index one micro-batch; safe to repeat."""
-    spark = batch.sparkSession
-    # Kept for the two writes only; a lost executor's part is recomputed from the source.
-    work = work_of(batch, read_ledger(spark, root).where(F.col("batch") < batch_id)).persist(StorageLevel.MEMORY_AND_DISK)
+def due_versions(spark: SparkSession, root: str, ledger: DataFrame, now: Column) -> DataFrame | None:
+    """Versions that failed and may be tried again, with the attempts that they had; None while nothing ever failed."""
+    if not _exists(spark, f"{root}/retry"):
+        return None
+    waiting = ledger.where((F.col("status") == "pending") & (F.col("available_at") <= now)).select(*NOTE_KEY, "batch", "attempts")
+    kept = spark.read.option("basePath", f"{root}/retry").parquet(f"{root}/retry").withColumn("batch", F.col("batch").cast("long"))
+    return kept.join(waiting, [*NOTE_KEY, "batch"]).drop("batch")
+
+
+def process_batch(
+    batch: DataFrame, batch_id: int, root: str, embedder: Embedder | None = None, delays: Sequence[int] = K.RETRY_DELAYS_S, now: Column | None = None
+) -> None:
+    """Index one micro-batch and what is due of earlier failures; safe to repeat."""
+    spark, now = batch.sparkSession, F.current_timestamp() if now is None else now
+    ledger = read_ledger(spark, root).where(F.col("batch") < batch_id)
+    fresh = work_of(batch.where(F.col("note_id").isNotNull()), ledger).withColumn("attempts", F.lit(0))
+    due = due_versions(spark, root, ledger, now)
+    if due is not None:
+        fresh = fresh.unionByName(due.select(*fresh.columns).join(fresh.select(*NOTE_KEY), NOTE_KEY, "left_anti"))
+    # Kept for the writes only; a lost executor's part is recomputed from the source.
+    work = fresh.persist(StorageLevel.MEMORY_AND_DISK)
+    chunks = f"{root}/chunks/batch={batch_id}"
     try:
         live = work.where(~F.col("deleted"))
-        index_rows(live.select(*NOTE_KEY, "content"), embedder).write.mode("overwrite").parquet(f"{root}/chunks/batch={batch_id}")
-        (
-            work.select(
-                *NOTE_KEY, "content_hash", "version", F.lit("ready").alias("status"), "deleted", "updated_at", F.current_timestamp().alias("indexed_at")
-            )
-            .write.mode("overwrite")
-            .parquet(f"{root}/ledger/batch={batch_id}")
-        )
+        rows = index_rows(live.select(*NOTE_KEY, "content"))
+        if embedder is not None:
+            rows = rows.withColumn("tried", try_embed_column("content", embedder)).withColumns({"embedding": F.col("tried.vector"), "failed": F.col("tried.failed")}).drop("tried")
+        else:
+            rows = rows.withColumn("failed", F.lit(False))
+        rows.write.mode("overwrite").parquet(chunks)
+        bad = spark.read.schema(rows.schema).parquet(chunks).where("failed").select(*NOTE_KEY).distinct().withColumn("bad", F.lit(True))
+        judged = work.join(bad, NOTE_KEY, "left").withColumn("attempts", F.when(F.col("bad"), F.col("attempts") + 1).otherwise(0))
+        again = F.col("bad") & (F.col("attempts") <= len(delays))
+        wait = F.get(F.array(*[F.lit(s) for s in delays]), F.col("attempts") - 1).cast("long") * 1_000_000
+        judged.where(again).select(*[c for c in fresh.columns if c != "attempts"]).write.mode("overwrite").parquet(f"{root}/retry/batch={batch_id}")
+        judged.select(
+            *NOTE_KEY, "content_hash", "version",
+            F.when(again, "pending").when(F.col("bad"), "failed").otherwise("ready").alias("status"),
+            "deleted", "updated_at", F.when(F.col("bad").isNull(), now).alias("indexed_at"),
+            "attempts",
+            F.when(again, F.timestamp_micros(F.unix_micros(now) + wait)).alias("available_at"),
+            F.when(F.col("bad"), K.INDEX_ERROR).alias("last_error"),
+        ).write.mode("overwrite").parquet(f"{root}/ledger/batch={batch_id}")
     finally:
         work.unpersist()
 
@@ -104,7 +142,12 @@ def batch_base(spark: SparkSession, root: str, checkpoint: str) -> int:
 
 
 def start_index_stream(
-    versions: DataFrame, root: str, checkpoint: str, embedder: Embedder | None = None, every: str | None = None
+    versions: DataFrame,
+    root: str,
+    checkpoint: str,
+    embedder: Embedder | None = None,
+    every: str | None = None,
+    delays: Sequence[int] = K.RETRY_DELAYS_S,
 ) -> StreamingQuery:
     """Keep the index current. ``versions``: user_id, note_id, version, content, deleted, updated_at.
 
@@ -113,7 +156,7 @@ def start_index_stream(
     """
     base = batch_base(versions.sparkSession, root, checkpoint)
     writer = versions.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda df, n: process_batch(df, base + n, root, embedder)
+        lambda df, n: process_batch(df, base + n, root, embedder, delays)
     )
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
@@ -127,7 +170,11 @@ def compact(spark: SparkSession, root: str, target: str) -> None:
         raise ValueError(f"{target} already holds an index")
     chunks, ledger = read_chunks(spark, root), read_ledger(spark, root)
     newest = ledger.agg(F.max("batch")).first()[0] or 0
-    chunks.write.mode("error").parquet(f"{target}/chunks/batch={newest}")
+    chunks.withColumn("failed", F.lit(False)).write.mode("error").parquet(f"{target}/chunks/batch={newest}")
+    if _exists(spark, f"{root}/retry"):
+        waiting = ledger.where(F.col("status") == "pending").select(*NOTE_KEY, "batch")
+        kept = spark.read.option("basePath", f"{root}/retry").parquet(f"{root}/retry").withColumn("batch", F.col("batch").cast("long"))
+        kept.join(waiting, [*NOTE_KEY, "batch"]).drop("batch").write.mode("error").parquet(f"{target}/retry/batch={newest}")
     ledger.drop("batch").write.mode("error").parquet(f"{target}/ledger/batch={newest}")
 
 

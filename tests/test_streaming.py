@@ -144,6 +144,36 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     assert SI.read_chunks(spark, root).count() == 1 and SI.read_ledger(spark, root).first().batch == 0
 
 
+def test_a_text_that_cannot_be_embedded_fails_alone(spark, tmp_path):
+    root = str(tmp_path)
+
+    def embedder(texts):
+        if texts.str.contains("bad").any():
+            raise ValueError("no")
+        return hash_embedder(8)(texts)
+
+    def step(n, second, *rows):
+        rows = rows or [(None,) * 6]
+        SI.process_batch(spark.createDataFrame(rows, VERSION), n, root, embedder, now=F.lit(T0 + timedelta(seconds=second)))
+        ledger = {r.note_id: (r.status, r.attempts, r.available_at and (r.available_at - T0).total_seconds(), r.last_error) for r in SI.read_ledger(spark, root).collect()}
+        assert {r.note_id for r in SI.read_chunks(spark, root).collect()} == {n for n, r in ledger.items() if r[0] == "ready"}
+        return ledger
+
+    assert step(0, 0, version("a", 1, "good"), version("b", 1, "bad"), version("c", 1, "bad too"), version("d", 1, "fine")) == {
+        "a": ("ready", 0, None, None), "d": ("ready", 0, None, None), "b": ("pending", 1, 5, "Indexing failed."), "c": ("pending", 1, 5, "Indexing failed.")
+    }
+    assert step(1, 3)["b"][1] == 1  # not due yet
+    assert step(2, 5, version("c", 2, "readable"))["b"] == ("pending", 2, 35, "Indexing failed.")
+    ledger = step(3, 40)
+    assert ledger["b"] == ("pending", 3, 340, "Indexing failed.") and ledger["c"] == ("ready", 0, None, None)
+    target = f"{root}/compact"
+    SI.compact(spark, root, target)
+    assert {r.note_id for r in SI.read_chunks(spark, target).collect()} == {"a", "c", "d"}
+    root = target
+    assert step(4, 400)["b"] == ("failed", 4, None, "Indexing failed.")
+    assert step(5, 9000)["b"][1] == 4 and step(6, 9000, version("b", 3, "good at last"))["b"] == ("ready", 0, None, None)
+
+
 EDIT = "user_id string, note_id string, ts timestamp, seq long, title string, topic string"
 
 
