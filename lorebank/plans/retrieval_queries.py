@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebank import constants as K
@@ -11,6 +11,7 @@ from lorebank.functions.tokens import search_terms
 from lorebank.operators import answers as A
 from lorebank.operators import chunking as C
 from lorebank.operators import index as I
+from lorebank.operators import replies as P
 from lorebank.operators import retrieval as R
 from lorebank.plans import model as M
 from lorebank.plans import sqlparts as Q
@@ -391,19 +392,92 @@ PROMPT_SQL = Q.with_(Q.NOTES, Q.HYBRID) + _CTX_TEXT + f"""SELECT user_id, questi
 FROM lines GROUP BY ALL"""
 
 
-def candidate_counts_q(spark: SparkSession, d: str) -> DataFrame:
+#: One user's index is taken as not built yet: their questions are answered in basic mode.
+_UNINDEXED = "src3"
+
+
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Mode and candidate counts of every question."""
     q, chunks = _hybrid(spark, d)
-    dense, keyword = R.dense_topk(q, chunks, DIM), R.keyword_topk(q, chunks)
-    fused = R.fuse(dense, keyword).withColumn("note_id", R.note_of_chunk("chunk_id"))
-    moded = R.retrieval_mode(q, DIM).select("user_id", "question_id", "retrieval_mode")
-    return R.candidate_counts(q, dense, keyword, R.select_context(fused)).join(moded, ["user_id", "question_id"])
+    users = chunks.where(F.col("user_id") != _UNINDEXED).select("user_id")
+    moded = R.retrieval_mode(q, DIM, users).select("user_id", "question_id", "search_terms", "embedding", "retrieval_mode")
+    rag, basic = moded.where("retrieval_mode <> 'basic'"), moded.where("retrieval_mode = 'basic'")
+    counts = R.candidate_counts(rag, R.mark_context(R.hybrid(rag, chunks, DIM)))
+    return counts.unionByName(R.basic_counts(basic, M.notes(spark, d))).drop("search_terms", "embedding")
 
 
-COUNTS_SQL = Q.with_(Q.HYBRID) + f"""SELECT q.user_id, q.question_id,
-  (SELECT count(*) FROM dense x WHERE x.question_id = q.question_id) AS dense_count,
-  (SELECT count(*) FROM keyword x WHERE x.question_id = q.question_id) AS keyword_count,
-  (SELECT count(*) FROM context x WHERE x.question_id = q.question_id) AS context_count,
-  CASE WHEN len({Q.terms('query')}) > 0 THEN 'hybrid' ELSE 'dense' END AS retrieval_mode FROM questions q"""
+def candidate_counts_q(spark: SparkSession, d: str) -> DataFrame:
+    return _metrics(spark, d).select("user_id", "question_id", "dense_count", "keyword_count", "context_count", "retrieval_mode")
+
+
+_COUNTS = f"""counts AS (SELECT q.user_id, q.question_id,
+  CASE WHEN basic THEN 0 ELSE (SELECT count(*) FROM dense x WHERE x.question_id = q.question_id) END AS dense_count,
+  CASE WHEN basic THEN (SELECT count(*) FROM documents n WHERE n.source = q.user_id) ELSE (SELECT count(*) FROM keyword x WHERE x.question_id = q.question_id) END AS keyword_count,
+  CASE WHEN basic THEN (SELECT count(*) FROM documents n WHERE n.source = q.user_id) ELSE (SELECT count(*) FROM context x WHERE x.question_id = q.question_id) END AS context_count,
+  CASE WHEN basic THEN 'basic' WHEN len({Q.terms('query')}) > 0 THEN 'hybrid' ELSE 'dense' END AS retrieval_mode
+  FROM (SELECT *, user_id = '{_UNINDEXED}' OR user_id NOT IN (SELECT user_id FROM searchable) AS basic FROM questions) q)"""
+COUNTS_SQL = Q.with_(Q.HYBRID, _COUNTS) + "SELECT user_id, question_id, dense_count, keyword_count, context_count, retrieval_mode FROM counts"
+
+
+def answer_metrics_q(spark: SparkSession, d: str) -> DataFrame:
+    """The metric events of retrieval and answering, summed by their fixed categories. Replies that are no JSON fall back."""
+    counts = _metrics(spark, d)
+    bad = P.parse_replies(_replies(spark, d)).select("user_id", "question_id", "bad")
+    return P.answer_metrics(counts, bad)
+
+
+ANSWER_METRICS_SQL = Q.with_(Q.HYBRID, _COUNTS) + """, a AS (SELECT *, CASE WHEN context_count = 0 THEN 'fallback' WHEN retrieval_mode = 'basic' THEN 'model'
+    WHEN CAST(split_part(question_id, ':', 1) AS BIGINT) % 5 = 2 THEN 'fallback' ELSE 'model' END AS outcome,
+    CASE WHEN context_count > 0 AND retrieval_mode <> 'basic' AND CAST(split_part(question_id, ':', 1) AS BIGINT) % 5 = 2 THEN 'answer_generation_failed' END AS why FROM counts)
+SELECT 'knowledge_retrieval' AS event, 'success' AS outcome, retrieval_mode, CAST(NULL AS VARCHAR) AS failure_category, count(*) AS n, CAST(sum(dense_count) AS BIGINT) AS dense_candidates,
+  CAST(sum(keyword_count) AS BIGINT) AS keyword_candidates, CAST(sum(context_count) AS BIGINT) AS context FROM counts GROUP BY retrieval_mode
+UNION ALL SELECT 'answer_generation', outcome, retrieval_mode, why, count(*), NULL, NULL, CAST(sum(context_count) AS BIGINT) FROM a GROUP BY ALL"""
+
+
+def _replies(spark: SparkSession, d: str) -> DataFrame:
+    """A reply text for every user turn: plain JSON, JSON inside prose, cut off JSON, fields of odd types, or none of the fields."""
+    turns, n = M.turns(spark, d), F.col("conv_id") % 5
+    said = turns.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("said"))
+    cites = F.array(*[
+        F.struct(F.concat(_cited_note(), F.lit(c)).alias("chunkId"), _cited_note().alias("noteId"), F.lit(quote).alias("quote"))
+        for c, quote in (("#000000", "a"), ("#000000", "a"), ("#000000", " "), ("#000009", "a"), ("#000000", "e"))
+    ])
+    fields = F.to_json(F.struct(F.coalesce("said", F.lit("")).alias("knowledgeAnswer"), F.lit("more").alias("generalSupplement"), (F.col("turn") > 6).alias("insufficient"), cites.alias("citations")))
+    odd = F.concat(F.lit('{"knowledgeAnswer": '), F.col("turn").cast("string"), F.lit(', "generalSupplement": ["no"], "insufficient": "yes", "citations": {"chunkId": 1}}'))
+    text = (
+        F.when(n == 0, fields).when(n == 1, F.concat(F.lit("Here it is:\n```json\n"), fields, F.lit("\n```"))).when(n == 2, F.concat(F.lit("{"), fields)).when(n == 3, odd).otherwise("[1, 2]")
+    )
+    asked = turns.where(F.col("role") == "user").join(said, ["conv_id", "turn"], "left")
+    return asked.select("user_id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"), text.alias("reply"))
+
+
+def _cited_note() -> Column:
+    return (F.col("conv_id") % M.USERS + M.USERS * F.col("turn")).cast("string")
+
+
+def model_replies_q(spark: SparkSession, d: str) -> DataFrame:
+    """Replies parsed, their citations held against chunks of one note per question, and judged; ``bad`` ones are no JSON."""
+    parsed = P.parse_replies(_replies(spark, d)).withColumns({"conv_id": F.split_part("question_id", F.lit(":"), F.lit(1)).cast("long"), "turn": F.split_part("question_id", F.lit(":"), F.lit(2)).cast("long")})
+    shown = parsed.select("user_id", "question_id", _cited_note().alias("note_id")).join(
+        M.index_chunks(spark, d).select("user_id", "note_id", "chunk_id", "content"), ["user_id", "note_id"]
+    )
+    context = shown.join(M.notes(spark, d).select("user_id", "note_id", "title", "source"), ["user_id", "note_id"])
+    cited = A.check_chunk_citations(P.proposed_citations(parsed), context)
+    judged = A.judge_model_outputs(parsed.drop("citations", "conv_id", "turn"), cited)
+    return judged.select("user_id", "question_id", "bad", "knowledge_answer", "general_supplement", "insufficient", long("n_citations"), F.array_join("source_ids", ",").alias("source_ids"))
+
+
+MODEL_REPLIES_SQL = Q.with_(Q.INDEX) + f""", t AS (SELECT *, 'src' || CAST(conv_id % 20 AS VARCHAR) AS user_id, CAST(conv_id % 20 + 20 * turn AS VARCHAR) AS note_id FROM conversations),
+r AS (SELECT t.user_id, CAST(t.conv_id AS VARCHAR) || ':' || CAST(t.turn AS VARCHAR) AS question_id, t.conv_id % 5 AS kind, t.turn, t.note_id,
+    {Q.trim("coalesce(s.text, '')")} AS said FROM t LEFT JOIN t s ON s.conv_id = t.conv_id AND s.turn = t.turn + 1 AND s.role = 'assistant' WHERE t.role = 'user'),
+c AS (SELECT r.*, CASE WHEN kind > 1 OR w.content IS NULL THEN 0 ELSE CAST(contains(w.content, 'a') AS INTEGER) + CAST(contains(w.content, 'e') AS INTEGER) END
+    + CASE WHEN kind > 1 OR w9.content IS NULL THEN 0 ELSE CAST(contains(w9.content, 'a') AS INTEGER) END AS n
+  FROM r LEFT JOIN index_chunks w ON w.user_id = r.user_id AND w.note_id = r.note_id AND w.chunk_id = r.note_id || '#000000'
+  LEFT JOIN index_chunks w9 ON w9.user_id = r.user_id AND w9.note_id = r.note_id AND w9.chunk_id = r.note_id || '#000009'),
+o AS (SELECT *, CASE WHEN kind < 2 THEN said WHEN kind = 3 AND turn <> 0 THEN CAST(turn AS VARCHAR) ELSE '' END AS a, (kind < 2 AND turn > 6) OR kind = 3 AS flagged FROM c)
+SELECT user_id, question_id, kind = 2 AS bad, coalesce(nullif(a, ''), {Q.lit(K.NO_MODEL_ANSWER)}) AS knowledge_answer,
+  CASE WHEN kind < 2 AND (flagged OR n = 0 OR a = '') THEN 'more' ELSE '' END AS general_supplement, flagged OR n = 0 OR a = '' AS insufficient, CAST(n AS BIGINT) AS n_citations,
+  CASE WHEN n > 0 THEN note_id ELSE '' END AS source_ids FROM o"""
 
 
 def history_query_q(spark: SparkSession, d: str) -> DataFrame:
@@ -485,41 +559,6 @@ SELECT o.user_id, o.question_id, coalesce(nullif(o.a, ''), {Q.lit(K.NO_MODEL_ANS
 FROM outs o LEFT JOIN cites c USING (user_id, question_id)"""
 
 
-def retrieval_quality_q(spark: SparkSession, d: str) -> DataFrame:
-    """Every searchable chunk asks with its own first 160 characters and expects itself among the citations."""
-    chunks = M.searchable_chunks(spark, d)
-    asked = chunks.select(
-        "user_id", F.col("chunk_id").alias("question_id"), search_terms(F.left("content", F.lit(160))).alias("search_terms"),
-        F.col("note_id").alias("expected_note"), F.col("ordinal").alias("expected_ordinal"), trim_ws(F.left("content", F.lit(100))).alias("expected_quote"),
-    )
-    ranked = R.keyword_topk(asked.select("user_id", "question_id", "search_terms"), chunks).withColumn("note_id", R.note_of_chunk("chunk_id"))
-    context = R.select_context(ranked)
-    # the owner comes from the note itself, by note id alone: a chunk that reached a foreign user would count as a leak
-    owners = M.notes(spark, d).select("note_id", F.col("user_id").alias("note_owner"))
-    text = chunks.select("chunk_id", "ordinal", "content")
-    cited = context.join(text, "chunk_id").join(owners, "note_id").withColumn("quote", F.left(trim_ws("content"), F.lit(K.QUOTE_LIMIT)))
-    out = A.retrieval_quality(asked, cited)
-    return out.select("questions", "hits", F.round("hit_rate", 6).alias("hit_rate"), F.round("verbatim_rate", 6).alias("verbatim_rate"), "leaks")
-
-
-QUALITY_SQL = Q.with_(Q.SEARCHABLE) + f""", asked AS (SELECT user_id, chunk_id AS question_id, note_id AS en, ordinal AS eo,
-    {Q.trim('left(content, 100)')} AS eq, {Q.terms('left(content, 160)')} AS ts FROM searchable),
-hits AS (SELECT a.user_id, a.question_id, c.chunk_id, c.note_id, count(*) AS score
-  FROM (SELECT user_id, question_id, unnest(ts) AS term FROM asked) a
-  JOIN (SELECT user_id, chunk_id, note_id, unnest(search_terms) AS term FROM searchable) c USING (user_id, term) GROUP BY ALL),
-fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, question_id ORDER BY score DESC, chunk_id) AS rank FROM hits)
-  WHERE rank <= 30),
-{Q.CONTEXT},
-per AS (SELECT x.user_id, x.question_id, bool_or(x.position <= 5 AND x.note_id = a.en AND w.ordinal = a.eo
-    AND contains(left({Q.trim('w.content')}, 500), a.eq)) AS hit,
-    count(*) FILTER (WHERE contains(w.content, left({Q.trim('w.content')}, 500))) AS v, count(*) AS n,
-    count(*) FILTER (WHERE d.source <> x.user_id) AS foreign_notes
-  FROM context x JOIN asked a USING (user_id, question_id) JOIN searchable w USING (chunk_id) JOIN documents d ON CAST(d.doc_id AS VARCHAR) = x.note_id GROUP BY ALL)
-SELECT count(*) AS questions, count(*) FILTER (WHERE p.hit) AS hits, round(count(*) FILTER (WHERE p.hit) / count(*), 6) AS hit_rate,
-  round(sum(p.v) / sum(p.n), 6) AS verbatim_rate, CAST(coalesce(sum(p.foreign_notes), 0) AS BIGINT) AS leaks
-FROM asked a LEFT JOIN per p USING (user_id, question_id)"""
-
-
 def whole_text_quality(chunks: DataFrame, stored: DataFrame, notes: DataFrame, dim: int = DIM) -> DataFrame:
     """Every chunk asks with its whole text, through both channels, and expects itself and its whole quote among the citations.
 
@@ -581,9 +620,10 @@ QUERIES = {
     "fallback_answer": (fallback_answer_q, FALLBACK_SQL),
     "prompt_context": (prompt_context_q, PROMPT_SQL),
     "candidate_counts": (candidate_counts_q, COUNTS_SQL),
+    "answer_metrics": (answer_metrics_q, ANSWER_METRICS_SQL),
+    "model_replies": (model_replies_q, MODEL_REPLIES_SQL),
     "history_query": (history_query_q, HISTORY_SQL),
     "citation_verify": (citation_verify_q, CITATION_SQL),
     "model_judgement": (model_judgement_q, JUDGE_SQL),
-    "retrieval_quality": (retrieval_quality_q, QUALITY_SQL),
     "retrieval_quality_whole": (retrieval_quality_whole_q, QUALITY_WHOLE_SQL),
 }
