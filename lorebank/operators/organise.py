@@ -13,6 +13,9 @@ from lorebank.operators.answers import listed_note, listing_key, note_citation,
 from lorebank.operators.overlap import overlap_topk
 
 
+_RELATED = "array<struct<id:string,reason:string>>"
+
+
 def _mentions(text: Column, words: tuple[str, ...]) -> Column:
     hit = F.lit(False)
     for word in words:
@@ -71,19 +74,21 @@ def organise(notes: DataFrame) -> DataFrame:
         rule_topic(text).alias("topic"),
         F.coalesce(
             F.transform("related", lambda r: F.struct(r["id"].alias("id"), r["reason"].alias("reason"))),
-            F.array().cast("array<struct<id:string,reason:string>>"),
+            F.array().cast(_RELATED),
         ).alias("related_notes"),
         F.lit(K.FALLBACK_REASONING).alias("reasoning"),
     )
 
 
 def clean_analyses(analyses: DataFrame, notes: DataFrame) -> DataFrame:
-    """Model analyses (title_suggestion, summary, tags, topic, related_ids, reasoning) made trustworthy.
+    """Model analyses (title_suggestion, summary, tags, topic, related_notes, reasoning) made trustworthy.
 
-    Defaults are filled, six tags are kept, and related ids must be notes of the same user (first five).
+    Defaults are filled, six tags are kept, and related notes (id and reason) must be notes of the same user (first five).
     """
     lib = notes.select("user_id", "note_id", F.col("title").alias("note_title"), F.col("summary").alias("note_summary"), "content")
-    proposed = analyses.select("user_id", "note_id", F.posexplode("related_ids").alias("pos", "related_id"))
+    proposed = analyses.select("user_id", "note_id", F.posexplode("related_notes").alias("pos", "r")).select(
+        "user_id", "note_id", "pos", F.col("r.id").alias("related_id"), F.col("r.reason").alias("reason")
+    )
     existing = proposed.join(
         notes.select("user_id", F.col("note_id").alias("related_id")), ["user_id", "related_id"], "left_semi"
     )
@@ -92,7 +97,7 @@ def clean_analyses(analyses: DataFrame, notes: DataFrame) -> DataFrame:
         existing.withColumn("rank", F.row_number().over(first))
         .where(F.col("rank") <= K.ANALYSIS_RELATED)
         .groupBy("user_id", "note_id")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "related_id"))).alias("related"))
+        .agg(F.array_sort(F.collect_list(F.struct("rank", F.col("related_id").alias("id"), "reason"))).alias("related"))
     )
     return (
         analyses.join(lib, ["user_id", "note_id"])
@@ -104,7 +109,7 @@ def clean_analyses(analyses: DataFrame, notes: DataFrame) -> DataFrame:
             or_default("summary", or_default("note_summary", K.MISSING_SUMMARY)).alias("summary"),
             F.slice(F.coalesce("tags", F.array().cast("array<string>")), 1, K.ANALYSIS_TAGS).alias("tags"),
             or_default("topic", K.DEFAULT_TOPIC).alias("topic"),
-            F.coalesce(F.transform("related", lambda r: r["related_id"]), F.array().cast("array<string>")).alias("related_ids"),
+            F.coalesce(F.transform("related", lambda r: F.struct(r["id"].alias("id"), r["reason"].alias("reason"))), F.array().cast(_RELATED)).alias("related_notes"),
             or_default("reasoning", K.DEFAULT_REASONING).alias("reasoning"),
         )
     )

@@ -56,7 +56,10 @@ def parse_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
             F.when(F.schema_of_variant(quote) == "STRING", F.try_variant_get(quote, "$", "string")).otherwise("").alias("quote"),
         )
 
-    return replies.withColumn("_parsed", F.try_parse_json(first_json_object(reply))).select(
+    # the parser stops behind the first value: inside brackets, whatever follows it is a fault or a second item
+    whole = F.try_parse_json(F.concat(F.lit("["), first_json_object(reply), F.lit("]")))
+    alone = F.size(F.try_variant_get(whole, "$", "array<variant>")) == 1
+    return replies.withColumn("_parsed", F.when(alone, _field(whole, "$[0]"))).select(
         *[c for c in replies.columns if c != reply],
         text_of(_field(v, "$.knowledgeAnswer")).alias("knowledge_answer"),
         text_of(_field(v, "$.generalSupplement")).alias("general_supplement"),

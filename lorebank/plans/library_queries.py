@@ -360,10 +360,10 @@ def analysis_normalise_q(spark: SparkSession, d: str) -> DataFrame:
         F.when(doc % 3 == 0, "").otherwise(F.lit("s")).alias("summary"),
         F.transform(F.sequence(F.lit(1), (doc % 9 + 1).cast("int")), lambda i: i.cast("string")).alias("tags"),
         F.when(doc % 5 != 0, F.lit("T")).alias("topic"),
-        F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.when(i % 3 == 0, F.lit("x")).otherwise((doc + i * 20).cast("string"))).alias("related_ids"),
+        F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.struct(F.when(i % 3 == 0, F.lit("x")).otherwise((doc + i * 20).cast("string")).alias("id"), F.when(i != 4, F.concat(F.lit("why "), i.cast("string"))).alias("reason"))).alias("related_notes"),
         F.lit(None).cast("string").alias("reasoning"),
     )
-    return O.clean_analyses(rows, lib).select(*ID, "title_suggestion", "summary", joined("tags"), "topic", joined("related_ids"), "reasoning")
+    return O.clean_analyses(rows, lib).select(*ID, "title_suggestion", "summary", joined("tags"), "topic", F.array_join(F.transform("related_notes", lambda r: F.concat_ws(":", r["id"], r["reason"])), "|").alias("related"), "reasoning")
 
 
 ANALYSIS_SQL = NOTES + f""", p AS (SELECT user_id, note_id, doc_id, unnest(range(1, 10)) AS i FROM notes),
@@ -373,7 +373,7 @@ SELECT n.user_id, n.note_id, CASE WHEN doc_id % 2 = 0 THEN topic ELSE title END
   CASE WHEN doc_id % 3 = 0 THEN coalesce(nullif(summary, ''), '{K.MISSING_SUMMARY}') ELSE 's' END AS summary,
   array_to_string(list_transform(range(1, least(doc_id % 9 + 1, 6) + 1), lambda i: CAST(i AS VARCHAR)), '|') AS tags,
   CASE WHEN doc_id % 5 <> 0 THEN 'T' ELSE 'Inbox' END AS topic,
-  coalesce((SELECT string_agg(rid, '|' ORDER BY i) FROM ok WHERE ok.note_id = n.note_id AND k <= 5), '') AS related_ids,
+  coalesce((SELECT string_agg(concat_ws(':', rid, CASE WHEN i <> 4 THEN 'why ' || CAST(i AS VARCHAR) END), '|' ORDER BY i) FROM ok WHERE ok.note_id = n.note_id AND k <= 5), '') AS related,
   '{K.DEFAULT_REASONING}' AS reasoning FROM notes n"""
 
 

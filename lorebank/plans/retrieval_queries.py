@@ -185,28 +185,20 @@ merged AS (SELECT coalesce(j.user_id, q.user_id) AS user_id, coalesce(j.note_id,
 
 
 def due_work_q(spark: SparkSession, d: str) -> DataFrame:
-    ledger = I.expire_leases(M.ledger(spark, d), M.now())
-    return _ledger_out(I.claim(I.due_work(ledger, M.now()), M.now()))
+    return I.due_work(M.ledger(spark, d), M.now())
 
 
-DUE_WORK_SQL = Q.with_(Q.LEDGER) + f""", due AS (SELECT * REPLACE ('processing' AS status, attempts + 1 AS attempts,
-    {Q.NOW} AS locked_at, {Q.NOW} AS updated_at) FROM ledger
-  WHERE attempts < 4 AND ((status = 'pending' AND available_at <= {Q.NOW})
-    OR (status = 'processing' AND locked_at <= {Q.NOW} - INTERVAL 5 MINUTE)))
-{_ledger_sql('due')}"""
+DUE_WORK_SQL = Q.with_(Q.LEDGER) + f"""SELECT user_id, count(*) AS n, max(date_diff('second', available_at, {Q.NOW})) AS oldest_s, CAST(sum(attempts) AS BIGINT) AS attempts
+FROM ledger WHERE status = 'pending' AND available_at <= {Q.NOW} AND attempts < 4 GROUP BY user_id"""
 
 
 def lease_expiry_q(spark: SparkSession, d: str) -> DataFrame:
-    return _ledger_out(I.expire_leases(M.ledger(spark, d), M.now()))
+    """Notes stuck in processing."""
+    return I.stuck_work(M.ledger(spark, d), M.now()).withColumn("attempts", long("attempts"))
 
 
-LEASE_EXPIRY_SQL = Q.with_(Q.LEDGER) + f""", dead AS (SELECT *, status = 'processing' AND attempts >= 4
-    AND locked_at <= {Q.NOW} - INTERVAL 5 MINUTE AS d FROM ledger),
-out AS (SELECT user_id, note_id, content_hash, CASE WHEN d THEN 'failed' ELSE status END AS status, attempts,
-  CASE WHEN d THEN 'Indexing failed.' ELSE last_error END AS last_error, available_at,
-  CASE WHEN NOT coalesce(d, false) THEN locked_at END AS locked_at, created_at,
-  CASE WHEN d THEN {Q.NOW} ELSE updated_at END AS updated_at FROM dead)
-{_ledger_sql('out')}"""
+LEASE_EXPIRY_SQL = Q.with_(Q.LEDGER) + f"""SELECT user_id, CAST(attempts AS BIGINT) AS attempts, count(*) AS n, max(date_diff('second', locked_at, {Q.NOW})) AS longest_s, attempts < 4 AS attempt_left
+FROM ledger WHERE status = 'processing' AND locked_at <= {Q.NOW} - INTERVAL 5 MINUTE GROUP BY user_id, attempts"""
 
 
 def retry_backoff_q(spark: SparkSession, d: str) -> DataFrame:

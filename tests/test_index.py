@@ -62,16 +62,13 @@ def test_upsert_resets_and_inserts(spark, library):
     assert merged["failed"].status == "failed"
 
 
-def test_due_work_and_lease(spark):
+def test_reports_of_waiting_and_stuck_work(spark):
     old = NOW - timedelta(minutes=6)
-    rows = [job("due", "h", "pending"), job("later", "h", "pending", available=NOW + timedelta(seconds=1)), job("spent", "h", "pending", attempts=4),
-            job("lost", "h", "processing", locked=old), job("busy", "h", "processing", locked=NOW), job("dead", "h", "processing", attempts=4, locked=old), job("done", "h", "ready")]
+    rows = [job("due", "h", "pending"), job("older", "h", "pending", attempts=2, available=old), job("later", "h", "pending", available=NOW + timedelta(seconds=1)), job("spent", "h", "pending", attempts=4),
+            job("lost", "h", "processing", locked=old), job("busy", "h", "processing", locked=NOW), job("dead", "h", "processing", attempts=4, locked=old), job("done", "h", "ready"), job("due", "h", "pending", user="v")]
     ledger = spark.createDataFrame(rows, LEDGER_SCHEMA)
-    after = I.expire_leases(ledger, now())
-    assert {r.note_id for r in after.where("status = 'failed'").collect()} == {"dead"}
-    claimed = {r.note_id: r for r in I.claim(I.due_work(after, now()), now()).collect()}
-    assert set(claimed) == {"due", "lost"} and claimed["due"].attempts == 2 and claimed["due"].status == "processing"
-    assert I.due_work(after, now(), limit=1).count() == 1
+    assert {tuple(r) for r in I.due_work(ledger, now()).collect()} == {("u", 2, 360, 3), ("v", 1, 0, 1)}
+    assert {tuple(r) for r in I.stuck_work(ledger, now()).collect()} == {("u", 1, 1, 360, True), ("u", 4, 1, 360, False)}
 
 
 def test_back_off_table(spark):
