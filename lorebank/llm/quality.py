@@ -174,11 +174,17 @@ def _inputs(docs: DataFrame, *extra: str) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``index, value, label`` of the sampled labelled documents; ``sample`` ids at most are broadcast, so texts do not move."""
+    """``index, value, label`` of the sampled labelled documents; ``sample`` labels at most are broadcast, so texts do not move.
+
+    Ids that repeat in ``docs`` give more rows than labels: then each row stays with the probability that leaves ``sample`` of them, by a hash of its place.
+    """
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    order = [F.xxhash64(F.col("doc_id")), "doc_id", "quality"]
-    chosen = usable.select("doc_id", F.col("quality").cast("int").alias("label")).orderBy(*order).limit(sample)
+    order = [F.xxhash64(F.col("doc_id")), "doc_id", "label"]
+    chosen = usable.select("doc_id", F.col("quality").cast("int").alias("label")).distinct().orderBy(*order).limit(sample)
     rows = _inputs(docs.where("doc_id is not null"), "doc_id").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id").join(F.broadcast(chosen), "doc_id").count()
+    if found > sample:
+        rows = rows.where(F.pmod(F.xxhash64(F.monotonically_increasing_id(), "doc_id"), F.lit(1 << 30)) < int(sample / found * (1 << 30)))
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

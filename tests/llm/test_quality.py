@@ -53,6 +53,13 @@ def test_gradients_lower_the_loss_and_sampling_is_bounded(spark):
     assert sorted(map(str, q.classify(docs, labels).collect())) == sorted(map(str, got))
 
 
+def test_an_id_with_a_third_of_all_rows_stays_within_the_sample(spark):
+    rows = [(i, "plain words here") for i in range(600)] + [(1, f"other text {i}") for i in range(150)] + [(1, "one text")] * 150
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(600)] + [(1, 1, 0)] * 5 + [(2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert 120 <= q.training_rows(frame(spark, rows), labels, sample=200).count() <= 280
+    assert len(q.classify(frame(spark, rows), labels, sample=200).collect()) == len(rows)
+
+
 def test_only_text_and_length_count(spark):
     rows = [(1, "a text"), (2, "a text"), (None, "a text"), (3, None), (4, ""), (5, "w " * 200_000)]
     m = q.Model(0.1, np.arange(q.DIMS, dtype=np.float32) / q.DIMS, np.full((q.DIMS, q.RANK), 0.01, np.float32))
