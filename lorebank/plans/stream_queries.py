@@ -218,14 +218,39 @@ FROM (SELECT *, k = max(k) OVER (PARTITION BY n) AS last FROM s) WHERE status IS
 
 
 def index_freshness_q(spark: SparkSession, d: str) -> DataFrame:
-    """Ledger times against note times."""
-    ledger = M.ledger(spark, d).withColumn("indexed_at", F.col("updated_at"))
-    created = M.ledger(spark, d).select("user_id", "note_id", F.col("created_at").alias("updated_at"))
-    return SI.freshness(ledger, created)
+    """Changes of documents and their index times as two streams, in micro-batches out of order; some come late, some never."""
+    root = shared_dir(spark, "stream-freshness")
+    doc = F.col("doc_id")
+    changed = F.timestamp_seconds(F.lit(1704067200) + doc * 60)
+    lag = F.when(doc % 29 == 0, 3600).otherwise(doc % 13 * 10)
+    docs = M.read(spark, d, "documents").select(
+        F.col("source").alias("user_id"), doc.cast("string").alias("note_id"), F.lit(1).cast("long").alias("version"), changed.alias("changed_at"),
+        F.when(doc % 11 != 0, F.timestamp_seconds(F.unix_timestamp(changed) + lag)).alias("indexed_at"),
+    )
+    sides = {"edits": docs.drop("indexed_at"), "indexed": docs.drop("changed_at").where("indexed_at IS NOT NULL")}
+    streams = []
+    for n, (name, rows) in enumerate(sides.items()):
+        time = rows.columns[-1]
+        rows.repartition(_BATCHES, F.xxhash64("note_id", F.lit(n))).write.parquet(f"{root}/{name}/1")
+        # a row far ahead in both streams: the watermark passes all others
+        last = rows.agg(F.expr(f"max({time}) + INTERVAL 1 YEAR").alias(time)).where(f"{time} IS NOT NULL")
+        last.select(F.lit("").alias("user_id"), F.lit("").alias("note_id"), F.lit(-1 - n).cast("long").alias("version"), time).write.parquet(f"{root}/{name}/2")
+        streams.append(spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 2).parquet(f"{root}/{name}"))
+    query = (
+        SI.freshness_stream(*streams, delay="200 days")
+        .writeStream.outputMode("append")
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return SI.freshness(spark.read.parquet(f"{root}/out").where("version > 0"))
 
 
-FRESHNESS_SQL = Q.with_(Q.LEDGER) + """, l AS (SELECT user_id, greatest(date_diff('second', created_at, updated_at), 0) AS lag FROM ledger WHERE status = 'ready')
-SELECT user_id, count(*) AS n, count(*) FILTER (WHERE lag <= 60) AS on_time, max(lag) AS max_lag FROM l GROUP BY ALL"""
+FRESHNESS_SQL = """WITH l AS (SELECT source AS user_id, CASE WHEN doc_id % 11 <> 0 AND doc_id % 29 <> 0 THEN doc_id % 13 * 10 END AS lag FROM documents)
+SELECT user_id, count(*) AS n, count(*) FILTER (WHERE lag <= 60) AS on_time, count(*) FILTER (WHERE lag > 60) AS late, count(*) FILTER (WHERE lag IS NULL) AS missing,
+  max(lag) AS max_lag FROM l GROUP BY user_id"""
 
 
 def job_metrics_q(spark: SparkSession, d: str) -> DataFrame:

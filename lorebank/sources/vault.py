@@ -137,8 +137,12 @@ def vault_files(notes: DataFrame) -> DataFrame:
 def write_vault(files: DataFrame, root: str) -> DataFrame:
     """Write one file per row under ``root/<user>/`` from the tasks; returns a lazy table of written files.
 
-    Files are named by content key, so a retried task rewrites the same file.
+    Files are named by content key, so a retried task rewrites the same file. A path without a scheme names each executor's own disk: only a ``local``
+    master may use one.
     """
+    master = files.sparkSession.sparkContext.master
+    if "://" not in root and master != "local" and not master.startswith("local["):
+        raise ValueError(f"{root} needs a scheme that all executors share (master {master})")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs

@@ -178,18 +178,36 @@ def compact(spark: SparkSession, root: str, target: str) -> None:
     ledger.drop("batch").write.mode("error").parquet(f"{target}/ledger/batch={newest}")
 
 
-def freshness(ledger: DataFrame, notes: DataFrame, within_seconds: int = 60) -> DataFrame:
-    """Per user: how many indexed notes became searchable within the target after their last change."""
-    changed = notes.select(*NOTE_KEY, F.col("updated_at").alias("changed_at"))
-    lag = F.unix_timestamp("indexed_at") - F.unix_timestamp("changed_at")
+def freshness_stream(edits: DataFrame, indexed: DataFrame, horizon: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
+    """Two streams met: every change of a note with the time at which that version became searchable, null if not within ``horizon``.
+
+    ``edits``: user_id, note_id, version, changed_at; ``indexed``: user_id, note_id, version, indexed_at. A changed version waits in the join's state
+    until the watermark of both streams has passed its horizon; only then is it known to be missing, so state is bounded by what changed lately.
+    Clocks may differ by the horizon. Write in append mode.
+    """
+    keys = [*NOTE_KEY, "version"]
+    e = edits.select(*keys, "changed_at").withWatermark("changed_at", delay).alias("e")
+    i = indexed.select(*keys, "indexed_at").withWatermark("indexed_at", delay).alias("i")
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(f"e.{k}") == F.col(f"i.{k}"))
+    near = F.expr(f"i.indexed_at BETWEEN e.changed_at - INTERVAL {horizon} AND e.changed_at + INTERVAL {horizon}")
+    return e.join(i, same & near, "leftOuter").select(*[F.col(f"e.{k}").alias(k) for k in keys], "e.changed_at", "i.indexed_at")
+
+
+def freshness(met: DataFrame, within_seconds: int = 60) -> DataFrame:
+    """Per user: changed versions, how many became searchable within the target, later, or not within the horizon; the longest lag."""
+    # a version written again is searchable from its first time on
+    once = met.groupBy(*NOTE_KEY, "version").agg(F.min("changed_at").alias("changed_at"), F.min("indexed_at").alias("indexed_at"))
+    lag = F.when(F.col("indexed_at").isNotNull(), F.greatest(F.unix_timestamp("indexed_at") - F.unix_timestamp("changed_at"), F.lit(0)))
     return (
-        ledger.where(F.col("status") == "ready")
-        .join(changed, NOTE_KEY)
-        .withColumn("lag", F.greatest(lag, F.lit(0)))
+        once.withColumn("lag", lag)
         .groupBy("user_id")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.count_if(F.col("lag") <= within_seconds).alias("on_time"),
+            F.count_if(F.col("lag") > within_seconds).alias("late"),
+            F.count_if(F.col("indexed_at").isNull()).alias("missing"),
             F.max("lag").alias("max_lag"),
         )
     )

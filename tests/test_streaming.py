@@ -174,6 +174,24 @@ def test_a_text_that_cannot_be_embedded_fails_alone(spark, tmp_path):
     assert step(5, 9000)["b"][1] == 4 and step(6, 9000, version("b", 3, "good at last"))["b"] == ("ready", 0, None, None)
 
 
+def test_freshness_over_two_streams(spark, tmp_path):
+    """On time, late, never, beyond the horizon, indexed before its edit arrives, indexed twice, a version without an edit."""
+    far = 400 * 86_400
+    edits = [("a", 1, 0), ("b", 1, 10), ("c", 1, 20), ("d", 1, 30), ("a", 2, 500), ("", -1, far)]
+    done = [("a", 1, 40), ("b", 1, 90), ("d", 1, 5000), ("a", 2, 500), ("a", 2, 700), ("x", 1, 50), ("", -2, far)]
+    sides = []
+    for name, rows, column in (("e", edits, "changed_at"), ("i", done, "indexed_at")):
+        schema = f"user_id string, note_id string, version long, {column} timestamp"
+        for k, row in enumerate(rows[::-1][1:] + rows[-1:]):  # out of order, the clock last
+            drop(spark, f"{tmp_path}/{name}", [("u", row[0], row[1], T0 + timedelta(seconds=row[2]))], schema, f"{k:02d}")
+            time.sleep(0.02)
+        sides.append(spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 3).parquet(f"{tmp_path}/{name}"))
+    met = SI.freshness_stream(*sides, delay="300 days")
+    q = met.writeStream.format("memory").queryName("met").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
+    q.awaitTermination()
+    assert [tuple(r) for r in SI.freshness(spark.table("met").where("version > 0")).collect()] == [("u", 5, 2, 1, 2, 80)]
+
+
 EDIT = "user_id string, note_id string, ts timestamp, seq long, title string, topic string"
 
 
