@@ -16,7 +16,7 @@ costs as much as any other.
 
 Defined cases: rows with null ids and null, empty, zero or non-finite vectors take no part; vectors are compared within equal length
 only; repeated rows count once; ties go to the smaller id; an id with several vectors is one candidate per vector and, as a query,
-asks once for each; an empty table gives no rows.
+asks once for each; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

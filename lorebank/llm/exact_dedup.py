@@ -9,7 +9,7 @@ join the group of the history; all others form groups of their own.
 
 Defined cases: null text counts as empty. The winner is the row with the smallest doc_id, null ids last;
 of repeated rows with that id exactly one is kept. Groups whose ids are all null have a null keep_id. An empty
-history, batch or table gives an index or result without rows. Extra columns are ignored.
+history, batch or table gives an index or result without rows. Texts of any length are digested whole. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -21,8 +21,8 @@ The banding misses a pair of similarity 0.75 with probability ``(1 - 0.75^ROWS)^
 comparison of signatures with less than 1e-8; links between other members of a group usually mend such a miss. Nothing else is approximate.
 
 Defined cases: null or empty texts and texts of white space have the empty set, no links, and are their own component;
-repeated rows and equal sets are one component; null ids never name a component unless all its ids are null. Extra
-columns are ignored. An empty table gives no rows.
+repeated rows and equal sets are one component; null ids never name a component unless all its ids are null. Very long texts are hashed
+whole. Extra columns, whatever their names, are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ thus fixed in words; the last document is taken if that brings the sum nearer, s
 histogram of rank buckets and then the rows of one bucket only, so no source is sorted in one task.
 
 Defined cases: null text has no words and is taken 0; a null source is a source of its own, the last; rows that repeat
-are separate documents of equal rank, ordered by size; an empty table gives no rows; sources without words have target 0.
+are separate documents of equal rank, ordered by size; an empty table gives no rows; sources without words have target 0; very long texts are counted
+whole; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Token ids are those of the byte-level BPE vocabulary, computed by the ``tiktoken
 they equal the ``tokenizers`` library's and cost a fifth (the README has figures). A document is its ids and
 an end id. Longer documents are cut into full pieces, the first piece takes the remainder.
 
-Defined cases: null and empty texts are the end id alone; repeated rows are packed each; an empty table gives no rows.
+Defined cases: null and empty texts are the end id alone; repeated rows are packed each; an empty table gives no rows; other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ symbol, separators, distinct words, words said twice in a row. Metadata: the sta
 doc_id are no inputs.
 
 Defined cases: null and empty texts have no words and are scored by their structure; rows with a null label or null id
-teach nothing; conflicting labels of an id all count; without any label every score is 0.5; missing n_chars is a bin of its own.
+teach nothing; conflicting labels of an id all count; without any label every score is 0.5; missing n_chars is a bin of its own;
+repeated rows are scored each and teach each; very long texts are read whole; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ Equal texts are neighbours in key order. A group of equal texts goes whole to th
 it holds over ``GROUP_SHARE`` of a shard's bytes: such a group is cut where a shard is full.
 
 Defined cases: null text has size 1 and the checksum of the empty text; null ids sort last; repeated rows are separate
-records; an empty table gives no rows; extra columns are ignored.
+records; a very long text is one record, whatever its share of a shard; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
