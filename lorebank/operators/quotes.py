@@ -11,6 +11,8 @@ from lorebank.operators.answers import locate_quote
 _WORD = r"[\p{L}\p{N}]+"
 _GRAM = 4
 _CHARS = 3
+#: Cells that anchors mark.
+_CELLS = 1 << 20
 
 
 def _words(c: str) -> Column:
@@ -42,6 +44,30 @@ def _char_runs(c: str) -> Column:
     return let(F.split(F.col(c), ""), runs)
 
 
+def _anchor(quote: DataFrame) -> DataFrame:
+    """Quotes with their ``kind`` (r: a run of inner words, w: one inner word, c: first characters) and ``anchor``."""
+    w = _words("quote")
+    asked = quote.withColumn("inner", F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))))
+    # the longest is the least likely to be frequent
+    longest = lambda items: F.array_max(F.transform(items, lambda g: F.struct(F.length(g).alias("n"), g.alias("g"))))["g"]
+    kind = F.when(F.size("inner") >= _GRAM, "r").when(F.size("inner") > 0, "w").otherwise("c")
+    anchor = F.when(F.size("inner") >= _GRAM, longest(_grams(F.col("inner"), _GRAM))).when(F.size("inner") > 0, longest(F.col("inner"))).otherwise(F.left("quote", F.lit(_CHARS)))
+    return asked.withColumns({"kind": kind, "anchor": anchor}).where(F.col("anchor") != "").drop("inner")
+
+
+def _marks(anchored: DataFrame) -> bytearray:
+    """One byte per cell, set where an anchor falls; comes packed from Spark, ``_CELLS / 64`` numbers at most, however many quotes there are."""
+    cell = F.xxhash64("kind", "anchor").bitwiseAND(_CELLS - 1)
+    bit = F.expr("shiftleft(1L, CAST(cell & 63 AS INT))")
+    rows = anchored.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
+    marks = bytearray(_CELLS)
+    for r in rows:
+        for i in range(64):
+            if r.bits >> i & 1:
+                marks[64 * r.word + i] = 1
+    return marks
+
+
 def find_quotes(notes: DataFrame, quotes: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """All (quote, note) pairs with the first place where the quote stands verbatim.
 
@@ -51,26 +77,27 @@ def find_quotes(notes: DataFrame, quotes: DataFrame, within: tuple[str, ...] = (
     ``notes``: note_id, content; ``quotes``: quote_id, quote. A verbatim quote shares all of its inner
     words with the note (its first and last word may be cut), so one run of four inner words is a
     sound join key; quotes with fewer inner words use one inner word, and quotes of at most two words
-    use their first three characters. Candidates are verified on the text, so the anchor only prunes.
+    use their first three characters. Texts are scanned once: of all their runs only those whose cell is marked by an
+    anchor leave the row, in one explode; kinds that no quote has are not built. Candidates are verified on the text, so marks and anchor only prune.
     """
-    w = _words("quote")
-    inner = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
-    asked = quotes.withColumn("inner", inner)
-    grams = _grams(F.col("inner"), _GRAM)
-    # the longest run is the least likely to be frequent
-    longest = F.array_max(F.transform(grams, lambda g: F.struct(F.length(g).alias("n"), g.alias("g"))))["g"]
-    by_run = asked.where(F.size("inner") >= _GRAM).withColumn("anchor", longest)
-    word = F.array_max(F.transform("inner", lambda x: F.struct(F.length(x).alias("n"), x.alias("g"))))["g"]
-    by_word = asked.where(F.size("inner").between(1, _GRAM - 1)).withColumn("anchor", word)
-
-    def candidates(anchored: DataFrame, keys: Column) -> DataFrame:
-        text = notes.select(*within, "note_id", F.explode(F.array_distinct(keys)).alias("anchor"))
-        return text.join(anchored.select(*within, "quote_id", "quote", "anchor"), [*within, "anchor"]).select(*within, "note_id", "quote_id", "quote")
-
-    by_chars = asked.where(F.size("inner") == 0).withColumn("anchor", F.left("quote", F.lit(_CHARS))).where(F.col("anchor") != "")
-    pairs = candidates(by_run, _grams(_words("content"), _GRAM)).unionByName(candidates(by_word, _words("content"))).unionByName(
-        candidates(by_chars, _char_runs("content"))
-    )
+    anchored = _anchor(quotes)
+    kinds = sorted(r.kind for r in anchored.select("kind").distinct().collect())
+    keys = {"r": lambda: _grams(_words("content"), _GRAM), "w": lambda: _words("content"), "c": lambda: _char_runs("content")}
+    marks, one = F.lit(_marks(anchored)), F.lit(bytearray(b"\x01"))
+
+    def marked(kind: str) -> Column:
+        """The marked runs of one kind in a text, as structs of kind and anchor."""
+
+        def hit(anchor: Column) -> Column:
+            cell = F.xxhash64(F.lit(kind), anchor).bitwiseAND(_CELLS - 1)
+            return F.substr(marks, (cell + 1).cast("int"), F.lit(1)) == one
+
+        return F.transform(F.filter(F.array_distinct(keys[kind]()), hit), lambda anchor: F.struct(F.lit(kind).alias("kind"), anchor.alias("anchor")))
+
+    found = [marked(kind) for kind in kinds]
+    none = F.array().cast("array<struct<kind:string,anchor:string>>")
+    found = notes.select(*within, "note_id", F.explode(F.flatten(F.array(none, *found))).alias("a")).select(*within, "note_id", "a.*")
+    pairs = found.join(anchored.select(*within, "quote_id", "quote", "kind", "anchor"), [*within, "kind", "anchor"]).select(*within, "note_id", "quote_id", "quote")
     return (
         pairs.join(notes.select(*within, "note_id", "content"), [*within, "note_id"])
         .where(F.contains("content", "quote"))
