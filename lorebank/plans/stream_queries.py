@@ -147,7 +147,7 @@ def stream_failures_q(spark: SparkSession, d: str) -> DataFrame:
     base, n = note_versions(M.spread(M.read(spark, d, "documents"))), F.col("note_id").cast("long")
     first = base.withColumn("content", F.when(n % 9 == 0, F.concat(F.lit("unreadable "), "content")).otherwise(F.col("content")))
     second = base.where(n % 18 == 0).withColumn("version", F.lit(2).cast("long"))
-    beat = spark.createDataFrame([(None,) * len(base.columns)], base.schema)
+    beat = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in base.schema])
     for step, rows in enumerate((first, beat, second.unionByName(beat), beat, beat)):
         rows.write.parquet(f"{root}/in/{step}")
         source = spark.readStream.schema(base.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
