@@ -258,3 +258,19 @@ HTML_TO_MARKDOWN = (
     (r" *\n *", "\n"),
     (r"\n{3,}", "\n\n"),
 )
+
+# Pieces of the texts that answers, cards and imports consist of.
+BASIC_LINE = ("从「", "」看：")
+RELATED_REASON = ("和「", "」共享主题词或使用场景。")
+FACT_PLATFORM = "- 平台："
+FACT_AUTHOR = "- 作者："
+FACT_LINK = "- 链接："
+FACT_PUBLISHED = "- 发布时间："
+ARTICLE_FACTS = "## 文章信息"
+ARTICLE_BODY = "## 正文"
+VIDEO_FACTS = "## 视频信息"
+VIDEO_BODY = "## 字幕文本"
+METHOD_AUTO_CAPTION = "自动字幕"
+METHOD_TRANSCRIPT = "转写"
+METHOD_UPLOAD = "上传"
+METHOD_OCR = "OCR"

@@ -16,13 +16,13 @@ def _line(content: Column | str, prefix: str, value: str = r"[^\n\r]+") -> Colum
 def reliability(url: Column, method: Column, source_type: Column) -> Column:
     """Reliability class, first match wins."""
     return (
-        F.when(F.contains(method, F.lit("自动字幕")), K.REL_AUTO_CAPTION)
-        .when(F.contains(method, F.lit("转写")), K.REL_TRANSCRIPT)
+        F.when(F.contains(method, F.lit(K.METHOD_AUTO_CAPTION)), K.REL_AUTO_CAPTION)
+        .when(F.contains(method, F.lit(K.METHOD_TRANSCRIPT)), K.REL_TRANSCRIPT)
         .when(
-            F.contains(method, F.lit("上传")),
+            F.contains(method, F.lit(K.METHOD_UPLOAD)),
             F.when(source_type == "image", K.REL_UPLOAD_IMAGE).otherwise(K.REL_UPLOAD_FILE),
         )
-        .when(F.contains(method, F.lit("OCR")), K.REL_OCR)
+        .when(F.contains(method, F.lit(K.METHOD_OCR)), K.REL_OCR)
         .when(url.rlike(K.HTTP_URL), K.REL_LINK)
         .when(url == K.REL_PASTED, K.REL_PASTED)
         .otherwise(K.REL_CARD)

@@ -266,7 +266,7 @@ def basic_answers(questions: DataFrame, ranked: DataFrame, notes: DataFrame, kee
         .where(F.col("place") <= keep)
         .join(notes.select("user_id", "note_id", "title", "summary", "content", "source"), ["user_id", "note_id"])
     )
-    line = F.concat(F.lit("从「"), "title", F.lit("」看："), or_default("summary", summary_of("content")))
+    line = F.concat(F.lit(K.BASIC_LINE[0]), "title", F.lit(K.BASIC_LINE[1]), or_default("summary", summary_of("content")))
     grouped = used.groupBy(*QUESTION).agg(
         _in_order(F.struct("place", line.alias("line"), note_citation().alias("citation"))).alias("rows")
     )

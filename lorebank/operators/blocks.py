@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 LEFT_BLOCK_ROWS = 4_096
 RIGHT_BLOCK_ROWS = 4_096
+#: Rows of a key list up to which it is broadcast; a row is a key and a number.
+BROADCAST_ROWS = 100_000
 _TILE_ROWS = 256
 
 
@@ -40,6 +42,11 @@ def _fresh(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in dict.fromkeys(columns)])
 
 
+def checked_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow table marked for broadcast when it is counted to have ``most`` rows at most; else joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _with_counts(df: DataFrame, hot: DataFrame, keys: list[str], name: str) -> DataFrame:
     return df.join(hot, keys, "left").withColumn(name, F.coalesce(name, F.lit(1)))
 
@@ -59,13 +66,13 @@ def copy_to_blocks(df: DataFrame, hot: DataFrame, keys: list[str], name: str) ->
 def placed(left: DataFrame, right: DataFrame, keys: list[str], left_block: int, right_block: int) -> tuple[DataFrame, DataFrame]:
     """Both sides with a block number of their own (``_lb``, ``_rb``), copied to the blocks of the other side. Both have ``keys`` and ``id``.
 
-    Keys without a left row have nothing to score: their right rows stay out. The lists of keys with several blocks hold at most one narrow
-    row per block; how they are joined is left to AQE's size check.
+    Keys without a left row have nothing to score: their right rows stay out. The lists of keys hold narrow rows, those with several blocks at most
+    one per block; they are counted first and broadcast only while they are short, so that wide rows do not move for them.
     """
     columns = left.columns, right.columns
     left, right = _fresh(left, columns[0]), _fresh(right, columns[1])
-    right = right.join(_fresh(left, keys).distinct(), keys, "left_semi")
-    hot_left, hot_right = hot_keys(left, keys, left_block, "_lb"), hot_keys(right, keys, right_block, "_rb")
+    right = right.join(checked_small(_fresh(left, keys).distinct()), keys, "left_semi")
+    hot_left, hot_right = (checked_small(hot_keys(side, keys, size, name)) for side, size, name in ((left, left_block, "_lb"), (right, right_block, "_rb")))
     left = copy_to_blocks(assign_block(left, hot_left, keys, "id", "_lb"), hot_right, keys, "_rb")
     right = copy_to_blocks(assign_block(right, hot_right, keys, "id", "_rb"), hot_left, keys, "_lb")
     return left.select(*columns[0], "_lb", "_rb"), right.select(*columns[1], "_lb", "_rb")

@@ -58,7 +58,7 @@ def organise(notes: DataFrame) -> DataFrame:
     """Title, summary, tags, topic and related notes for every note (at most three related, so a list is safe)."""
     text = F.concat_ws("\n", "title", "content")
     titles = notes.select("user_id", F.col("note_id").alias("related_id"), F.col("title").alias("related_title"))
-    reason = F.concat(F.lit("和「"), "related_title", F.lit("」共享主题词或使用场景。"))
+    reason = F.concat(F.lit(K.RELATED_REASON[0]), "related_title", F.lit(K.RELATED_REASON[1]))
     related = (
         related_notes(notes)
         .join(titles, ["user_id", "related_id"])

@@ -49,8 +49,8 @@ def caption_imports(media: DataFrame, captions: DataFrame, imported_at: Column)
     spoken = F.col("caption") != ""
     title = or_default("title", F.concat("platform", F.lit(K.VIDEO_TITLE_SUFFIX)))
     body = F.concat(
-        F.lit("## 视频信息\n\n- 平台："), "platform", F.lit("\n- 作者："), or_default("uploader", K.VIDEO_UNKNOWN_AUTHOR),
-        F.lit("\n- 链接："), "url", F.lit("\n\n## 字幕文本\n\n"), "caption",
+        F.lit(f"{K.VIDEO_FACTS}\n\n{K.FACT_PLATFORM}"), "platform", F.lit(f"\n{K.FACT_AUTHOR}"), or_default("uploader", K.VIDEO_UNKNOWN_AUTHOR),
+        F.lit(f"\n{K.FACT_LINK}"), "url", F.lit(f"\n\n{K.VIDEO_BODY}\n\n"), "caption",
     )
     kind = F.lit("video")
     return rows.select(

@@ -191,11 +191,11 @@ def _outcomes(parsed: DataFrame, at: Column) -> DataFrame:
     )
     facts = F.concat_ws(
         "\n",
-        F.lit("## 文章信息"),
-        F.lit(f"- 平台：{K.WECHAT_PLATFORM}"),
-        F.when(author != "", F.concat(F.lit("- 作者："), author)),
-        F.when(F.col("published") != "", F.concat(F.lit("- 发布时间："), F.col("published"))),
-        F.concat(F.lit("- 链接："), url),
+        F.lit(K.ARTICLE_FACTS),
+        F.lit(f"{K.FACT_PLATFORM}{K.WECHAT_PLATFORM}"),
+        F.when(author != "", F.concat(F.lit(K.FACT_AUTHOR), author)),
+        F.when(F.col("published") != "", F.concat(F.lit(K.FACT_PUBLISHED), F.col("published"))),
+        F.concat(F.lit(K.FACT_LINK), url),
     )
     podcast = F.concat(
         F.lit(f"{K.PODCAST_INTRO}\n\n"),
@@ -207,7 +207,7 @@ def _outcomes(parsed: DataFrame, at: Column) -> DataFrame:
     )
     body = (
         F.when(short.isNotNull(), F.concat(F.lit("> "), short))
-        .when(layout == "platform", F.concat(facts, F.lit("\n\n## 正文\n\n"), text))
+        .when(layout == "platform", F.concat(facts, F.lit(f"\n\n{K.ARTICLE_BODY}\n\n"), text))
         .when(layout == "podcast", podcast)
         .when(layout == "audio", K.AUDIO_BODY)
         .otherwise(text)
