@@ -48,9 +48,9 @@ def related_notes(notes: DataFrame, of: DataFrame | None = None, keep: int = K.R
         "user_id", F.col("note_id").alias("id"), overlap_tokens(F.concat_ws("\n", "title", "content")).alias("tokens")
     )
     right = notes.select(
-        "user_id", listing_key().alias("id"), overlap_tokens(F.concat_ws(" ", "title", "summary", F.concat_ws(" ", "tags"))).alias("tokens")
+        "user_id", listing_key().alias("id"), F.col("note_id").alias("own"), overlap_tokens(F.concat_ws(" ", "title", "summary", F.concat_ws(" ", "tags"))).alias("tokens")
     )
-    top = overlap_topk(left, right, ["user_id"], keep, above=1, not_same=F.col("left_id") != listed_note("right_id"), left_block=1_024)
+    top = overlap_topk(left, right, ["user_id"], keep, above=1)
     return top.select("user_id", F.col("left_id").alias("note_id"), listed_note("right_id").alias("related_id"), "score", "rank")
 
 

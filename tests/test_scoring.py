@@ -58,7 +58,7 @@ def test_token_topk_equals_brute_force(spark, tokens, lb, rb):
 def test_token_topk_against_itself(spark, tokens):
     _, right = tokens
     df, _ = sides(spark, right, right)
-    got = overlap_topk(df, df, ["user_id"], 3, above=1, not_same=F.col("left_id") != F.col("right_id"), left_block=13, right_block=17)
+    got = overlap_topk(df, df.withColumn("own", F.col("id")), ["user_id"], 3, above=1, left_block=13, right_block=17)
     assert top(got) == brute(right, right, 3, above=1, not_self=True)
 
 
@@ -71,13 +71,16 @@ def test_a_stop_word_in_every_row_and_a_user_with_most_rows(spark):
     assert top(overlap_topk(ldf, rdf, ["user_id"], 30, left_block=16, right_block=32)) == brute(left, right, 30)
 
 
-def test_pairs_are_counted_where_they_arise(spark):
-    """Two shuffles of rows with tokens at most: into places, and of the k best; none of the pairs."""
-    ldf, rdf = sides(spark, [("u", "q", ["a"])], [("u", "c", ["a"])])
-    plan = overlap_topk(ldf, rdf, ["user_id"], 3)._jdf.queryExecution().executedPlan().toString()
-    below_pairs = plan[plan.index("left_id") :]
-    above, _, rest = below_pairs.partition("REPARTITION_BY_NUM")
-    assert above.count("Exchange hashpartitioning") == 2 and "REPARTITION_BY_NUM" in plan  # of the best, and into places
+def test_few_tokens_at_a_time_change_nothing(spark, tokens, monkeypatch):
+    from lorebank.operators import overlap
+
+    monkeypatch.setattr(overlap, "TOKENS", 10)
+    left, right = tokens
+    count = overlap._counter(["user_id"], 4, 0, False, spark.createDataFrame([], "user_id string, left_id string, right_id string, score long").schema)
+    lt, rt = (overlap.pa.table({"user_id": ["u"] * len(x), "id": [r[1] for r in x], "tokens": [r[2] for r in x]}) for x in (left, right))
+    got = {(r["left_id"], r["right_id"]): r["score"] for r in count(lt, rt).to_pylist()}
+    want = brute([("u", *r[1:]) for r in left], [("u", *r[1:]) for r in right], 4)
+    assert got == {pair: score for pair, (score, _) in want.items()}
 
 
 def test_many_distinct_tokens(spark):
