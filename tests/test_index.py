@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from lorebank.functions.embed import embed_column, hash_embedder, match_replies, vector_is_usable
 from lorebank.operators import index as I
 from lorebank.operators.index import LEDGER_SCHEMA
+from lorebank.plans import model as M
+from lorebank.plans.retrieval_queries import due_work_q, lease_expiry_q
 
 NOW = datetime(2024, 5, 1, 12, 0, 0)
 NOTE = "user_id string, note_id string, content string"
@@ -71,6 +73,21 @@ def test_reports_of_waiting_and_stuck_work(spark):
     assert {tuple(r) for r in I.stuck_work(ledger, now()).collect()} == {("u", 1, 1, 360, True), ("u", 4, 1, 360, False)}
 
 
+def test_due_rows_are_claimed_and_dead_leases_fail_row_by_row(spark):
+    old = NOW - timedelta(minutes=6)
+    rows = [job("due", "h", "pending"), job("later", "h", "pending", available=NOW + timedelta(seconds=1)), job("spent", "h", "pending", attempts=4),
+            job("lost", "h", "processing", locked=old), job("busy", "h", "processing", locked=NOW), job("dead", "h", "processing", attempts=4, locked=old), job("done", "h", "ready")]
+    after = I.expire_leases(spark.createDataFrame(rows, LEDGER_SCHEMA), now())
+    assert after.count() == len(rows) and [(r.note_id, r.locked_at) for r in after.where("status = 'failed'").collect()] == [("dead", None)]
+    claimed = {r.note_id: (r.status, r.attempts, r.locked_at) for r in I.claim(I.due_rows(after, now()), now()).collect()}
+    assert claimed == {"due": ("processing", 2, NOW), "lost": ("processing", 2, NOW)}
+
+
+def test_queries_of_waiting_work_give_every_row_of_the_ledger(spark, sf):
+    assert lease_expiry_q(spark, sf).count() == M.ledger(spark, sf).count()
+    assert {"note_id", "content_hash", "status"} <= set(due_work_q(spark, sf).columns)
+
+
 def test_back_off_table(spark):
     rows = [job(f"a{i}", "h", "processing", attempts=i, locked=NOW) for i in (1, 2, 3, 4)] + [job("moved", "new", "processing", locked=NOW)]
     ledger = spark.createDataFrame(rows, LEDGER_SCHEMA)
