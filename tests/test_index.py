@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from lorebank.functions.embed import embed_column, hash_embedder, match_replies, vector_is_usable
+from lorebank.functions.embed import embed_column, hash_embedder, match_replies, try_embed_column, vector_is_usable
 from lorebank.operators import index as I
 from lorebank.operators.index import LEDGER_SCHEMA
 from lorebank.plans import model as M
@@ -156,6 +156,17 @@ def test_hash_embedding_equals_plain_version(spark, text):
     assert got == pytest.approx(plain_embedding(text, 97), abs=1e-6)
 
 
+def test_an_embedder_is_asked_for_few_texts_at_a_time(spark):
+    def narrow(texts):
+        if len(texts) > 256:
+            raise ValueError("too many texts at once")
+        return hash_embedder(8)(texts)
+
+    texts = spark.range(1_000).coalesce(1).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("t"))
+    got = texts.select("id", embed_column("t", narrow).alias("v"), try_embed_column("t", narrow).alias("tried"), embed_column("t", hash_embedder(8)).alias("all")).collect()
+    assert len(got) == 1_000 and all(r.v == r.all and r.tried.vector == r.all and not r.tried.failed for r in got)
+
+
 def test_vector_checks(spark):
     rows = [([1.0, 2.0],), ([1.0],), ([1.0, float("nan")],), ([float("inf"), 0.0],), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "v array<float>").select(vector_is_usable("v", 2)).collect()]
