@@ -50,7 +50,7 @@ def related_notes(notes: DataFrame, of: DataFrame | None = None, keep: int = K.R
     right = notes.select(
         "user_id", listing_key().alias("id"), F.col("note_id").alias("own"), overlap_tokens(F.concat_ws(" ", "title", "summary", F.concat_ws(" ", "tags"))).alias("tokens")
     )
-    top = overlap_topk(left, right, ["user_id"], keep, above=1, right_block=16_384)  # right rows are short, left ones are what copies cost
+    top = overlap_topk(left, right, ["user_id"], keep, above=1, right_block=131_072)  # right rows are short, left ones are what copies cost
     return top.select("user_id", F.col("left_id").alias("note_id"), listed_note("right_id").alias("related_id"), "score", "rank")
 
 
