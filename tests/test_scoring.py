@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lorebank.operators import blocks, overlap, scopes
 from lorebank.operators import retrieval as R
-from lorebank.operators import scopes
 from lorebank.operators.blocks import hot_keys
 from lorebank.operators.lookback import preceding_rows
 from lorebank.operators.overlap import overlap_topk
@@ -112,6 +112,34 @@ def test_vector_topk_with_ties_zero_and_bad_vectors(spark):
             assert abs(r.score - want[int(r.chunk_id[1:])]) < 1e-6
 
 
+def test_places_are_scored_in_slices_with_the_same_result(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.integers(-1, 2, size=(90, 3)).astype(np.float64)  # many equal scores, over the edges of slices
+    ids = [f"c{i:02d}" for i in rng.permutation(90)]
+    left, right = (blocks.pa.table({"user_id": ["u"] * len(x), "id": x, "vector": [list(map(float, base[i])) for i in range(len(x))]}) for x in (ids[:50], ids))
+    schema = spark.createDataFrame([], "user_id string, left_id string, right_id string, score double").schema
+    score = blocks._pair_scorer(["user_id"], 7, 3, 12, schema)
+    rows = lambda t: sorted(tuple(r.values()) for r in t.to_pylist())
+    whole = rows(score(left, right))
+    monkeypatch.setattr(blocks, "_SLICE_ROWS", 11)
+    monkeypatch.setattr(blocks, "_TILE_ROWS", 8)
+    monkeypatch.setattr(blocks, "_matrix", lambda column, dim, real=blocks._matrix: real(column, dim) if len(column) <= 11 else pytest.fail("more rows at once than a slice"))
+    assert rows(score(left, right)) == whole and len(whole) == 350
+
+
+@pytest.mark.parametrize(("share", "cells", "rows"), [(0.0, 50, 7), (2.0, 50, 300), (0.05, 100_000, 7)])
+def test_counts_by_product_and_by_lists_agree(spark, tokens, monkeypatch, share, cells, rows):
+    monkeypatch.setattr(overlap, "DENSE_SHARE", share)
+    monkeypatch.setattr(overlap, "CELLS", cells)
+    monkeypatch.setattr(overlap, "RIGHT_ROWS", rows)
+    _, right = tokens
+    schema = spark.createDataFrame([], "user_id string, left_id string, right_id string, score long").schema
+    table = overlap.pa.table({"user_id": ["u"] * len(right), "id": [r[1] for r in right], "tokens": [r[2] for r in right]})
+    met = overlap._counter(["user_id"], 3, 1, True, schema)(table, table.append_column("own", table.column("id")))
+    one = [("u", *r[1:]) for r in right]
+    assert {(r["left_id"], r["right_id"]): r["score"] for r in met.to_pylist()} == {p: s for p, (s, _) in brute(one, one, 3, above=1, not_self=True).items()}
+
+
 def test_scopes_are_applied_before_the_cut(spark):
     chunks = [("u", f"n{i}#0", f"n{i}", "even" if i % 2 == 0 else "odd", ["t3"] if i % 3 == 0 else [], ["x"]) for i in range(90)]
     rdf = spark.createDataFrame(
