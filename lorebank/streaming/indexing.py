@@ -31,6 +31,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lorebank import constants as K
 from lorebank.functions.embed import Embedder, try_embed_column
 from lorebank.functions.text import content_hash
+from lorebank.operators.blocks import checked_small
 from lorebank.operators.index import NOTE_KEY, index_rows
 
 LEDGER_ROW = (
@@ -168,7 +169,12 @@ def compact(spark: SparkSession, root: str, target: str) -> None:
     """
     if _exists(spark, f"{target}/ledger"):
         raise ValueError(f"{target} already holds an index")
-    chunks, ledger = read_chunks(spark, root), read_ledger(spark, root)
+    ledger = read_ledger(spark, root)
+    stored = spark.read.option("basePath", f"{root}/chunks").parquet(f"{root}/chunks").withColumn("batch", F.col("batch").cast("long"))
+    keys, live = [*NOTE_KEY, "batch"], ledger.where(~F.col("deleted") & (F.col("status") == "ready")).select(*NOTE_KEY, "batch")
+    # What goes is a list of narrow keys and mostly short: then the chunks themselves need no shuffle.
+    gone = checked_small(stored.select(*keys).distinct().join(live, keys, "left_anti"))
+    chunks = stored.dropna(subset=NOTE_KEY).join(gone, keys, "left_anti").drop("batch", "failed")
     newest = ledger.agg(F.max("batch")).first()[0] or 0
     chunks.withColumn("failed", F.lit(False)).write.mode("error").parquet(f"{target}/chunks/batch={newest}")
     if _exists(spark, f"{root}/retry"):
