@@ -25,11 +25,15 @@ from lorebank.llm import exact_dedup, minhash, mixing, packing, quality
 from lorebank.llm.common import stored, table
 from lorebank.plans.catalogue import prepare
 
+#: Bytes of texts that an executor hands to a Python worker at once. Workers live through all stages and keep the memory of their largest batch.
+BATCH_BYTES = 4 << 20
+
 
 def _stage(run: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """Make the package importable by the session's Python workers before a stage runs."""
+    """Make the package importable by the session's Python workers before a stage runs, and their batches small."""
 
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         return prepare(lambda s, d: run(s, docs, d))(spark, sf_dir)
 
     call.__doc__ = run.__doc__

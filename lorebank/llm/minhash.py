@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lorebank.llm.common import keep_rows, stored
 from lorebank.llm.graph import components
-from lorebank.llm.words import find_words, mix64, shingle_sets, text_slices, word_codes
+from lorebank.llm.words import SLICE, find_words, mix64, shingle_sets, text_slices, word_codes
 
 WIDTH = 5
 ROWS = 6
@@ -94,7 +94,7 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-    for a, b, data, offs in text_slices(batch.column("text")):
+    for a, b, data, offs in text_slices(batch.column("text"), SLICE):
         starts, ends, first = find_words(data, offs)
         yield a, b, shingle_sets(word_codes(data, starts, ends), first, WIDTH)
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorebank.llm.common import stored
-from lorebank.llm.words import _SPACE, byte_counts, find_words, hash_words, text_slices
+from lorebank.llm.words import SLICE, _SPACE, byte_counts, find_words, hash_words, text_slices
 
 #: Coordinates for words; the bins of the statistics follow.
 WORDS = 1 << 15
@@ -110,7 +110,7 @@ def _sparse(data: np.ndarray, offs: np.ndarray, n_chars: np.ndarray) -> tuple[np
 def featurise(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Sparse documents of a batch with ``text`` and ``n_chars``, piece by piece."""
     chars = np.array(batch.column("n_chars").fill_null(-1))
-    for a, b, data, offs in text_slices(batch.column("text")):
+    for a, b, data, offs in text_slices(batch.column("text"), SLICE):
         yield a, b, *_sparse(data, offs, chars[a:b])
 
 

@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer document is handled alone.
 CHUNK = 2 << 20
+#: The same where every byte or word becomes several numbers of eight bytes.
+SLICE = 1 << 19
 #: Bytes of a word from which on it is digested alone.
 LONG = 256
 
@@ -65,7 +67,7 @@ def find_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) <= n:
-        size = max(n + 1, CHUNK + 1)
+        size = max(n + 1, min(2 * n, CHUNK + 1))
         for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

@@ -81,3 +81,15 @@ def test_empty_tables(spark, sf_dir, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_hand_few_bytes_at_once_to_a_worker(spark):
+    import pyarrow as pa
+
+    def weigh(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["n", "rows"])
+
+    docs = spark.range(200).coalesce(1).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 12000) AS text")
+    got = corpus_pipeline._stage(lambda s, d, _: d.mapInArrow(weigh, "n long, rows long"))(spark, docs, "").collect()
+    assert max(r.n for r in got) < 6 << 20 and sum(r.rows for r in got) == 200 and len(got) > 1

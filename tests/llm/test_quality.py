@@ -86,3 +86,16 @@ def test_held_out_accuracy(spark, sf_dir):
     rows = q.classify(docs, labels).join(labels, "doc_id").where("held_out").collect()
     good, bad = [r.predicted for r in rows if r.quality == 1], [r.predicted for r in rows if r.quality == 0]
     assert np.mean(good) > 0.95 and np.mean(bad) < 0.4
+
+
+def test_words_become_numbers_in_short_slices_with_the_same_features():
+    texts = [f"word{i} other{i % 7} " * (40 + i) for i in range(1_500)] + ["x " * 400_000, None, "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([None] * len(texts), pa.int64())], ["text", "n_chars"])
+    alone = [next(q.featurise(batch.slice(i, 1))) for i in (0, 700, 1_499, 1_500, 1_501, 1_502)]
+    parts = list(q.featurise(batch))
+    assert [a for a, *_ in parts] == [0, *(b for _, b, *_ in parts)][:-1] and parts[-1][1] == len(texts)
+    assert all(b == a + 1 or sum(len(t or "") for t in texts[a:b]) <= 1 << 19 for a, b, *_ in parts)
+    for i, (_, _, index, value, _) in zip((0, 700, 1_499, 1_500, 1_501, 1_502), alone):
+        a, _, indices, values, first = next(p for p in parts if p[0] <= i < p[1])
+        at = slice(first[i - a], first[i - a + 1])
+        assert indices[at].tolist() == index.tolist() and values[at].tolist() == value.tolist()
