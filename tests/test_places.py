@@ -106,6 +106,32 @@ def test_summaries_and_trims_equal_the_plain_patterns(spark):
     assert "left(t#" in plan(df.select(X.summary_of("t"))).lower() or "substring(t#" in plan(df.select(X.summary_of("t"))).lower()
 
 
+def test_whole_vectors_become_lists_in_one_piece(spark):
+    a, b = np.arange(3, dtype=np.float32), np.array([np.float32(0.1), 5], np.float32)
+    assert _lists(pd.Series([a, b])).to_pylist() == [a.tolist(), b.tolist()]
+    assert _lists(pd.Series([a, None, [1, 2.5]], dtype=object)).to_pylist() == [a.tolist(), None, [1.0, 2.5]]
+    assert _lists(pd.Series([], dtype=object)).to_pylist() == []
+    df = spark.createDataFrame([("x",), (None,), ("yy",)], "t string")
+    sized = embed_column("t", lambda texts: pd.Series([None if t is None else np.full(2, len(t), np.float32) for t in texts]))
+    assert {(r.t, tuple(r.v) if r.v else None) for r in df.select("t", sized.alias("v")).collect()} == {("x", (1.0, 1.0)), (None, None), ("yy", (2.0, 2.0))}
+
+
+def test_searchable_prunes_before_the_join_with_the_same_rows(spark, monkeypatch):
+    chunks = spark.createDataFrame(
+        [(f"n{i}#0", "u", f"n{i}", "h" if i % 3 else "old", i % 2) for i in range(40)] * 2 + [("x", "u", None, "h", 1)],
+        "chunk_id string, user_id string, note_id string, content_hash string, index_version int",
+    )
+    ledger = spark.createDataFrame([("u", f"n{i}", "h" if i % 4 else None, "ready" if i % 5 else "failed") for i in range(30)] + [("u", "n1", "h", "ready"), ("u", None, "h", "ready")], "user_id string, note_id string, content_hash string, status string")
+    notes = spark.createDataFrame([("u", f"n{i}", "t") for i in range(25)], "user_id string, note_id string, topic string")
+    want = sorted((f"n{i}#0", "t") for i in range(25) if i % 2 and i % 3 and i % 4 and i % 5 for _ in range(4 if i == 1 else 2))
+    pruned = I.searchable(chunks, ledger, notes, ("topic",))
+    assert "LeftSemi" in plan(pruned)
+    assert sorted((r.chunk_id, r.topic) for r in pruned.collect()) == want
+    monkeypatch.setattr(I, "KNOWN_KEYS", 0)
+    whole = I.searchable(chunks, ledger, notes, ("topic",))
+    assert "LeftSemi" not in plan(whole) and sorted((r.chunk_id, r.topic) for r in whole.collect()) == want
+
+
 def test_texts_stay_out_of_later_shuffles(spark):
     keys = "user_id string, question_id string"
     expected = spark.createDataFrame([("u", "q", "n", 0, "ab")], f"{keys}, expected_note string, expected_ordinal int, expected_quote string")
