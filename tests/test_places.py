@@ -157,3 +157,8 @@ def test_texts_stay_out_of_later_shuffles(spark):
     while "Join" not in top.nodeName():
         top = top.children().apply(0)
     assert "content" not in top.children().apply(0).output().toString()
+
+
+@pytest.mark.parametrize("query", [Q.citation_verify_q, Q.model_judgement_q, Q.answer_metrics_q])
+def test_questions_are_ranked_once(spark, sf, query):
+    assert "CoGroupsInArrow" not in plan(query(spark, sf))
