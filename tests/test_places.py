@@ -145,6 +145,8 @@ def test_texts_stay_out_of_later_shuffles(spark):
     context = spark.createDataFrame([("u", "q", 1, "c1", "n", "T", "s", " body "), ("u", "q", 2, "c2", "m", None, None, "other"), ("u", "q", 3, "c3", "m", "", "s", "last")], f"{keys}, position int, chunk_id string, note_id string, title string, source string, content string")
     said = A.fallback_answers(expected.select("user_id", "question_id"), context)
     assert said.first().answer == "T: body\n\n: last" and [c.quote for c in said.first().citations] == ["body", "other", "last"]
+    cut = A.fallback_answers(expected.select("user_id", "question_id"), context.withColumn("quote", A.answer_quote("content")).drop("content"))
+    assert cut.collect() == said.collect()
     grouped = [x for x in plan(said).split("\n") if "collect_list" in x]
     assert grouped and " line" not in grouped[0]
 
